@@ -53,6 +53,8 @@ def cut(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     (df if partitions is None else df.repartition(partitions)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
