@@ -364,13 +364,12 @@ def abl5_vector_arm(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with {_BASE}, qq as (select doc_id as query_id, unnest(list_distinct({sql_tokens("substr(text, 1, 80)")})) as term from docs where doc_id % 100 = 0),
 wt as (select q.query_id, q.term, case when qq.term is not null then 3.0 else 1.0 end as w from q left join qq using (query_id, term))
-select query_id, doc_id as item_id, round(round(sum(w * ln((n - df + 0.5) / (df + 0.5) + 1) * tf), 6), 5) as score from wt join freq using (term) join post using (term), size where query_id <> doc_id group by all""")
+select query_id, doc_id as item_id, round(sum(w * ln((n - df + 0.5) / (df + 0.5) + 1) * tf), 6) as score from wt join freq using (term) join post using (term), size where query_id <> doc_id group by all""")
 def rec11_emphasis(spark: SparkSession, d: str) -> DataFrame:
     """Terms of a query's first 80 characters weigh three times."""
     held = postings(spark, d)
     first = documents(spark, d).where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.explode(query_terms(F.substring("text", 1, 80))).alias("term"))
-    scores = R.tf_idf(R.emphasised(asked(held), first, 3.0), held).where("query_id <> item_id")
-    return scores.withColumn("score", F.round("score", 5))
+    return R.tf_idf(R.emphasised(asked(held), first, 3.0), held).where("query_id <> item_id")
 
 
 @query("""with l as (select unnest(['plain', 'enriched', 'area_question']) as level1), b as (select unnest(['as_is', 'enriched']) as level2), c as (select unnest(['min_max', 'rrf']) as level3)
