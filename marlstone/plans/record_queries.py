@@ -1,0 +1,536 @@
+"""Queries of sources, filters, joins, records and sets."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from marlstone.functions.text import words_of
+from marlstone.operators import eav
+from marlstone.operators import filters as P
+from marlstone.operators import records as N
+from marlstone.plans.eav_queries import _CELLS
+from marlstone.session import cut, shared_folder
+from marlstone.sources import readers
+from marlstone.tables import table
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):  # noqa: ANN201
+    def register(f):  # noqa: ANN001, ANN202
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/scratch-{os.urandom(8).hex()}"
+
+
+@query("select key, field_name, arg_max(field_value, row_id) as field_value from (select distinct row_id, key, field_name, field_value from newborn_nbu_2021) group by all")
+def src1_eav_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The attribute rows written as CSV, read back and taken to one value per key and field (the last row's)."""
+    path = _scratch(spark)
+    table(spark, d, "newborn_nbu_2021").select("row_id", "key", "field_name", "field_value").write.option("header", True).option("emptyValue", "\x02").option("nullValue", "\x01").option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    rows = readers.eav_csv(spark, path, extra="row_id bigint")
+    return N.latest_per_key(rows.select("key", "field_name", "row_id", "field_value"), ["key", "field_name"], [F.col("row_id")]).select("key", "field_name", "field_value")
+
+
+@query("select record_id, max(mrn) as mrn, max(schema_version) as schema_version, max(dataset_id) as dataset_id from patient_record group by 1")
+def src2_wide_upload(spark: SparkSession, d: str) -> DataFrame:
+    """Records written as a CSV with dotted headers, read back as structs."""
+    path = _scratch(spark)
+    rows = table(spark, d, "patient_record").groupBy("record_id").agg(F.max("mrn").alias("mrn"), F.max("schema_version").alias("v"), F.max("dataset_id").alias("s"))
+    rows.select("record_id", "mrn", F.col("v").alias("meta.schema_version"), F.col("s").alias("meta.dataset_id")).write.option("header", True).csv(path)
+    wide = readers.wide_csv(spark, path)
+    return wide.select("record_id", "mrn", "meta.schema_version", "meta.dataset_id")
+
+
+@query("select record_key, count(*) as n from patient_record group by 1")
+def src3_patient_source(spark: SparkSession, d: str) -> DataFrame:
+    """Records through the connector's interface."""
+    source = readers.TableSource(table(spark, d, "patient_record"))
+    return source.records().groupBy("record_key").agg(F.count("*").alias("n"))
+
+
+@query("select doc_id, ceil(len(text) / 3000)::bigint as n_pages, sha256(substr(text, 1, 3000)) as first_page from documents where text <> ''")
+def src4_text_pages(spark: SparkSession, d: str) -> DataFrame:
+    from marlstone.operators.chunking import synthetic_pages
+
+    pages = synthetic_pages(F.col("text"))
+    return table(spark, d, "documents").where("text <> ''").select("doc_id", F.size(pages).cast("bigint").alias("n_pages"), F.sha2(F.get(pages, F.lit(0)), 256).alias("first_page"))
+
+
+@query("select title, min(priority) as priority from (select title, 1 + (len(title) % 3) as priority from document_version where title is not null) group by 1 order by 2, 1")
+def src7_priorities(spark: SparkSession, d: str) -> DataFrame:
+    entries = table(spark, d, "document_version").select("title", (1 + F.length("title") % 3).cast("bigint").alias("priority"))
+    return readers.priorities(entries)
+
+
+@query("select document_version_id, count(*) as n_lines, count(distinct page_no) as n_pages from text_line group by 1")
+def src8_corpus_scan(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "text_line").select("document_version_id", "page_no")
+    return lines.groupBy("document_version_id").agg(F.count("*").alias("n_lines"), F.count_distinct("page_no").alias("n_pages"))
+
+
+@query("select distinct chunk_id, ordinal from chunk where chunk_id in (select parent_chunk_id from chunk where parent_chunk_id is not null)")
+def src9_by_id(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunk")
+    wanted = chunks.where("parent_chunk_id is not null").select(F.col("parent_chunk_id").alias("chunk_id")).distinct()
+    return chunks.join(wanted, "chunk_id", "left_semi").select("chunk_id", "ordinal").distinct()
+
+
+@query("select event_id, ts, user_id, event_type from events where event_type = 'error' order by ts desc, event_id desc limit 200")
+def src10_newest_events(spark: SparkSession, d: str) -> DataFrame:
+    return readers.newest(table(spark, d, "events"), {"event_type": "error"}, ["ts", "event_id"], 500).select("event_id", "ts", "user_id", "event_type")
+
+
+@query("""select document_id, document_version_id, row_number() over (partition by document_id order by ingested_at desc nulls last, document_version_id) as nth
+from (select distinct document_id, document_version_id, ingested_at from document_version)""")
+def src11_versions(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "document_version").select("document_id", "document_version_id", "ingested_at").distinct()
+    order = Window.partitionBy("document_id").orderBy(F.col("ingested_at").desc_nulls_last(), "document_version_id")
+    return v.select("document_id", "document_version_id", F.row_number().over(order).alias("nth"))
+
+
+@query("select event_id, user_id, value from events")
+def src12_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    path = _scratch(spark)
+    rows = table(spark, d, "events").select("event_id", "user_id", "value")
+    readers.write_jsonl(rows, path)
+    return readers.read_jsonl(spark, path, rows.schema)
+
+
+@query("""with c as (select * from chunk qualify row_number() over (partition by chunk_id) = 1)
+select a.chunk_id, b.ordinal as parent_ordinal, a.ordinal from c a left join c b on a.parent_chunk_id = b.chunk_id""")
+def snk1_chunk_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks written and overwritten by key, parents resolved by ordinal; also joi16."""
+    path = _scratch(spark)
+    chunks = table(spark, d, "chunk").dropDuplicates(["chunk_id"])
+    parent = chunks.select(F.col("chunk_id").alias("parent_chunk_id"), F.col("ordinal").alias("parent_ordinal"))
+    readers.upsert(spark, path, chunks.where("ordinal < 3").select("chunk_id", "parent_chunk_id", "ordinal"), ["chunk_id"])
+    readers.upsert(spark, path, chunks.select("chunk_id", "parent_chunk_id", "ordinal"), ["chunk_id"])
+    return spark.read.parquet(readers.current(path)).join(parent, "parent_chunk_id", "left").select("chunk_id", "parent_ordinal", "ordinal")
+
+
+@query("""with c as (select chunk_id, max(document_version_id) as v, max(ordinal) as ordinal from chunk group by 1)
+select chunk_id, case when ordinal % 5 = 0 then 'pending' when ordinal % 2 = 0 then 'confirmed' end as review_status from c""")
+def snk2_payload_patch(spark: SparkSession, d: str) -> DataFrame:
+    base = table(spark, d, "chunk").groupBy("chunk_id").agg(F.max("ordinal").alias("ordinal"))
+    base = base.withColumn("review_status", F.when(F.col("ordinal") % 2 == 0, "confirmed"))
+    patch = base.where("ordinal % 5 = 0").select("chunk_id", F.lit("pending").alias("review_status"))
+    return readers.patched(base, patch, ["chunk_id"]).select("chunk_id", "review_status")
+
+
+@query("select source, count(*) as n, count(distinct doc_type) as n_types from documents where source is not null group by 1")
+def snk3_csv_report(spark: SparkSession, d: str) -> DataFrame:
+    path = _scratch(spark)
+    report = table(spark, d, "documents").where("source is not null").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("doc_type").alias("n_types"))
+    report.coalesce(1).write.option("header", True).csv(path)
+    return spark.read.schema("source string, n bigint, n_types bigint").option("header", True).csv(path)
+
+
+_ITEMS = """items as (select c.chunk_id, v.status, v.title as document_title, v.document_id, case when c.ordinal % 7 = 0 then 'pending' when c.ordinal % 5 = 0 then 'rejected' when c.ordinal % 3 = 0 then 'confirmed' end as review_status,
+  [c.chunk_type] as topic_tags from (select chunk_id, max(document_version_id) as document_version_id, max(ordinal) as ordinal, max(chunk_type) as chunk_type from chunk group by 1) c
+  join (select document_version_id, max(status) as status, max(title) as title, max(document_id) as document_id from document_version group by 1) v using (document_version_id))"""
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "chunk").groupBy("chunk_id").agg(F.max("document_version_id").alias("document_version_id"), F.max("ordinal").alias("ordinal"), F.max("chunk_type").alias("chunk_type"))
+    v = table(spark, d, "document_version").groupBy("document_version_id").agg(F.max("status").alias("status"), F.max("title").alias("document_title"), F.max("document_id").alias("document_id"))
+    o = F.col("ordinal")
+    review = F.when(o % 7 == 0, "pending").when(o % 5 == 0, "rejected").when(o % 3 == 0, "confirmed")
+    return c.join(v, "document_version_id").select("chunk_id", "status", "document_title", "document_id", review.alias("review_status"), F.array("chunk_type").alias("topic_tags"), "ordinal")
+
+
+@query(f"with {_ITEMS} select chunk_id from items where status in ('active', 'superseded') and list_has_any(topic_tags, ['prose', 'list']) and (document_title is null or document_title not in ('x')) and (review_status is null or review_status not in ('rejected'))")
+def flt1_payload_filter(spark: SparkSession, d: str) -> DataFrame:
+    return _items(spark, d).where(P.payload(statuses=["active", "superseded"], any_tags=["prose", "list"], not_titles=["x"], not_review=["rejected"])).select("chunk_id")
+
+
+@query(f"with {_ITEMS} select chunk_id, review_status from items where status = 'active' and (review_status is null or review_status not in ('pending', 'rejected', 'excluded'))")
+def flt2_retrievable(spark: SparkSession, d: str) -> DataFrame:
+    return _items(spark, d).where(P.retrievable()).select("chunk_id", "review_status")
+
+
+@query("select distinct question_id from eval_question where expected_outcome = 'well_supported' and provenance = 'auto_generated' and source_record_id is not null")
+def flt3_calibration_pool(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "eval_question").where("expected_outcome = 'well_supported' and provenance = 'auto_generated' and source_record_id is not null").select("question_id").distinct()
+
+
+@query("""select event_id, ('0' || regexp_extract(props, '"k": ([0-9]+)', 1))::bigint as k from events where ('0' || regexp_extract(props, '"k": ([0-9]+)', 1))::bigint > 50""")
+def flt4_json_filter(spark: SparkSession, d: str) -> DataFrame:
+    k = F.coalesce(F.get_json_object("props", "$.k").cast("bigint"), F.lit(0))
+    return table(spark, d, "events").select("event_id", k.alias("k")).where("k > 50")
+
+
+POLICY = [("nurse", "care", "name", "allow"), ("nurse", "care", "*", "mask"), ("clerk", "billing", "balance", "allow"), ("nurse", "audit", "name", "deny")]
+_POLICY = ", ".join(str(p) for p in POLICY)
+
+
+@query(f"""with policy(role, purpose, field_path, effect) as (values {_POLICY}), r as (select role, purpose, f as field_path from (values ('nurse'), ('clerk')) a(role), (values ('care'), ('billing'), ('audit')) b(purpose), (values ('name'), ('balance'), ('segment')) c(f))
+select role, purpose, r.field_path, coalesce(x.effect, w.effect, 'deny') as effect from r left join policy x using (role, purpose, field_path) left join (select role, purpose, effect from policy where field_path = '*') w using (role, purpose)""")
+def flt5_field_policy(spark: SparkSession, d: str) -> DataFrame:
+    policy = spark.createDataFrame(POLICY, "role string, purpose string, field_path string, effect string")
+    asks = spark.createDataFrame([(r, p, f) for r in ("nurse", "clerk") for p in ("care", "billing", "audit") for f in ("name", "balance", "segment")], "role string, purpose string, field_path string")
+    return P.effects(asks, policy)
+
+
+@query("select c_custkey, case when c_name is not null then '***' end as c_name, c_acctbal from customer")
+def flt5_masked_projection(spark: SparkSession, d: str) -> DataFrame:
+    return P.masked(table(spark, d, "customer"), {"c_custkey": "allow", "c_acctbal": "allow", "c_name": "mask"}, never=["c_mktsegment"])
+
+
+@query("select o_orderkey, o_orderstatus from orders where o_custkey = 7")
+def flt6_row_scope(spark: SparkSession, d: str) -> DataFrame:
+    return readers.scoped(table(spark, d, "orders"), "o_custkey", 7).select("o_orderkey", "o_orderstatus")
+
+
+@query("""select dataset_id, count(*) as n_records, count(*) filter (where coalesce(trim(mrn), '') = '' or upper(trim(mrn)) like 'TODO%' or coalesce(trim(patient_id), '') = '' or upper(trim(patient_id)) like 'TODO%') as n_blank,
+ count(*) filter (where coalesce(trim(mrn), '') = '' or upper(trim(mrn)) like 'TODO%' or coalesce(trim(patient_id), '') = '' or upper(trim(patient_id)) like 'TODO%') = 0 as accepted from patient_record group by 1""")
+def flt7_batch_guard(spark: SparkSession, d: str) -> DataFrame:
+    return P.batch_faults(table(spark, d, "patient_record"), ["mrn", "patient_id"])
+
+
+@query(f"with {_ITEMS} select chunk_id, document_title, coalesce(review_status, 'none') as review_status, coalesce(topic_tags[1], '') as first_tag from items")
+def flt8_item_projection(spark: SparkSession, d: str) -> DataFrame:
+    return _items(spark, d).select("chunk_id", "document_title", F.coalesce("review_status", F.lit("none")).alias("review_status"), F.coalesce(F.get("topic_tags", F.lit(0)), F.lit("")).alias("first_tag"))
+
+
+@query("select field_name, target from eav_field_spec where target in ('sex') or starts_with(target, 'encounter.') or starts_with(target, 'vitals.')")
+def flt9_scoped_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    spec = table(spark, d, "eav_field_spec").withColumn("field", F.col("target"))
+    return P.in_scope_fields(spec, ["sex", "encounter.", "vitals."]).select("field_name", "target")
+
+
+@query("select distinct record_id from patient_record p where not exists (select 1 from eval_question q where q.source_record_id = p.record_id)")
+def flt10_unused_records(spark: SparkSession, d: str) -> DataFrame:
+    used = table(spark, d, "eval_question").select(F.col("source_record_id").alias("record_id")).distinct()
+    return table(spark, d, "patient_record").select("record_id").distinct().join(used, "record_id", "left_anti")
+
+
+@query("select min(provenance) as provenance, count(distinct provenance) as n from eval_question where provenance is not null")
+def flt11_single_scorer(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "eval_question").where("provenance is not null").agg(F.min("provenance").alias("provenance"), F.count_distinct("provenance").alias("n"))
+
+
+@query("""with r as (select distinct result_id, rater_id from rubric_rating where result_id is not null and rater_id is not null), n as (select result_id, count(*) as n from r group by 1),
+s as (select distinct result_id from result_rating_summary where result_id is not null), me as (select min(rater_id) as rater_id from r)
+select s.result_id, coalesce(n, 0) as n_raters from s left join n using (result_id) where not exists (select 1 from r join me using (rater_id) where r.result_id = s.result_id)""")
+def joi4_queue_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Results that the first rater by id hasn't rated, with their number of raters."""
+    r = table(spark, d, "rubric_rating").where("result_id is not null and rater_id is not null").select("result_id", "rater_id").distinct()
+    me = r.agg(F.min("rater_id").alias("rater_id"))
+    counts = r.groupBy("result_id").agg(F.count("*").alias("n_raters"))
+    s = table(spark, d, "result_rating_summary").where("result_id is not null").select("result_id").distinct()
+    return s.join(counts, "result_id", "left").fillna(0, ["n_raters"]).join(r.join(me, "rater_id"), "result_id", "left_anti")
+
+
+@query("select area, count(distinct s.result_id) as n from eval_question q join result_rating_summary s using (question_id) group by 1")
+def joi5_questions_with_results(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "eval_question").select("question_id", "area").join(table(spark, d, "result_rating_summary"), "question_id").groupBy("area").agg(F.count_distinct("result_id").alias("n"))
+
+
+@query("""with a as (select record_id, max(patient_id) as patient_id from patient_record where patient_id is not null group by 1), b as (select record_id, max(mrn) as mrn from patient_record group by 1)
+select distinct question_id, coalesce(a.patient_id, b.mrn) as resolved from eval_question q left join a on a.record_id = q.source_record_id left join b on b.record_id = q.source_record_id where a.record_id is not null or b.record_id is not null""")
+def joi6_resolve_source(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "patient_record")
+    a = records.where("patient_id is not null").groupBy("record_id").agg(F.max("patient_id").alias("a"))
+    b = records.groupBy("record_id").agg(F.max("mrn").alias("b"))
+    q = table(spark, d, "eval_question").select("question_id", F.col("source_record_id").alias("record_id"))
+    # b holds every record, so a question with neither has no row in b.
+    return q.join(b, "record_id").join(a, "record_id", "left").select("question_id", F.coalesce("a", "b").alias("resolved")).distinct()
+
+
+@query("""with v as (select distinct document_version_id, document_id from document_version), c as (select distinct chunk_id, document_version_id, ordinal from chunk)
+select a.chunk_id as chunk_a, b.chunk_id as chunk_b from c a join v va on va.document_version_id = a.document_version_id join c b on a.ordinal = b.ordinal join v vb on vb.document_version_id = b.document_version_id and va.document_id = vb.document_id where a.document_version_id < b.document_version_id""")
+def joi7_version_pairs(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "document_version").select("document_version_id", "document_id").distinct()
+    at = table(spark, d, "chunk").select("chunk_id", "document_version_id", "ordinal").distinct().join(v, "document_version_id")
+    other = at.select("document_id", "ordinal", F.col("chunk_id").alias("chunk_b"), F.col("document_version_id").alias("v_b"))
+    return at.join(other, ["document_id", "ordinal"]).where("document_version_id < v_b").select(F.col("chunk_id").alias("chunk_a"), "chunk_b")
+
+
+TOLERANCES = {"heart_rate": 15.0, "temparature": 0.5}
+
+
+def _wide(spark: SparkSession, d: str) -> DataFrame:
+    listed = eav.fields(table(spark, d, "eav_field_spec"))
+    rows = table(spark, d, "newborn_nbu_2021")
+    return cut(eav.wide(rows, eav.compacted_cells(rows, listed), table(spark, d, "patient_record"), listed))
+
+
+_FINDINGS = ["apnoea", "bulging_fontanelle", "central_cyanosis", "convulsions", "crackles", "difficulty_breathing", "difficulty_feeding", "floppy", "grunting", "indrawing", "irritable"]
+_FLAGS = _CELLS + """,
+f as (select record_key as id, list_sort(list(field_name) filter (where field_name in ({})  and reading = 'true')) as findings,
+  max(case when field_name = 'heart_rate' and reading <> chr(0) then reading end)::double as heart_rate, max(case when field_name = 'temparature' and reading <> chr(0) then reading end)::double as temparature
+  from cell group by 1)""".format(", ".join(f"'{x}'" for x in _FINDINGS))
+
+
+def _findings(spark: SparkSession, d: str) -> DataFrame:
+    present = F.array_compact(F.array(*[F.when(F.col(x), F.lit(x)) for x in _FINDINGS]))
+    return _wide(spark, d).select(F.col("record_key").alias("id"), present.alias("findings"), "heart_rate", "temparature")
+
+
+@query(_FLAGS + """ select a.id as id_a, b.id as id_b, round(len(list_intersect(a.findings, b.findings)) / (len(a.findings) + len(b.findings) - len(list_intersect(a.findings, b.findings))), 6) as similarity
+from f a join f b on a.id < b.id where len(a.findings) > 0 and len(b.findings) > 0
+ and len(list_intersect(a.findings, b.findings)) >= 0.8 * (len(a.findings) + len(b.findings) - len(list_intersect(a.findings, b.findings)))
+ and coalesce(abs(a.heart_rate - b.heart_rate) <= 15, true) and coalesce(abs(a.temparature - b.temparature) <= 0.5, true)""")
+def joi8_similar_records(spark: SparkSession, d: str) -> DataFrame:
+    return N.similar_records(_findings(spark, d), 0.8, TOLERANCES)
+
+
+@query("""with c as (select distinct chunk_id, sha256(chunk_id) as h from chunk), s as (select substr(md5(chunk_id), 1, 1) as name, case when ordinal = 1 then 'gone' else sha256(chunk_id) end as h from (select distinct chunk_id, ordinal from chunk))
+select name, count(c.chunk_id) as n, count(*) as wanted from s left join c using (h) group by 1""")
+def joi11_reference_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Sets of digests resolved to the chunks that have them; some are gone."""
+    rows = table(spark, d, "chunk").select("chunk_id", "ordinal").distinct()
+    c = rows.select("chunk_id", F.sha2("chunk_id", 256).alias("h")).distinct()
+    h = F.when(F.col("ordinal") == 1, "gone").otherwise(F.sha2("chunk_id", 256))
+    sets = rows.select(F.substring(F.md5("chunk_id"), 1, 1).alias("name"), h.alias("h"))
+    return sets.join(c, "h", "left").groupBy("name").agg(F.count("chunk_id").alias("n"), F.count("*").alias("wanted"))
+
+
+@query("""select 'question_record' as link, count(*) as n from (select distinct source_record_id from eval_question where source_record_id is not null) q where not exists (select 1 from patient_record p where p.record_id = q.source_record_id)
+union all select 'result_question', count(*) from (select distinct question_id from result_rating_summary where question_id is not null) s where not exists (select 1 from eval_question q where q.question_id = s.question_id)
+union all select 'version_supersedes', count(*) from (select distinct supersedes_id from document_version where supersedes_id is not null) s where not exists (select 1 from document_version v where v.document_version_id = s.supersedes_id)
+union all select 'slice_result', count(*) from (select distinct unnest(result_ids) as result_id from irr_domain_score) s where result_id is not null and not exists (select 1 from result_rating_summary r where r.result_id = s.result_id)""")
+def joi12_broken_links(spark: SparkSession, d: str) -> DataFrame:
+    t = lambda n: table(spark, d, n)
+    links = [
+        ("question_record", t("eval_question").select(F.col("source_record_id").alias("k")), t("patient_record").select(F.col("record_id").alias("k"))),
+        ("result_question", t("result_rating_summary").select(F.col("question_id").alias("k")), t("eval_question").select(F.col("question_id").alias("k"))),
+        ("version_supersedes", t("document_version").select(F.col("supersedes_id").alias("k")), t("document_version").select(F.col("document_version_id").alias("k"))),
+        ("slice_result", t("irr_domain_score").select(F.explode("result_ids").alias("k")), t("result_rating_summary").select(F.col("result_id").alias("k"))),
+    ]
+    out = None
+    for name, have, of in links:
+        n = have.where("k is not null").distinct().join(of, "k", "left_anti").agg(F.count("*").alias("n")).select(F.lit(name).alias("link"), "n")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query("""with s as (select document_version_id, chunk_id, row_number() over (partition by document_version_id order by ordinal, chunk_id) as i from (select distinct document_version_id, chunk_id, ordinal from chunk)),
+q as (select document_version_id, case when i % 2 = 0 then 'c' || i else chunk_id end as label from s union all select document_version_id, 'c999' from s)
+select q.document_version_id, q.label, coalesce(a.chunk_id, b.chunk_id) as chunk_id from (select distinct * from q) q left join s a on a.document_version_id = q.document_version_id and q.label = 'c' || a.i left join s b on b.document_version_id = q.document_version_id and q.label = b.chunk_id""")
+def joi13_citation_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels by position or by id, resolved within each version."""
+    i = F.row_number().over(Window.partitionBy("document_version_id").orderBy("ordinal", "chunk_id"))
+    s = table(spark, d, "chunk").select("document_version_id", "chunk_id", "ordinal").distinct().withColumn("i", i)
+    labels = s.select("document_version_id", F.when(F.col("i") % 2 == 0, F.concat(F.lit("c"), "i")).otherwise(F.col("chunk_id")).alias("label"))
+    labels = labels.unionByName(s.select("document_version_id", F.lit("c999").alias("label"))).distinct()
+    by_place = s.select("document_version_id", F.concat(F.lit("c"), "i").alias("label"), F.col("chunk_id").alias("a"))
+    by_id = s.select("document_version_id", F.col("chunk_id").alias("label"), F.col("chunk_id").alias("b"))
+    on = ["document_version_id", "label"]
+    return labels.join(by_place, on, "left").join(by_id, on, "left").select(*on, F.coalesce("a", "b").alias("chunk_id"))
+
+
+@query("""with g as (select distinct l_orderkey as query_id, l_partkey::varchar as chunk_id, l_linenumber as page from lineitem), p as (select l_orderkey as query_id, l_partkey::varchar as chunk_id, l_linenumber + (l_partkey % 2) as page, l_linenumber as position, l_suppkey from lineitem where l_suppkey % 3 <> 0),
+f as (select query_id, chunk_id, arg_min(page, position) as predicted_page from p group by all)
+select g.query_id, g.chunk_id, g.page, f.predicted_page, coalesce(abs(g.page - f.predicted_page) <= 0, false) as fits from g left join f using (query_id, chunk_id) where g.query_id in (select query_id from g group by 1 having count(*) = count(distinct chunk_id))""")
+def joi14_loci(spark: SparkSession, d: str) -> DataFrame:
+    from marlstone.operators.metrics import loci
+
+    li = table(spark, d, "lineitem")
+    base = li.select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").cast("string").alias("chunk_id"), F.col("l_linenumber").alias("page"), "l_partkey", "l_suppkey")
+    gold = base.select("query_id", "chunk_id", "page").distinct()
+    single = gold.groupBy("query_id").agg(F.count("*").alias("a"), F.count_distinct("chunk_id").alias("b")).where("a = b").select("query_id")
+    predicted = base.where("l_suppkey % 3 <> 0").select("query_id", "chunk_id", (F.col("page") + F.col("l_partkey") % 2).alias("page"), F.col("page").alias("position"))
+    return loci(gold.join(single, "query_id", "left_semi"), predicted)
+
+
+SYNONYMS = [("size", "part.size"), ("ring size", "part.ring_size"), ("widget", "part.widget"), ("small", "part.small"), ("red", "part.colour")]
+_SYN = ", ".join(str(s) for s in SYNONYMS)
+
+
+@query(f"""with s(synonym, path) as (values {_SYN}), f as (select distinct p_name as field from part), h as (select field, arg_max(path, struct_pack(n := len(synonym), s := synonym)) as path from f join s on contains(lower(trim(field)), synonym) group by 1)
+select p_partkey, p_name as field, path from part left join h on h.field = p_name""")
+def joi15_mapped_fields(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("field"))
+    return N.mapped_fields(rows, spark.createDataFrame(SYNONYMS, "synonym string, path string")).select("p_partkey", "field", "path")
+
+
+@query("with c as (select * from chunk qualify row_number() over (partition by chunk_id) = 1) select b.chunk_id as parent, count(*) as n_children from c a join c b on a.parent_chunk_id = b.chunk_id group by 1")
+def joi16_parents(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "chunk").dropDuplicates(["chunk_id"])
+    return c.where("parent_chunk_id is not null").join(c.select(F.col("chunk_id").alias("parent_chunk_id")), "parent_chunk_id").groupBy(F.col("parent_chunk_id").alias("parent")).agg(F.count("*").alias("n_children"))
+
+
+@query("select p_type, list_aggregate(list_sort(list_distinct(list(p_brand))), 'string_agg', ',') as brands, len(list_intersect(list_distinct(list(p_size)), [1, 5, 10, 20])) as shared from part group by 1")
+def set1_array_sets(spark: SparkSession, d: str) -> DataFrame:
+    sizes = F.array_intersect(F.collect_set(F.col("p_size").cast("int")), F.array(*[F.lit(x) for x in (1, 5, 10, 20)]))
+    return table(spark, d, "part").groupBy("p_type").agg(F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("brands"), F.size(sizes).cast("bigint").alias("shared"))
+
+
+@query("""with a as (select doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) as w from documents), ca as (select doc_id, w, count(*) as n from a group by all),
+cb as (select doc_id + 1 as doc_id, w, n from ca)
+select doc_id, sum(greatest(ca.n - coalesce(cb.n, 0), 0))::bigint as more from ca left join cb using (doc_id, w) group by 1""")
+def set3_multiset_difference(spark: SparkSession, d: str) -> DataFrame:
+    """How many words a document has more often than the one before it."""
+    words = table(spark, d, "documents").select("doc_id", F.explode(words_of(F.col("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
+    before = words.select((F.col("doc_id") + 1).alias("doc_id"), "w", F.col("n").alias("b"))
+    return words.join(before, ["doc_id", "w"], "left").groupBy("doc_id").agg(F.sum(F.greatest(F.col("n") - F.coalesce("b", F.lit(0)), F.lit(0))).alias("more"))
+
+
+@query("""with w as (select distinct question_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda x: lower(x))) as w, area from eval_question where text is not null)
+select question_id, len(list_filter(w, lambda x: not list_contains(list_transform(regexp_extract_all(coalesce(area, ''), '[A-Za-z]+'), lambda y: lower(y)), x) and x not in ('the', 'a', 'is', 'of', 'and'))) as n_foreign from w""")
+def set4_vocabulary_check(spark: SparkSession, d: str) -> DataFrame:
+    allowed = F.array_union(words_of(F.coalesce("area", F.lit(""))), F.array(*[F.lit(x) for x in ("the", "a", "is", "of", "and")]))
+    q = table(spark, d, "eval_question").where("text is not null").select("question_id", "text", "area").distinct()
+    return q.select("question_id", F.size(F.array_except(words_of(F.col("text")), allowed)).cast("bigint").alias("n_foreign")).distinct()
+
+
+@query("select question_id from eval_question where question_id is not null except select question_id from eval_question where in_fixed_testset")
+def set5_pool_difference(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "eval_question")
+    return q.where("question_id is not null").select("question_id").distinct().join(q.where("in_fixed_testset").select("question_id"), "question_id", "left_anti")
+
+
+@query("select user_id, string_agg(event_type, ',' order by first) as kinds from (select user_id, event_type, min(event_id) as first from events group by all) group by 1")
+def set6_ordered_distinct(spark: SparkSession, d: str) -> DataFrame:
+    first = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))
+    ordered = F.array_sort(F.collect_list(F.struct("first", "event_type")))
+    return first.groupBy("user_id").agg(F.array_join(F.transform(ordered, lambda x: x["event_type"]), ",").alias("kinds"))
+
+
+@query(_CELLS + " select record_key, count(*) filter (where reading <> chr(0)) as n_known, count(*) as n_cells from cell group by 1")
+def rec1_mapped_records(spark: SparkSession, d: str) -> DataFrame:
+    listed = eav.fields(table(spark, d, "eav_field_spec"))
+    cells = eav.compacted_cells(table(spark, d, "newborn_nbu_2021"), listed)
+    return cells.groupBy("record_key").agg(F.count("cell.reading").alias("n_known"), F.count("*").alias("n_cells"))
+
+
+_NUMBERS = ["heart_rate", "temparature", "respiratory_rate", "age_days"]
+_KNOWN = _CELLS + """,
+known as (select record_key as key, field_name as path, case when value_type in ('int', 'double') then reading::double end as num, case when value_type = 'boolean' then reading = 'true' end as flag
+  from cell join (select distinct field_name, value_type from eav_field_spec) using (field_name) where reading <> chr(0) and (field_name in ({}) or field_name in ('apnoea', 'convulsions', 'grunting')))""".format(", ".join(f"'{x}'" for x in _NUMBERS))
+
+
+def _known(spark: SparkSession, d: str) -> DataFrame:
+    return N.features(_wide(spark, d), "record_key", {n: F.col(n) for n in _NUMBERS}, {n: F.col(n) for n in ("apnoea", "convulsions", "grunting")}).withColumnRenamed("record_key", "key")
+
+
+@query(_KNOWN + " select * from known")
+def rec2_features(spark: SparkSession, d: str) -> DataFrame:
+    return _known(spark, d)
+
+
+@query("""select o_orderkey, o_orderkey % 3 = 0 as direct, (o_orderkey % 3 = 0) or (o_orderkey % 2 = 0) as grouped from orders""")
+def rec3_presence_lookup(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    index = F.create_map(F.lit("sex"), k % 3 == 0, F.lit("vitals.0.hr"), k % 3 == 0, F.lit("vitals.1.hr"), k % 2 == 0)
+    return table(spark, d, "orders").select("o_orderkey", N.present(index, F.lit("sex"), ["vitals"]).alias("direct"), N.present(index, F.lit("vitals.hr"), ["vitals"]).alias("grouped"))
+
+
+CRITERIA = [(1, "heart_rate", ">", 160.0), (2, "temparature", "<", 36.5), (3, "age_days", "<=", 2.0), (4, "unknown", ">", 1.0), (5, "respiratory_rate", ">=", 60.0)]
+_CRIT = ", ".join(str(c) for c in CRITERIA)
+
+
+@query(_KNOWN + f""", crit(criterion_id, path, operator, value) as (values {_CRIT})
+select k.key, criterion_id, case operator when '>' then num > value when '<' then num < value when '>=' then num >= value when '<=' then num <= value when '=' then num = value end as matched
+from (select k.key, crit.* from (select distinct key from known) k, crit) k left join known using (key, path)""")
+def rec4_criteria(spark: SparkSession, d: str) -> DataFrame:
+    return N.evaluated(spark.createDataFrame(CRITERIA, "criterion_id int, path string, operator string, value double"), _known(spark, d))
+
+
+CONCEPTS = [("fast heart", "heart_rate", ">", 160.0, None), ("normal heat", "temparature", "between", 36.5, 37.5), ("apnoea seen", "apnoea", "present", None, None), ("aged", "age_days", "value", None, None)]
+_CONC = ", ".join("(" + ", ".join("null" if x is None else repr(x) for x in c) + ")" for c in CONCEPTS)
+_FIRED = _KNOWN + f""", v(concept, field, operator, low, high) as (values {_CONC}),
+fired as (select key, concept from known join v on path = field where case operator when 'present' then flag when 'value' then num is not null when '>' then num > low when 'between' then num between low and high end)"""
+
+
+def _fired(spark: SparkSession, d: str) -> DataFrame:
+    return N.concepts_of(_known(spark, d), spark.createDataFrame(CONCEPTS, "concept string, field string, operator string, low double, high double"))
+
+
+@query(_FIRED + " select * from fired")
+def rec5_concepts(spark: SparkSession, d: str) -> DataFrame:
+    return _fired(spark, d)
+
+
+@query(_FIRED + """, q as (select distinct question_id as query_id, record_key as key, q.text from eval_question q join patient_record p on p.record_id = q.source_record_id where q.text is not null),
+per_key as (select key, list_aggregate(list_sort(list_distinct(list(concept))), 'string_agg', '; ') as terms from fired group by 1)
+select query_id, sha256(text || coalesce('; ' || terms, '')) as digest, terms is not null as fired from q left join per_key using (key)""")
+def rec6_augmented(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "patient_record").select(F.col("record_id").alias("source_record_id"), F.col("record_key").alias("key"))
+    q = table(spark, d, "eval_question").where("text is not null").join(records, "source_record_id").select(F.col("question_id").alias("query_id"), "key", "text").distinct()
+    return N.augmented(q, _fired(spark, d)).select("query_id", F.sha2("text", 256).alias("digest"), "fired")
+
+
+_HEADINGS = {1: "severe", 2: "cold", 3: "severe", 5: "cold"}
+
+
+@query(_KNOWN + f""", crit(criterion_id, path, operator, value, heading) as (values {", ".join(str((*c, _HEADINGS[c[0]])) for c in CRITERIA if c[0] in _HEADINGS)}),
+m as (select key, heading, case operator when '>' then num > value when '<' then num < value when '>=' then num >= value when '<=' then num <= value end as matched from (select k.key, crit.* from (select distinct key from known) k, crit) k left join known using (key, path)),
+j as (select key, heading, bool_and(matched) as ok from m where matched is not null group by all), w as (select key, count(*) as n, min(heading) as heading from j where ok group by 1)
+select key, case when n = 1 then heading else 'uncertain' end as stage from (select distinct key from m) left join w using (key)""")
+def rec7_stages(spark: SparkSession, d: str) -> DataFrame:
+    criteria = spark.createDataFrame([c for c in CRITERIA if c[0] in _HEADINGS], "criterion_id int, path string, operator string, value double")
+    heads = spark.createDataFrame(list(_HEADINGS.items()), "criterion_id int, heading string")
+    return N.stages(N.evaluated(criteria, _known(spark, d)).join(heads, "criterion_id"))
+
+
+@query(_KNOWN + """, req as (select key, path, pos from (select distinct key from known), (values ('heart_rate', 1), ('apnoea', 2), ('heart_rate', 3), ('weight', 4)) v(path, pos))
+select key, path, min(pos) as position from req where not exists (select 1 from known k where k.key = req.key and k.path = req.path) group by all""")
+def rec8_missing_paths(spark: SparkSession, d: str) -> DataFrame:
+    known = _known(spark, d)
+    need = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(i).alias("position")) for p, i in (("heart_rate", 1), ("apnoea", 2), ("heart_rate", 3), ("weight", 4))])
+    required = known.select("key").distinct().select("key", F.inline(need))
+    return N.missing_paths(required, known)
+
+
+@query("select md5(mrn) as mrn_hash, count(*) as n_snapshots, max(record_id) as last_record from (select distinct record_id, mrn from patient_record) group by 1")
+def rec9_patient_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "patient_record").select("record_id", "mrn").distinct()
+    return r.groupBy(F.md5("mrn").alias("mrn_hash")).agg(F.count("*").alias("n_snapshots"), F.max("record_id").alias("last_record"))
+
+
+BANDS = [("newborn", None, 7.0), ("late newborn", 7.0, 28.0), ("infant", 28.0, None)]
+_BANDS = ", ".join("(" + ", ".join("null" if x is None else repr(x) for x in b) + ")" for b in BANDS)
+
+
+@query(_CELLS + f""", a as (select record_key, max(case when field_name = 'age_days' and reading <> chr(0) then reading end)::int as age_days, max(case when field_name = 'sex' and reading <> chr(0) then reading end) as sex from cell group by 1), b(band, low, high) as (values {_BANDS})
+select record_key, concat_ws(', ', 'aged ' || age_days || ' days (' || band || ')', sex) as sentence from a left join b on (low is null or age_days >= low) and (high is null or age_days < high)""")
+def rec10_area_question(spark: SparkSession, d: str) -> DataFrame:
+    banded = N.banded(_wide(spark, d), spark.createDataFrame(BANDS, "band string, low double, high double"), "age_days")
+    aged = F.concat(F.lit("aged "), "age_days", F.lit(" days ("), "band", F.lit(")"))
+    keyed = banded.where("age_days is not null or band = 'newborn' or band is null")
+    none = F.col("age_days").isNull()
+    return keyed.select("record_key", F.concat_ws(", ", F.when(~none, aged), "sex").alias("sentence")).distinct()
+
+
+@query("select user_id, string_agg(event_type, ' ' order by ts, event_id) as transcript, count(*) as turns from events group by 1")
+def rec13_transcript(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events in order; a user's own history is the row's natural bound."""
+    turns = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
+    return table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.transform(turns, lambda x: x["event_type"]), " ").alias("transcript"), F.count("*").alias("turns"))
+
+
+@query("""select o_orderkey, case when o_orderstatus = 'F' then 'accepted' when o_orderstatus = 'P' then 'expired' else 'provisional' end as state, case when o_orderstatus = 'P' then timestamp '2000-01-01' end as valid_to from orders""")
+def rec14_validity(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("o_orderstatus")
+    return table(spark, d, "orders").select(
+        "o_orderkey", F.when(s == "F", "accepted").when(s == "P", "expired").otherwise("provisional").alias("state"),
+        F.when(s == "P", F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")).alias("valid_to"),
+    )
+
+
+@query("""select event_id, regexp_matches(props, '"k"') as forbidden from events""")
+def rec15_forbidden_keys(spark: SparkSession, d: str) -> DataFrame:
+    keys = F.coalesce(F.json_object_keys("props"), F.array().cast("array<string>"))
+    return table(spark, d, "events").select("event_id", F.arrays_overlap(keys, F.array(F.lit("k"), F.lit("dose"))).alias("forbidden"))
+
+
+@query("select record_id, max(patient_id) is not null as has_patient, max(mrn) is not null as has_mrn, 5 as n_paths from patient_record group by 1")
+def agg23_presence_index(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "patient_record").groupBy("record_id").agg(F.max("patient_id").alias("p"), F.max("mrn").alias("mrn"), F.collect_set("dataset_id").alias("sets"))
+    nested = r.select("record_id", F.struct(F.col("p").alias("id"), "mrn").alias("patient"), "sets", F.lit(1).alias("a"), F.lit(None).cast("string").alias("b"))
+    index = N.presence_index(nested, "record_id")
+    return index.select("record_id", F.element_at("field_index", "patient.id").alias("has_patient"), F.element_at("field_index", "patient.mrn").alias("has_mrn"), F.size("field_index").alias("n_paths"))
