@@ -23,7 +23,7 @@ LABELS = range(1, 6)
 #: Smoothing: so many ratings of this accuracy are added to each annotator's own.
 PRIOR, PRIOR_ACCURACY = 5.0, 0.5
 MOST_ROUNDS = 20
-STABLE = 1e-4
+STABLE = 0.05
 
 
 def domain(code: Column) -> Column:
@@ -69,7 +69,7 @@ def consensus(ratings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rater; what the driver sees of it is one number, the largest change of a weight.
     """
     live = cut(live_scores(ratings).repartition("result_id", "domain_code"))
-    weights = live.select("rater_id").distinct().withColumn("weight", F.lit(1.0))
+    weights = live.groupBy("rater_id").agg(F.count("*").alias("n_ratings")).withColumn("weight", F.lit(1.0))
     for _ in range(MOST_ROUNDS):
         weighted = live.join(weights.select("rater_id", "weight"), "rater_id")
         votes = _votes(weighted)
@@ -80,15 +80,15 @@ def consensus(ratings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         accuracy = (F.col("n_agreed") + PRIOR * PRIOR_ACCURACY) / (F.col("n_judged") + PRIOR)
         # Log odds against a guess among the labels, never below a trifle.
         odds = F.greatest(F.log(accuracy * (len(LABELS) - 1) / F.greatest(1 - accuracy, F.lit(1e-3))), F.lit(0.05))
-        new = by_rater.select("rater_id", "n_judged", accuracy.alias("loo_accuracy"), odds.alias("weight"))
-        everyone = live.groupBy("rater_id").agg(F.count("*").alias("n_ratings"))
-        new = cut(
-            everyone.join(new, "rater_id", "left")
-            .withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-            .withColumn("n_judged", F.coalesce("n_judged", F.lit(0)))
+        new = by_rater.select("rater_id", "n_judged", accuracy.alias("loo_accuracy"), odds.alias("odds"))
+        # Half a step each round: whole steps can swing between two consensus labels of close items for ever.
+        weight = F.coalesce((F.col("was") + F.col("odds")) / 2, F.lit(1.0))
+        weights = cut(
+            weights.select("rater_id", "n_ratings", F.col("weight").alias("was"))
+            .join(new, "rater_id", "left")
+            .select("rater_id", "n_ratings", F.coalesce("n_judged", F.lit(0)).alias("n_judged"), "loo_accuracy", weight.alias("weight"), F.abs(weight - F.col("was")).alias("change"))
         )
-        change = new.join(weights.select("rater_id", F.col("weight").alias("was")), "rater_id").agg(F.max(F.abs(F.col("weight") - F.col("was")))).first()[0]
-        weights = new
+        change = weights.agg(F.max("change")).first()[0]
         if change is None or change < STABLE:
             break
     votes = _votes(live.join(weights.select("rater_id", "weight"), "rater_id"))
@@ -97,9 +97,7 @@ def consensus(ratings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     picked = votes.withColumn("consensus", _winner(sums))
     best = reduce(lambda a, b: a + b, [F.when(F.col("consensus") == k, w).otherwise(0.0) for k, w in sums.items()])
     items = cut(picked.select("result_id", "domain_code", "consensus", (best / total).alias("confidence"), F.col("n").alias("n_ratings")))
-    if "loo_accuracy" not in weights.columns:
-        weights = weights.withColumn("n_ratings", F.lit(0)).withColumn("n_judged", F.lit(0)).withColumn("loo_accuracy", F.lit(None).cast("double"))
-    return items, weights, live
+    return items, weights.drop("change"), live
 
 
 def reliability(items: DataFrame, live: DataFrame, least_ratings: int = 3) -> DataFrame:
