@@ -121,7 +121,9 @@ def profiles(texts: dict[str, list[str]]) -> np.ndarray:
     ranks = np.full((len(LANGUAGES), _SIZE), PROFILE, dtype=np.int16)
     for k, lang in enumerate(LANGUAGES):
         if texts.get(lang):
-            count = np.bincount(grams(texts[lang])[1], minlength=_SIZE)
+            count = np.zeros(_SIZE, dtype=np.int64)
+            for at in range(0, len(texts[lang]), 500):
+                count += np.bincount(grams(texts[lang][at : at + 500])[1], minlength=_SIZE)
             top = np.argsort(-count, kind="stable")[:PROFILE]
             top = top[count[top] > 0]
             ranks[k, top] = np.arange(len(top))
@@ -139,8 +141,7 @@ def train(sample: list[tuple[str, str]]) -> np.ndarray:
     pairs = [(c, s) for c, s in pairs if s.count(" ") + 1 >= LEAST_WORDS]
     by: dict[str, list[str]] = {lang: [s for c, s in pairs if c == lang] for lang in LANGUAGES}
     ranks = profiles(by)
-    near, _ = distances([s for _, s in pairs], ranks)
-    given = near.argmin(axis=1) if len(pairs) else []
+    given = [k for at in range(0, len(pairs), 500) for k in distances([s for _, s in pairs[at : at + 500]], ranks)[0].argmin(axis=1)]
     by = {lang: [s for (c, s), g in zip(pairs, given, strict=True) if c == lang == LANGUAGES[g]] for lang in LANGUAGES}
     return profiles(by)
 
