@@ -275,9 +275,12 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def groups(members: DataFrame, links: DataFrame) -> DataFrame:
+def groups(members: DataFrame, links: DataFrame, records: DataFrame | None = None) -> DataFrame:
     """id, group_id, n_links, n_copies: one row per record and set. group_id is the least set of the connected sets,
-    n_links counts other sets linked to the record's, n_copies the records that share its set (itself included)."""
+    n_links counts other sets linked to the record's, n_copies the records that share its set (itself included).
+
+    records (id): records without words come too, with a null group, no links and one copy.
+    """
     degree = (
         links.select(F.col("a").alias("set_id"))
         .unionByName(links.select(F.col("b").alias("set_id")))
@@ -287,6 +290,11 @@ def groups(members: DataFrame, links: DataFrame) -> DataFrame:
     copies = members.groupBy("set_id").agg(F.count("*").alias("n_copies"))
     labels = components(copies.select(F.col("set_id").alias("node")), links)
     per_set = copies.join(labels.withColumnRenamed("node", "set_id"), "set_id").join(degree, "set_id", "left")
-    return members.join(per_set, "set_id").select(
+    found = members.join(per_set, "set_id").select(
         "id", F.col("component").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"
     )
+    if records is None:
+        return found
+    bare = records.where("id is not null").select("id").distinct().join(members.select("id").distinct(), "id", "left_anti")
+    none = bare.select("id", F.lit(None).cast("string").alias("group_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("n_copies"))
+    return found.unionByName(none)

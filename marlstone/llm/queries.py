@@ -42,7 +42,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     members, sets = _question_sets(spark, d)
-    found = near_duplicates.groups(members, near_duplicates.similar_sets(sets))
+    records = table(spark, d, "eval_question").select(F.col("question_id").alias("id"))
+    found = near_duplicates.groups(members, near_duplicates.similar_sets(sets), records)
     return found.withColumnRenamed("id", "question_id")
 
 

@@ -81,7 +81,8 @@ def cuts(text: str, most: int, overlap: int) -> tuple[list[tuple[int, int]], lis
         if n - at <= room:
             pieces.append((at - back, at, n))
             break
-        low, high = at + max(1, int(room * LEAST_FILL)), at + room
+        # The first piece is long enough to hold the next one's overlap.
+        low, high = at + max(1, int(room * LEAST_FILL), overlap - at), at + room
         places = range(low, high + 1)  # a cut at p: words before p belong to this piece
         mark = min(places, key=lambda p: marks[p - 1])
         for rank in ([0, 1], [2], [3], [4]):
