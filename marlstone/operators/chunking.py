@@ -183,20 +183,20 @@ def split_at_sentences(text: Column, most: int = SOFT_CAP) -> Column:
     return F.when(approx_tokens(text) <= most, whole).otherwise(F.transform(packed(sentences(text), most), lambda p: F.array_join(p, " ")))
 
 
-def prose_windows(paragraphs: Column, most: int = WINDOW, overlap: float = OVERLAP) -> Column:
-    """array<struct<window_no, n_words, n_overlap, text>>: greedy windows of paragraphs; each later one begins with the
-    last words of the one before."""
-    bodies = F.transform(packed(paragraphs, most), lambda p: F.array_join(p, "\n\n"))
-
-    def shaped(body: Column, i: Column) -> Column:
-        words = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
-        before = words(F.get(bodies, i - 1))
-        n = F.greatest(F.lit(1), F.bround(F.size(before) * overlap).cast("int"))
-        tail = F.slice(before, F.size(before) - n + 1, n)
-        text = F.when(i > 0, F.concat(F.array_join(tail, " "), F.lit("\n\n"), body)).otherwise(body)
-        return F.struct(i.alias("window_no"), F.size(words(body)).alias("n_words"), F.when(i > 0, n).otherwise(0).alias("n_overlap"), text.alias("text"))
-
-    return F.transform(bodies, shaped)
+def prose_windows(documents: DataFrame, doc_id: str, paragraphs: Column, most: int = WINDOW, overlap: float = OVERLAP) -> DataFrame:
+    """doc_id, window_no, n_words, n_overlap, text: greedy windows of paragraphs (array<string>); each later one begins with
+    the last words of the one before.
+
+    Bodies and their words are columns of their own, computed once a document before they are looked at per window.
+    """
+    rows = documents.select(doc_id, F.transform(packed(paragraphs, most), lambda p: F.array_join(p, "\n\n")).alias("_bodies"))
+    rows = rows.withColumn("_words", F.transform("_bodies", lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")))
+    flat = rows.select(doc_id, "_words", F.posexplode("_bodies").alias("window_no", "_body"))
+    before = F.get("_words", F.col("window_no") - 1)
+    n = F.greatest(F.lit(1), F.bround(F.size(before) * overlap).cast("int"))
+    later = F.col("window_no") > 0
+    text = F.when(later, F.concat(F.array_join(F.slice(before, F.size(before) - n + 1, n), " "), F.lit("\n\n"), "_body")).otherwise(F.col("_body"))
+    return flat.select(doc_id, "window_no", F.size(F.get("_words", F.col("window_no"))).alias("n_words"), F.when(later, n).otherwise(0).alias("n_overlap"), text.alias("text"))
 
 
 def with_parents(chunks: DataFrame) -> DataFrame:

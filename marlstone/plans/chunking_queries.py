@@ -146,8 +146,7 @@ select doc_id, window_no, n_words, case when window_no > 0 then greatest(1, cast
 def chk9_prose_windows(spark: SparkSession, d: str) -> DataFrame:
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.replace(x, F.lit("\r"), F.lit("")))), lambda x: x != "")
     docs = table(spark, d, "documents").where("text is not null").withColumn("ps", lines).where(F.size("ps") > 0)
-    flat = docs.select("doc_id", F.inline(C.prose_windows(F.col("ps"), 60)))
-    return flat.select("doc_id", "window_no", F.col("n_words").cast("bigint").alias("n_words"), "n_overlap")
+    return C.prose_windows(docs, "doc_id", F.col("ps"), 60).select("doc_id", "window_no", F.col("n_words").cast("bigint").alias("n_words"), "n_overlap")
 
 
 @query(f"""with {_CHUNKS}, p as (select chunk_id, ordinal, chunk_type, first_value(ordinal) over w as f,
