@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.operators.joins import against_all
+
 
 def latest_per_key(rows: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The last row per key by the order; a maximum over structs, so nothing is gathered."""
@@ -73,8 +75,7 @@ def mapped_fields(criteria: DataFrame, synonyms: DataFrame) -> DataFrame:
 def evaluated(criteria: DataFrame, known: DataFrame) -> DataFrame:
     """criteria (criterion_id, path, operator, value) against features (key, path, num): key, criterion_id, matched;
     matched is null where the path is unknown, the feature is absent or is no number."""
-    keys = known.select("key").distinct().withColumn("_j", F.lit(1))
-    every = keys.join(criteria.withColumn("_j", F.lit(1)), "_j").drop("_j")
+    every = against_all(criteria, known.select("key").distinct())
     joined = every.join(known.select("key", "path", "num"), ["key", "path"], "left")
     return joined.select("key", "criterion_id", compares(F.col("operator"), F.col("num"), F.col("value")).alias("matched"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import analyze, query_terms
+from marlstone.operators.joins import against_all
 
 K1, B = 1.2, 0.75
 RRF_DAMPING = 60
@@ -178,7 +179,7 @@ def hybrid(lexical: DataFrame, dense: DataFrame, candidates: int = CANDIDATES, f
 
 def with_rest(scores: DataFrame, queries: DataFrame, items: DataFrame) -> DataFrame:
     """query_id, item_id, rank over all items: scored ones by score, the others behind them by id."""
-    every = queries.select("query_id", F.lit(1).alias("_j")).join(items.select("item_id", F.lit(1).alias("_j")), "_j").drop("_j")
+    every = against_all(queries.select("query_id"), items.select("item_id"))
     return ranked(every.join(scores, ["query_id", "item_id"], "left")).select("query_id", "item_id", "rank")
 
 

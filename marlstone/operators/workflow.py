@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.joins import against_all
+
 
 def superseded(versions: DataFrame) -> DataFrame:
     """versions (document_id, version_id, label, effective_date) with current: the newest of a document.
@@ -34,7 +36,7 @@ def queue(results: DataFrame, rounds: DataFrame, raters: DataFrame, started: tup
     """
     counts = rounds.groupBy("result_id").agg(F.count_distinct("rater_id").alias("n_raters"))
     open_results = results.join(counts, "result_id", "left").fillna(0, ["n_raters"]).where(F.col("n_raters") <= started[1])
-    every = raters.select("rater_id", F.lit(1).alias("_j")).join(open_results.withColumn("_j", F.lit(1)), "_j").drop("_j")
+    every = against_all(raters.select("rater_id"), open_results)
     left = every.join(rounds.select("rater_id", "result_id").distinct(), ["rater_id", "result_id"], "left_anti")
     begun = F.col("n_raters").between(*started)
     any_begun = F.max(begun.cast("int")).over(Window.partitionBy("rater_id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import GROUNDING_STOPWORDS, content_words
 from marlstone.operators import chunking as C
+from marlstone.operators.joins import against_all
 from marlstone.plans.text_queries import sql_words
 from marlstone.tables import table
 
@@ -295,7 +296,7 @@ def txt18_apply_corrections(spark: SparkSession, d: str) -> DataFrame:
     """Two corrections on every chunk: one of all places of a word, one that must fit once."""
     at = chunks(spark, d).select(F.col("chunk_id").alias("doc_id"), "text")
     fixes = spark.createDataFrame([("a", "newborn", "infant", True), ("b", "serum level of", "serum value of", False)], "correction_id string, original string, corrected string, every boolean")
-    return C.apply_corrections(at, at.select("doc_id", F.lit(1).alias("j")).join(fixes.withColumn("j", F.lit(1)), "j").drop("j"))
+    return C.apply_corrections(at, against_all(fixes, at.select("doc_id")))
 
 
 def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
