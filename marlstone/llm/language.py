@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Notations of the languages.
@@ -213,14 +213,14 @@ def _has_sentence(spans: list[str], n_words: np.ndarray) -> bool:
 
 
 def labelled_sample(documents: DataFrame, per_language: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most per_language labelled texts of each language, those with the least hash of their id; the only thing collected."""
-    known = documents.select(label_code(F.col("lang")).alias("code"), "text", F.xxhash64("doc_id").alias("h"))
-    known = known.where(F.col("code").isin(LANGUAGES) & F.col("text").isNotNull())
-    parts = [known.where(F.col("code") == lang).orderBy("h").limit(per_language) for lang in LANGUAGES]
-    sample = parts[0]
-    for part in parts[1:]:
-        sample = sample.unionByName(part)
-    return [(r.code, r.text) for r in sample.collect()]
+    """At most per_language labelled texts of each language, those with the least hash of their id; the only thing collected.
+
+    They are picked on ids and labels alone, each task keeping its own first ones, before their texts are read.
+    """
+    known = documents.where("doc_id is not null").select("doc_id", label_code(F.col("lang")).alias("code")).where(F.col("code").isin(LANGUAGES))
+    order = Window.partitionBy("code").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id", "code").distinct()
+    return [(r.code, r.text) for r in documents.where("text is not null").select("doc_id", "text").join(picked, "doc_id").select("code", "text").collect()]
 
 
 def segments(documents: DataFrame, ranks: np.ndarray) -> DataFrame:
@@ -231,7 +231,8 @@ def segments(documents: DataFrame, ranks: np.ndarray) -> DataFrame:
 
 def languages(segmented: DataFrame) -> DataFrame:
     """doc_id, lang, confidence, n_words, also: the language of most words, and the languages of at least RUNNING words in a run."""
-    per_lang = segmented.groupBy("doc_id", "lang").agg(
+    once = segmented.groupBy("doc_id", "segment_no", "lang").agg(F.max("n_words").alias("n_words"), F.max("confidence").alias("confidence"))
+    per_lang = once.groupBy("doc_id", "lang").agg(
         F.sum("n_words").alias("n"), F.max("n_words").alias("run"), F.sum(F.col("n_words") * F.col("confidence")).alias("sure")
     )
     order = F.struct(F.col("n"), -F.ascii("lang"), -F.ascii(F.substr("lang", F.lit(2))))

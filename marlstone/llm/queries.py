@@ -130,7 +130,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 def _segments(spark: SparkSession, d: str) -> DataFrame:
     clean = cut(_clean_documents(spark, d).select("doc_id", "lang", "text"))
     ranks = language.train(language.labelled_sample(clean))
-    return language.segments(clean.select("doc_id", "text").dropDuplicates(["doc_id", "text"]), ranks)
+    return language.segments(clean.select("doc_id", "text"), ranks)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -142,7 +142,7 @@ def p9_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_segments(spark: SparkSession, d: str) -> DataFrame:
-    return _segments(spark, d).select("doc_id", "segment_no", "lang", "n_words", "confidence")
+    return _segments(spark, d).select("doc_id", "segment_no", "lang", "n_words", "confidence").dropDuplicates(["doc_id", "segment_no"])
 
 
 QUERIES = {
