@@ -111,7 +111,8 @@ def site_lines(pages: DataFrame) -> DataFrame:
 
 
 def body_lines(pages: DataFrame, site: DataFrame) -> DataFrame:
-    """Lines that are neither furniture nor site lines nor blank, each with the first word of the next body line.
+    """Lines that are neither furniture nor site lines nor blank, with single blanks, their words, the words' cores (computed
+    once, read by every later step) and the first word of the next body line.
 
     The next line is looked up within the page; a page's last line takes the first line of the next page with a body,
     by a window over one row a page.
@@ -119,9 +120,8 @@ def body_lines(pages: DataFrame, site: DataFrame) -> DataFrame:
     body = pages.where(F.col("kind").isNull() & F.col("filled")).join(
         site.select("source", F.col("key").alias("norm_key")), ["source", "norm_key"], "left_anti"
     )
-    words = F.split(squeeze(F.col("text")), " ")
     order = Window.partitionBy("document_version_id", "page_no").orderBy("line_no", "line_id")
-    body = body.withColumn("words", words).withColumn("first", F.element_at("words", 1))
+    body = body.withColumn("text", squeeze(F.col("text"))).withColumn("first", F.substring_index("text", " ", 1))
     body = (
         body.withColumn("nth", F.row_number().over(order))
         .withColumn("in_page_next", F.lead("first").over(order))
@@ -137,8 +137,9 @@ def body_lines(pages: DataFrame, site: DataFrame) -> DataFrame:
     )
     same = body.document_version_id.eqNullSafe(heads.document_version_id) & body.page_no.eqNullSafe(heads.page_no)
     joined = body.join(heads, same, "left").drop(heads.document_version_id).drop(heads.page_no)
-    return joined.select(
-        "line_id", "document_version_id", "page_no", "line_no", "text", "words", "bbox_top", "height", "usual",
+    return joined.withColumn("words", F.split("text", " ")).select(
+        "line_id", "document_version_id", "page_no", "line_no", "text", "words", F.transform("words", core).alias("cores"),
+        "bbox_top", "height", "usual",
         F.coalesce("in_page_next", "over_next").alias("next_word"),
         F.coalesce("in_page_next_id", "over_next_id").alias("next_id"),
         F.col("in_page_next").isNull().alias("ends_page"),
@@ -166,9 +167,9 @@ def forms(word: Column) -> Column:
 
 def lexicon(body: DataFrame) -> DataFrame:
     """word, n: how often a word stands inside a line, neither first nor last."""
-    inner = F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(0)))
+    inner = F.slice("cores", 2, F.greatest(F.size("cores") - 2, F.lit(0)))
     return (
-        body.select(F.explode(F.transform(inner, core)).alias("word"))
+        body.select(F.explode(inner).alias("word"))
         .where("word != ''")
         .groupBy("word")
         .agg(F.count("*").alias("n"))
@@ -177,14 +178,11 @@ def lexicon(body: DataFrame) -> DataFrame:
 
 def pair_counts(body: DataFrame) -> DataFrame:
     """left_word, right_word, n of neighbours inside a line."""
-    cores = F.transform("words", core)
-    pairs = F.transform(
-        F.sequence(F.lit(2), F.size("words") - 2),
-        lambda i: F.struct(F.element_at(cores, i).alias("left_word"), F.element_at(cores, i + 1).alias("right_word")),
-    )
+    left = F.slice("cores", 2, F.size("cores") - 3)
+    right = F.slice("cores", 3, F.size("cores") - 3)
     return (
-        body.where(F.size("words") >= 4)
-        .select(F.inline(pairs))
+        body.where(F.size("cores") >= 4)
+        .select(F.inline(F.arrays_zip(left.alias("left_word"), right.alias("right_word"))))
         .groupBy("left_word", "right_word")
         .agg(F.count("*").alias("n"))
     )
@@ -202,7 +200,7 @@ def line_ends(body: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
     bare_end = last.rlike(r"[\p{L}@0-9]$") & F.col("next_word").rlike(r"^[\p{Ll}@0-9]") & last.rlike(r"\p{Ll}")
     ends = (
         body.where(F.col("next_word").isNotNull() & (hyphened | bare_end))
-        .select("line_id", "next_id", hyphened.alias("hyphened"), core(last).alias("a"), core(F.col("next_word")).alias("b"),
+        .select("line_id", "next_id", hyphened.alias("hyphened"), F.element_at("cores", -1).alias("a"), core(F.col("next_word")).alias("b"),
                 last.rlike("[­¬‐‑]$").alias("soft"))
         .where("a != '' and b != '' and b rlike '^[\\\\p{L}@0-9]'")
     )
@@ -241,7 +239,6 @@ def checked_words(body: DataFrame, ends: DataFrame) -> DataFrame:
     own = ends.select("line_id", "joint", "joined", F.col("next_id").alias("second_id"), "a", "b")
     before = ends.select(F.col("next_id").alias("line_id"), F.lit(True).alias("continues")).distinct()
     lines = body.join(own, "line_id", "left").join(before, "line_id", "left")
-    cores = F.transform("words", core)
     first = F.when(F.col("continues"), 2).otherwise(1)
     last = F.size("words") - F.when(F.col("joint").isNotNull(), 1).otherwise(0)
     none = F.lit(None).cast("string")
@@ -256,7 +253,6 @@ def checked_words(body: DataFrame, ends: DataFrame) -> DataFrame:
             ),
         ),
     )
-    lines = lines.withColumn("cores", cores)
     alone = lines.select("line_id", F.inline(singles)).select(
         "line_id", "pos", "word", "left_word", "right_word", F.lit(None).cast("bigint").alias("second_id"), none.alias("a"), none.alias("b")
     )
@@ -404,7 +400,7 @@ class Scan:
         self.pairs = cut(pair_counts(self.body))
         self.ends = cut(line_ends(self.body, self.words, self.pairs))
         self.at = checked_words(self.body, self.ends)
-        asked = self.at.groupBy("word").agg(F.count("*").alias("n_asked"))
+        asked = cut(self.at.groupBy("word").agg(F.count("*").alias("n_asked")))
         self.candidates = cut(corrections(asked, self.words))
         self.repaired = cut(repairs(self.at, self.candidates, self.pairs))
 
