@@ -311,8 +311,8 @@ def _deletes(key: Column) -> Column:
 def corrections(asked: DataFrame, words: DataFrame) -> DataFrame:
     """word, candidate, cost, n: readings of each distinct asked word that is likely misread, from the symmetric-delete index.
 
-    asked: word, n_asked. A candidate must be RATIO times as frequent as the word and within a cost that grows with
-    the word's length. Numbers with confused letters (2l, 3b19) are read as numbers.
+    asked: word, n_asked. A candidate must be RATIO times as frequent as the word (as frequent, if the word has a figure
+    or @ among its letters) and within a cost that grows with the word's length. Numbers with confused letters (2l, 3b19) are read as numbers.
     """
     lettered = r"\p{L}"
     odd = rf"^(?=.*[0-9])(?=.*[a-z|])[0-9liosbzgq|]+(?:[.,/][0-9liosbzgq|]+)*%?$"
@@ -327,7 +327,10 @@ def corrections(asked: DataFrame, words: DataFrame) -> DataFrame:
             F.col("word").alias("candidate"), "n", F.explode(forms(F.col("word"))).alias("known_form")
         )
     )
-    better = (F.col("word") != F.col("candidate")) & (F.col("n") >= F.col("n_asked") * RATIO)
+    # A figure or @ among letters tells a misreading by itself, however rare the word is.
+    marked = F.col("word").rlike(r"\p{L}[0-9@|]+\p{L}|^@\p{L}|\p{L}@$") & ~F.col("candidate").rlike("[0-9@|]")
+    ratio = F.when(marked, 1).otherwise(RATIO)
+    better = (F.col("word") != F.col("candidate")) & (F.col("n") >= F.col("n_asked") * ratio)
 
     def within(pairs: DataFrame) -> DataFrame:
         return pairs.select("word", "candidate", "n").withColumn("cost", _distance("word", "candidate")).where(F.col("cost") <= limit)
