@@ -234,6 +234,8 @@ def token_jaccard(a: Column, b: Column) -> Column:
 def stub_vector(text: Column, dim: int = 384) -> Column:
     """A deterministic unit vector from SHA-256 bytes of the text, for where no model is at hand."""
     hexes = F.concat(*[F.sha2(F.concat(F.lit(f"{k}|"), text), 256) for k in range(-(-dim // 32))])
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.conv(F.substr(hexes, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1)
+    pairs = F.slice(F.regexp_extract_all(hexes, F.lit(".."), 0), 1, dim)
+    raw = F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("double") / 127.5 - 1)
     norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(raw, lambda x: x / norm)
+    # Zipped, so that the norm is computed once and not for every element.
+    return F.zip_with(raw, F.array_repeat(norm, dim), lambda x, n: x / n)

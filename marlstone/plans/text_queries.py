@@ -329,3 +329,13 @@ def txt26_keyed_digest(spark: SparkSession, d: str) -> DataFrame:
 def txt7_spans(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunk").where("text is not null").select("chunk_id", "text").distinct()
     return chunks.select("chunk_id", X.find_spans(F.lit("serum level of"), F.col("text")).alias("span")).select("chunk_id", "span.start", "span.end")
+
+
+@query("select distinct record_id, mrn, true as sealed from patient_record")
+def txt26_sealed(spark: SparkSession, d: str) -> DataFrame:
+    """Identifiers sealed with AES-GCM under a key and bound to their record, then opened again."""
+    key = F.lit("0123456789abcdef").cast("binary")
+    box = F.aes_encrypt(F.col("mrn").cast("binary"), key, F.lit("GCM"), F.lit("DEFAULT"), F.unhex(F.substring(F.sha2("record_id", 256), 1, 24)), F.col("record_id").cast("binary"))
+    rows = table(spark, d, "patient_record").select("record_id", "mrn").distinct().withColumn("box", box)
+    opened = F.aes_decrypt("box", key, F.lit("GCM"), F.lit("DEFAULT"), F.col("record_id").cast("binary")).cast("string")
+    return rows.select("record_id", opened.alias("mrn"), (F.col("box") != F.col("mrn").cast("binary")).alias("sealed"))
