@@ -30,6 +30,8 @@ BUCKET = 48
 FIRST_STEPS, NEXT_STEPS = 3, 2
 MOST_ROUNDS = 8
 SKETCH_WORDS = 8
+#: Tokens that a worker handles at a time.
+PORTION = 200_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,9 +92,16 @@ def _descend(paths: np.ndarray, rows: np.ndarray, sizes: np.ndarray, starts: np.
     return paths, rows
 
 
+def _portions(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Parts of a batch of at most PORTION tokens (a longer set alone), so that long texts don't fill the worker's memory."""
+    load = frame.tokens.map(len).cumsum() // PORTION
+    for _, part in frame.groupby(load.to_numpy(), sort=False):
+        yield part
+
+
 def _first_paths(runs: int, threshold: float, steps: int):  # noqa: ANN202
     def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in (part for batch in frames for part in _portions(batch)):
             sizes, starts, flat = _flat(frame.tokens)
             ids = frame.set_id.to_numpy()
             for run in range(runs):
@@ -105,7 +114,7 @@ def _first_paths(runs: int, threshold: float, steps: int):  # noqa: ANN202
 
 def _next_paths(threshold: float, steps: int):  # noqa: ANN202
     def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in (part for batch in frames for part in _portions(batch)):
             sizes, starts, flat = _flat(frame.tokens)
             ids = frame.set_id.to_numpy()
             seed = frame.path.to_numpy().astype(np.int64).view(np.uint64)
@@ -119,8 +128,7 @@ def _sketches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One-bit minwise sketches of 64 * SKETCH_WORDS bits."""
     seeds = mix(np.arange(1, 64 * SKETCH_WORDS + 1, dtype=np.uint64) * _GOLDEN)
     for frame in frames:
-        for at in range(0, len(frame), 2000):
-            part = frame.iloc[at : at + 2000]
+        for part in _portions(frame):
             sizes, starts, flat = _flat(part.tokens)
             bits = np.empty((len(part), len(seeds)), dtype=np.uint8)
             for k, seed in enumerate(seeds):

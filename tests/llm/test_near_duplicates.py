@@ -72,3 +72,10 @@ def test_empty_table(spark):
 
 def test_more_runs_for_more_recall():
     assert N.runs_for(0.75, 0.999, 7) > N.runs_for(0.75, 0.9, 7) >= 1
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    rows = [("a", long), ("b", long + " more"), ("c", "short text"), ("d", "short text here and more")]
+    members, sets = N.token_sets(frame(spark, rows), "question_id", N.word_set(F.col("text")))
+    assert [(r.id_a, r.id_b) for r in N.record_pairs(members, N.similar_sets(sets)).collect()] == [("a", "b")]
