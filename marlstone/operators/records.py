@@ -141,23 +141,38 @@ def banded(rows: DataFrame, bands: DataFrame, value: str) -> DataFrame:
     return rows.join(bands, inside, "left")
 
 
+def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b, similarity of distinct sets (set_key, findings) with a Jaccard similarity of at least the threshold, both ways
+    round and each with itself. Sets meet on their rarest elements (prefix filter), so every pair shares one."""
+    counts = sets.select(F.explode("findings").alias("f")).groupBy("f").agg(F.count("*").alias("n"))
+    ordered = sets.select("set_key", F.explode("findings").alias("f")).join(counts, "f").groupBy("set_key").agg(F.array_sort(F.collect_list(F.struct("n", "f"))).alias("s"))
+    keep = F.size("s") - F.ceil(F.size("s") * threshold).cast("int") + 1
+    keys = ordered.select("set_key", F.explode(F.slice(F.transform("s", lambda x: x["f"]), 1, keep)).alias("f"))
+    met = keys.select(F.col("set_key").alias("a"), "f").join(keys.select(F.col("set_key").alias("b"), "f"), "f").select("a", "b").distinct()
+    both = met.join(sets.select(F.col("set_key").alias("a"), F.col("findings").alias("fa")), "a").join(sets.select(F.col("set_key").alias("b"), F.col("findings").alias("fb")), "b")
+    jaccard = F.size(F.array_intersect("fa", "fb")) / F.size(F.array_union("fa", "fb"))
+    return both.select("a", "b", jaccard.alias("similarity")).where(F.col("similarity") >= threshold)
+
+
 def similar_records(rows: DataFrame, threshold: float, tolerances: Mapping[str, float]) -> DataFrame:
     """id_a < id_b of records (id, findings array, vitals...) alike in findings (Jaccard) and in every shared vital.
 
-    Records meet on their rarest findings (prefix filter), those without findings among themselves by rounded vitals are
-    left to the caller; a record without findings and vitals is like nothing.
+    Records with the same findings are one set while sets are compared, so a frequent finding joins sets, not records. A
+    record without findings is like nothing.
     """
-    need = rows.where(F.size("findings") > 0)
-    counts = need.select(F.explode("findings").alias("f")).groupBy("f").agg(F.count("*").alias("n"))
-    ordered = need.select("id", F.explode("findings").alias("f")).join(counts, "f").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "f"))).alias("s"))
-    keep = F.size("s") - F.ceil(F.size("s") * threshold).cast("int") + 1
-    keys = ordered.select("id", F.explode(F.slice(F.transform("s", lambda x: x["f"]), 1, keep)).alias("f"))
-    pairs = keys.join(keys.withColumnRenamed("id", "id_b"), "f").where("id < id_b").select(F.col("id").alias("id_a"), "id_b").distinct()
-    a = rows.select(*[F.col(c).alias(f"{c}_a") for c in rows.columns])
-    b = rows.select(*[F.col(c).alias(f"{c}_b") for c in rows.columns])
-    both = pairs.join(a, "id_a").join(b, "id_b")
-    jaccard = F.size(F.array_intersect("findings_a", "findings_b")) / F.size(F.array_union("findings_a", "findings_b"))
-    fits = jaccard >= threshold
+    keyed = rows.where(F.size("findings") > 0).withColumn("findings", F.array_sort(F.array_distinct("findings")))
+    keyed = keyed.withColumn("set_key", F.array_join("findings", "\x01"))
+    links = similar_sets(keyed.select("set_key", "findings").distinct(), threshold)
+    vitals = list(tolerances)
+    left = keyed.select(F.col("set_key").alias("a"), F.col("id").alias("id_a"), *[F.col(v).alias(f"{v}_a") for v in vitals])
+    right = keyed.select(F.col("set_key").alias("b"), F.col("id").alias("id_b"), *[F.col(v).alias(f"{v}_b") for v in vitals])
+    fits = F.col("id_a") < F.col("id_b")
     for name, within in tolerances.items():
         fits = fits & F.coalesce(F.abs(F.col(f"{name}_a") - F.col(f"{name}_b")) <= within, F.lit(True))
-    return both.where(fits).select("id_a", "id_b", F.round(jaccard, 6).alias("similarity"))
+    return links.join(left, "a").join(right, "b").where(fits).select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
+
+
+def link_counts(pairs: DataFrame) -> DataFrame:
+    """id, n_links, closest of the records that have links, from pairs id_a, id_b, similarity."""
+    sides = F.array(F.col("id_a"), F.col("id_b"))
+    return pairs.select(F.explode(sides).alias("id"), "similarity").groupBy("id").agg(F.count("*").alias("n_links"), F.max("similarity").alias("closest"))

@@ -279,12 +279,14 @@ def _findings(spark: SparkSession, d: str) -> DataFrame:
     return _wide(spark, d).select(F.col("record_key").alias("id"), present.alias("findings"), "heart_rate", "temparature")
 
 
-@query(_FLAGS + """ select a.id as id_a, b.id as id_b, round(len(list_intersect(a.findings, b.findings)) / (len(a.findings) + len(b.findings) - len(list_intersect(a.findings, b.findings))), 6) as similarity
+@query(_FLAGS + """, pairs as (select a.id as id_a, b.id as id_b, round(len(list_intersect(a.findings, b.findings)) / (len(a.findings) + len(b.findings) - len(list_intersect(a.findings, b.findings))), 6) as similarity
 from f a join f b on a.id < b.id where len(a.findings) > 0 and len(b.findings) > 0
  and len(list_intersect(a.findings, b.findings)) >= 0.8 * (len(a.findings) + len(b.findings) - len(list_intersect(a.findings, b.findings)))
- and coalesce(abs(a.heart_rate - b.heart_rate) <= 15, true) and coalesce(abs(a.temparature - b.temparature) <= 0.5, true)""")
+ and coalesce(abs(a.heart_rate - b.heart_rate) <= 15, true) and coalesce(abs(a.temparature - b.temparature) <= 0.5, true))
+select id, count(*) as n_links, max(similarity) as closest from (select id_a as id, similarity from pairs union all select id_b, similarity from pairs) group by 1""")
 def joi8_similar_records(spark: SparkSession, d: str) -> DataFrame:
-    return N.similar_records(_findings(spark, d), 0.8, TOLERANCES)
+    """Records that resemble others, with the number of their links: one row a record, not a row a pair."""
+    return N.link_counts(N.similar_records(_findings(spark, d), 0.8, TOLERANCES))
 
 
 @query("""with c as (select distinct chunk_id, sha256(chunk_id) as h from chunk), s as (select substr(md5(chunk_id), 1, 1) as name, case when ordinal = 1 then 'gone' else sha256(chunk_id) end as h from (select distinct chunk_id, ordinal from chunk))
