@@ -22,8 +22,9 @@ from marlstone.session import cut
 LABELS = range(1, 6)
 #: Smoothing: so many ratings of this accuracy are added to each annotator's own.
 PRIOR, PRIOR_ACCURACY = 5.0, 0.5
-MOST_ROUNDS = 20
-STABLE = 0.05
+#: A change of a weight below STABLE ends the rounds; weights that still move after MOST_ROUNDS are an error.
+MOST_ROUNDS = 200
+STABLE = 1e-4
 
 
 def domain(code: Column) -> Column:
@@ -66,7 +67,8 @@ def consensus(ratings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     loo_accuracy, weight) and the live scores, from raw ratings.
 
     The scores are written once, clustered by item. A round is a sum by item, a join back on the item and a sum by
-    rater; what the driver sees of it is one number, the largest change of a weight.
+    rater; what the driver sees of it is one number, the largest change of a weight. Weights end within STABLE of the
+    log odds that follow from them; weights that never settle raise an error.
     """
     live = cut(live_scores(ratings).repartition("result_id", "domain_code"))
     weights = live.groupBy("rater_id").agg(F.count("*").alias("n_ratings")).withColumn("weight", F.lit(1.0))
@@ -91,6 +93,8 @@ def consensus(ratings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         change = weights.agg(F.max("change")).first()[0]
         if change is None or change < STABLE:
             break
+    else:
+        raise RuntimeError(f"weights still change by {change:.2g} after {MOST_ROUNDS} rounds")
     votes = _votes(live.join(weights.select("rater_id", "weight"), "rater_id"))
     sums = {k: F.col(f"w{k}") for k in LABELS}
     total = reduce(lambda a, b: a + b, sums.values())

@@ -1,6 +1,9 @@
 import datetime as dt
+import math
 import random
 
+import pytest
+
 from marlstone.llm import consensus as C
 
 SCHEMA = "rating_id bigint, result_id string, rater_id string, domain_code string, score int, rated_at timestamp_ntz, weight double, n int"
@@ -36,6 +39,18 @@ def test_consensus_finds_the_truth_and_the_guessers(spark):
     assert low == {"u7", "u8", "u9"}
 
 
+def test_weights_end_at_the_odds_that_follow_from_them(spark):
+    rows, _ = panel()
+    for r in C.consensus(ratings(spark, rows))[1].collect():
+        assert abs(r.weight - max(0.05, math.log(r.loo_accuracy * 4 / (1 - r.loo_accuracy)))) < 1e-4
+
+
+def test_weights_that_do_not_settle_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(C, "MOST_ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="after 2 rounds"):
+        C.consensus(ratings(spark, panel()[0]))
+
+
 def test_live_score_is_the_latest_and_must_be_in_range(spark):
     rows = [("r", "a", "Recall", 2, 1), ("r", "a", " recall ", 4, 2), ("r", "b", "logical-x", 3, 1), ("r", "b", "logical_x", 9, 2), ("r", "c", "recall", 5, None), ("r", "c", "recall", 1, 0),
             (None, "a", "recall", 2, 1), ("r", None, "recall", 2, 1), ("r", "d", "recall", None, 1)]
