@@ -4,7 +4,8 @@ Every run splits the sets recursively: at each step a set moves on to a bucket f
 bucket and the token selects, with a chance of 1 / (threshold * size), so similar sets share a selected token at every
 step with an expectation of at least one while unlike sets part ways. Buckets of at most `bucket` sets are compared
 by brute force on one-bit sketches, survivors are verified exactly on their tokens; larger buckets split further. Runs
-repeat until the expected recall of a pair at the threshold reaches the target. Equal sets are one set throughout.
+repeat until the expected recall of any pair at the threshold, one set within the other and split as far as buckets are
+ever split, reaches the target. Equal sets are one set throughout.
 
 Defined cases: null or wordless texts are similar to nothing; repeated rows of one id count once; an id with several
 texts is a member of several sets and keeps the links of each; extra columns are ignored.
@@ -68,9 +69,13 @@ def survival(mean: float, steps: int) -> float:
     return alive
 
 
-def runs_for(threshold: float, recall: float, steps: int) -> int:
-    """Runs after which a pair of equally large sets at the threshold is found with the chance `recall`."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival(2 / (1 + threshold), steps)))
+def runs_for(threshold: float, recall: float, steps: int) -> int:  # noqa: ARG001
+    """Runs after which any pair at the threshold that goes down so many steps is found with the chance `recall`.
+
+    Sets of a and b >= a tokens share a mean of (1 + a / b) / (1 + threshold) chosen tokens a step. That is least where
+    the smaller set lies within the larger, a / b = threshold, and 1 there whatever the threshold.
+    """
+    return math.ceil(math.log(1 - recall) / math.log(1 - survival(1.0, steps)))
 
 
 def _flat(tokens: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,8 +206,7 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, recall: float =
     A bucket that is still too large after MOST_ROUNDS rounds of splits (many sets all alike) is compared in blocks
     of at most `bucket` sets against each other, so that no task holds the bucket and no pair is lost.
     """
-    steps = FIRST_STEPS + 2 * NEXT_STEPS
-    runs = runs_for(threshold, recall, steps)
+    runs = runs_for(threshold, recall, FIRST_STEPS + MOST_ROUNDS * NEXT_STEPS)
     sketched = cut(sets.mapInPandas(_sketches, "set_id string, size int, sketch binary"))
     active = cut(sets.mapInPandas(_first_paths(runs, threshold, FIRST_STEPS), "path bigint, set_id string"))
     found = []

@@ -74,6 +74,15 @@ def test_more_runs_for_more_recall():
     assert N.runs_for(0.75, 0.999, 7) > N.runs_for(0.75, 0.9, 7) >= 1
 
 
+def test_sets_within_others_are_found_at_the_greatest_depth(spark):
+    rows = []
+    for i in range(300):
+        words = [f"p{i}w{k}" for k in range(20)]
+        rows += [(f"a{i}", " ".join(words)), (f"b{i}", " ".join(words[:15]))]
+    members, sets = N.token_sets(frame(spark, rows), "question_id", N.word_set(F.col("text")))
+    assert N.similar_sets(sets, bucket=1).count() >= 297
+
+
 def test_very_long_texts(spark):
     long = " ".join(f"w{i}" for i in range(300_000))
     rows = [("a", long), ("b", long + " more"), ("c", "short text"), ("d", "short text here and more")]
