@@ -1,7 +1,7 @@
 """Bootstrap intervals and tests with resampling by hash.
 
 Draw b takes for position i the observation hash(seed, b, i) mod n, so the same draws come out on any number of
-executors and in any engine. Draws and positions are rows; nothing is gathered.
+executors and in any engine. Draws are rows and run in parallel; an arm's scores are one array, sent to all of them.
 """
 
 from __future__ import annotations
@@ -10,28 +10,37 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.session import cut
+
 SEED = 1234
 DRAWS = 10_000
 LEVEL = 0.95
 
 
-def _drawn(scores: DataFrame, by: Sequence[str], draws: int, seed: int) -> DataFrame:
-    """by, draw and the columns of the observation drawn. scores: by, key, values; positions follow the key."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy("key")) - 1
-    sizes = scores.groupBy(*by).agg(F.count("*").alias("n"))
-    placed = scores.withColumn("place", place.cast("bigint"))
-    grid = sizes.select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    grid = grid.select(*by, "n", "draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "draw", "i")), 1, 8), 16, 10).cast("bigint")
-    return grid.withColumn("place", h % F.col("n")).join(placed, [*by, "place"])
+def _means(scores: DataFrame, by: Sequence[str], draws: int, seed: int) -> DataFrame:
+    """by, draw, m: the mean of each draw. scores: by, key, value; positions follow the key.
+
+    A draw's hashes do not depend on the arm, so they are made once and serve all arms; an arm is one array of numbers.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("key", "value")))
+    arms = cut(scores.groupBy(*by).agg(ordered.alias("rows")).select(*by, F.size("rows").alias("n"), F.col("rows.value").alias("values")))
+    most = arms.agg(F.max("n").alias("most"))
+    hash_at = lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "draw", i)), 1, 8), 16, 10).cast("bigint")
+    grid = scores.sparkSession.range(0, draws, 1, min(draws, 48)).withColumnRenamed("id", "draw").crossJoin(most)
+    hashed = grid.where("most > 0").select("draw", F.transform(F.sequence(F.lit(0), F.col("most") - 1), hash_at).alias("h"))
+    value = lambda h: F.get("values", (h % F.col("n")).cast("int"))
+    own = F.slice("h", F.lit(1), F.col("n"))
+    total = F.aggregate(own, F.lit(0.0), lambda t, h: t + F.coalesce(value(h).cast("double"), F.lit(0.0)))
+    known = F.when(F.exists("values", lambda v: v.isNull()), F.size(F.filter(own, lambda h: value(h).isNotNull()))).otherwise(F.col("n"))
+    return hashed.crossJoin(arms).select(*by, "draw", (total / F.nullif(known, F.lit(0))).alias("m"))
 
 
 def interval(scores: DataFrame, by: Sequence[str], draws: int = DRAWS, seed: int = SEED, level: float = LEVEL) -> DataFrame:
     """by, n, mean, low, high: percentile interval of the mean of `value`."""
-    means = _drawn(scores, by, draws, seed).groupBy(*by, "draw").agg(F.avg("value").alias("m"))
+    means = _means(scores, by, draws, seed)
     tail = (1 - level) / 2
     limits = means.groupBy(*by).agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
     base = scores.groupBy(*by).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
@@ -42,7 +51,7 @@ def paired_test(pairs: DataFrame, by: Sequence[str], draws: int = DRAWS, seed: i
     """by, n, delta, low, high, p: interval of the mean of a - b over shared positions, and the two-sided p value:
     twice the share of draws on the other side of 0, ties included, 1 at most; equal arms give 1."""
     diffs = pairs.withColumn("value", F.col("a") - F.col("b"))
-    means = _drawn(diffs, by, draws, seed).groupBy(*by, "draw").agg(F.avg("value").alias("m"))
+    means = _means(diffs, by, draws, seed)
     base = diffs.groupBy(*by).agg(F.count("*").alias("n"), F.avg("value").alias("delta"))
     tail = (1 - level) / 2
     other = F.when(F.col("delta") > 0, F.col("m") <= 0).when(F.col("delta") < 0, F.col("m") >= 0).otherwise(F.lit(True))

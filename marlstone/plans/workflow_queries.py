@@ -17,7 +17,7 @@ from marlstone.tables import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-DRAWS = 200
+DRAWS = S.DRAWS
 
 
 def query(sql: str | None = None):  # noqa: ANN201
@@ -68,7 +68,7 @@ def sta3_paired_test(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def sta1_numpy_interval(spark: SparkSession, d: str) -> DataFrame:
-    return S.interval_numpy(_arms(spark, d), "arm", draws=2000)
+    return S.interval_numpy(_arms(spark, d), "arm", draws=DRAWS)
 
 
 _RATED = """live as (select result_id, domain_code, rater_id, score from (select *, row_number() over (partition by result_id, domain_code, rater_id order by rated_at desc nulls last, rating_id desc, score desc) as rn

@@ -83,6 +83,33 @@ def test_clear_difference_has_small_p_and_paired_interval_is_narrow(spark):
     assert S.paired_test(pairs, ["arm"], draws=200).first().p < 0.01
 
 
+def test_registered_bootstraps_take_all_draws(spark, tmp_path, monkeypatch):
+    from marlstone.plans import workflow_queries as Q
+
+    rows = [("x", i, float(100 * (i % 7) - 200)) for i in range(30)] + [("y", i, float(i)) for i in range(12)]
+    spark.createDataFrame(rows, "c_mktsegment string, c_custkey bigint, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    seen = []
+    for name in ("interval", "paired_test", "interval_numpy"):
+        real = getattr(S, name)
+        monkeypatch.setattr(S, name, lambda *a, draws=S.DRAWS, real=real: seen.append(draws) or real(*a, draws=draws))
+    for name in ("sta1_bootstrap_interval", "sta2_paired_interval", "sta3_paired_test", "sta1_numpy_interval"):
+        assert Q.QUERIES[name](spark, str(tmp_path)).count() == 2
+    assert seen == [10_000] * 4
+
+
+def test_draws_equal_those_of_the_stated_hash(spark):
+    import hashlib
+
+    rows = [("x", i, float(i * i % 11)) for i in range(9)] + [("y", i, None if i == 2 else float(i)) for i in range(5)]
+    got = {(r.arm, r.draw): r.m for r in S._means(spark.createDataFrame(rows, "arm string, key bigint, value double"), ["arm"], 200, 1234).collect()}
+    assert len(got) == 400
+    for (arm, draw), m in got.items():
+        values = [v for a, _, v in rows if a == arm]
+        drawn = [values[int(hashlib.md5(f"1234|{draw}|{i}".encode()).hexdigest()[:8], 16) % len(values)] for i in range(len(values))]
+        known = [v for v in drawn if v is not None]
+        assert m is None and not known or abs(m - sum(known) / len(known)) < 1e-9
+
+
 def ratings(spark, items):
     rows = [("r", f"i{i}", f"u{u}", s) for i, item in enumerate(items) for u, s in enumerate(item) if s is not None]
     return spark.createDataFrame(rows, "domain_code string, result_id string, rater_id string, score int")
