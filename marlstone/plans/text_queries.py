@@ -230,19 +230,30 @@ _FIX = "replace(replace(text, ' below ', ' less than '), 'infant', 'newborn')"
 _EDIT = "replace(text, ' below ', ' under ')"
 
 
+def _scoped(rows: DataFrame) -> DataFrame:
+    t = F.col("text")
+    lines = rows.select("line_id", "text").distinct()
+    fixed = F.replace(F.replace(t, F.lit(" below "), F.lit(" less than ")), F.lit("infant"), F.lit("newborn"))
+    edited = F.replace(t, F.lit(" below "), F.lit(" under "))
+    spoiled = F.replace(t, F.lit("I"), F.lit("l"))
+    return lines.select("line_id", X.in_scope(t, fixed).alias("broad"), X.in_scope(t, edited).alias("narrow"), X.ocr_alike(spoiled, t).alias("alike"))
+
+
 @query(f"""with t as (select distinct line_id, text, {_FIX} as fixed, {_EDIT} as edited, replace(text, 'I', 'l') as spoiled from text_line where text is not null and regexp_full_match(text, '[ -~]*'))
 select line_id, {_NUM.format('text')} = {_NUM.format('fixed')} and {_BARE.format('text')} = {_BARE.format('fixed')}
   and len(list_filter(list_concat(list_filter({_W.format('text')}, lambda w: not list_contains({_W.format('fixed')}, w)), list_filter({_W.format('fixed')}, lambda w: not list_contains({_W.format('text')}, w))), lambda w: not list_contains({_REL}, w))) = 0 as broad,
  len(list_filter(list_concat(list_filter({_W.format('text')}, lambda w: not list_contains({_W.format('edited')}, w)), list_filter({_W.format('edited')}, lambda w: not list_contains({_W.format('text')}, w))), lambda w: not list_contains({_REL}, w))) = 0 as narrow,
  {_SHAPE.format('spoiled')} = {_SHAPE.format('text')} as alike from t""")
 def txt17_correction_scope(spark: SparkSession, d: str) -> DataFrame:
-    """Two edits and one spoiled reading of every plain line, judged as corrections."""
-    t = F.col("text")
-    lines = table(spark, d, "text_line").where(t.rlike("^[ -~]*$")).select("line_id", "text").distinct()
-    fixed = F.replace(F.replace(t, F.lit(" below "), F.lit(" less than ")), F.lit("infant"), F.lit("newborn"))
-    edited = F.replace(t, F.lit(" below "), F.lit(" under "))
-    spoiled = F.replace(t, F.lit("I"), F.lit("l"))
-    return lines.select("line_id", X.in_scope(t, fixed).alias("broad"), X.in_scope(t, edited).alias("narrow"), X.ocr_alike(spoiled, t).alias("alike"))
+    """Two edits and one spoiled reading of every plain ASCII line, judged as corrections; the SQL has other classes of
+    characters beyond ASCII. txt17_all_lines takes every line."""
+    return _scoped(table(spark, d, "text_line").where(F.col("text").rlike("^[ -~]*$")))
+
+
+@query()
+def txt17_all_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The same for all lines, with accents and typographic signs."""
+    return _scoped(table(spark, d, "text_line").where("text is not null"))
 
 
 @query("""select o_orderkey, printf('%.2f', cast(floor(cast(o_totalprice as decimal(20,6)) * 0.001 / 0.25 + 0.5) as decimal(20,6)) * 0.25) as stepped,

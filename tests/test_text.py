@@ -72,3 +72,16 @@ def test_line_keys_ignore_digits_case_and_blanks(spark):
 def test_word_count_of_null_blank_and_odd_blanks(spark):
     frame = spark.createDataFrame([(None,), ("",), (" \t",), ("a b\tc\n",)], "t string")
     assert [r.n for r in frame.select(L.word_count(F.col("t")).alias("n")).collect()] == [0, 0, 0, 3]
+
+
+def test_accented_lines_and_chunks_are_judged(spark, tmp_path):
+    from marlstone.plans import registry
+
+    lines = [("a", "Temp below 36 \u2265 x"), ("b", "plain infant"), ("c", "M\u00e4rz I"), ("d", None)]
+    spark.createDataFrame(lines, "line_id string, text string").write.parquet(str(tmp_path / "text_line.parquet"))
+    texts = [("a", "Ein gro\u00dfes Beispiel"), ("b", "one line\nand another one"), ("c", None)]
+    spark.createDataFrame(texts, "chunk_id string, text string").write.parquet(str(tmp_path / "chunk.parquet"))
+    got = {r.line_id: (r.broad, r.narrow, r.alike) for r in registry.queries()["txt17_all_lines"](spark, str(tmp_path)).collect()}
+    assert set(got) == {"a", "b", "c"} and got["c"] == (True, True, True)
+    words = {r.chunk_id: r.text for r in registry.queries()["chk24_all_chunks"](spark, str(tmp_path)).collect()}
+    assert words == {"a": "Ein gro\u00dfes Beispiel", "b": "one line\nand"}
