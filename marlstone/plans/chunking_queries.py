@@ -196,12 +196,22 @@ _BLOCKS = "list_filter(list_transform(regexp_split_to_array({0}, '\\n\\s*\\n'),
 @query(f"""with {_CHUNKS}, n as (select document_version_id, chunk_id, {_BLOCKS.format('text')}[1:1] as b from c), k as (select document_version_id, chunk_id as confirmed_id, {_BLOCKS.format('text')} as cb from c)
 select n.chunk_id, min(confirmed_id) as confirmed_id from n left join k on n.document_version_id = k.document_version_id and len(n.b) > 0 and len(list_filter(n.b, lambda x: not list_contains(k.cb, x))) = 0 group by 1""")
 def chk14_carried_over(spark: SparkSession, d: str) -> DataFrame:
-    """First blocks of chunks against the whole chunks of their version."""
+    """First blocks of chunks against the whole chunks of their version, as in the SQL; chk14_whole_texts takes all blocks."""
     at = chunks(spark, d).select(F.col("document_version_id").alias("document"), "chunk_id", "text", F.lit(None).cast("string").alias("source"))
     new = at.withColumn("text", F.coalesce(F.get(C.blocks(F.col("text")), F.lit(0)), F.lit("")))
     return C.carried_over(new, at).select("chunk_id", "confirmed_id")
 
 
+@query()
+def chk14_whole_texts(spark: SparkSession, d: str) -> DataFrame:
+    """All blocks of chunks against the whole chunks of the version that theirs supersedes."""
+    at = chunks(spark, d).select(F.col("document_version_id").alias("document"), "chunk_id", "text", F.lit(None).cast("string").alias("source"))
+    versions = table(spark, d, "document_version").where("supersedes_id is not null and supersedes_id <> document_version_id")
+    before = versions.select(F.col("document_version_id").alias("document"), F.col("supersedes_id").alias("former")).distinct()
+    new = at.join(before, "document").select(F.col("former").alias("document"), "chunk_id", "text", "source")
+    return C.carried_over(new, at).select("chunk_id", F.col("document").alias("superseded_id"), "confirmed_id")
+
+
 def _cells(spark: SparkSession, d: str) -> DataFrame:
     """A table per region: two header rows, the second column spanned, a row per nation."""
     n = table(spark, d, "nation")

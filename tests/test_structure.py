@@ -66,3 +66,14 @@ def test_corrections_must_fit_once(spark):
     fixes = spark.createDataFrame([("a", "1", "one", "1", False), ("a", "2", "two", "2", False), ("a", "3", "two", "2", True)], "doc_id string, correction_id string, original string, corrected string, every boolean")
     got = {r.doc_id: (r.text, r.applied, r.failed) for r in C.apply_corrections(texts, fixes).collect()}
     assert got == {"a": ("1 2 2", ["1", "3"], ["2"]), "b": ("x", [], [])}
+
+
+def test_every_block_must_be_in_one_chunk_of_the_superseded_version(spark, tmp_path):
+    from marlstone.plans import registry
+
+    chunks = [("o1", "v1", "head\n\none\n\ntwo"), ("o2", "v1", "head\n\nother"), ("n1", "v2", "head\n\ntwo"), ("n2", "v2", "head\n\nnew")]
+    spark.createDataFrame(chunks, "chunk_id string, document_version_id string, text string").write.parquet(str(tmp_path / "chunk.parquet"))
+    versions = [("v1", None), ("v2", "v1")]
+    spark.createDataFrame(versions, "document_version_id string, supersedes_id string").write.parquet(str(tmp_path / "document_version.parquet"))
+    rows = registry.queries()["chk14_whole_texts"](spark, str(tmp_path)).collect()
+    assert {r.chunk_id: r.confirmed_id for r in rows} == {"n1": "o1", "n2": None}
