@@ -25,6 +25,7 @@ PRIOR, PRIOR_ACCURACY = 5.0, 0.5
 #: A change of a weight below STABLE ends the rounds; weights that still move after MOST_ROUNDS are an error.
 MOST_ROUNDS = 200
 STABLE = 1e-4
+WHOLE_ROUNDS = 50
 
 
 def domain(code: Column) -> Column:
@@ -71,8 +72,8 @@ def consensus(ratings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     log odds that follow from them; weights that never settle raise an error.
     """
     live = cut(live_scores(ratings).repartition("result_id", "domain_code"))
-    weights = live.groupBy("rater_id").agg(F.count("*").alias("n_ratings")).withColumn("weight", F.lit(1.0))
-    for _ in range(MOST_ROUNDS):
+    weights = live.groupBy("rater_id").agg(F.count("*").alias("n_ratings")).withColumns({"weight": F.lit(1.0), "odds": F.lit(None).cast("double")})
+    for turn in range(MOST_ROUNDS):
         weighted = live.join(weights.select("rater_id", "weight"), "rater_id")
         votes = _votes(weighted)
         judged = weighted.join(votes, ["result_id", "domain_code"]).where("n > 1")
@@ -83,12 +84,14 @@ def consensus(ratings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         # Log odds against a guess among the labels, never below a trifle.
         odds = F.greatest(F.log(accuracy * (len(LABELS) - 1) / F.greatest(1 - accuracy, F.lit(1e-3))), F.lit(0.05))
         new = by_rater.select("rater_id", "n_judged", accuracy.alias("loo_accuracy"), odds.alias("odds"))
-        # Half a step each round: whole steps can swing between two consensus labels of close items for ever.
-        weight = F.coalesce((F.col("was") + F.col("odds")) / 2, F.lit(1.0))
+        # Half a step while the odds still move, since whole steps can swing between two consensus labels of close items
+        # for ever; the whole step once they are what they were, in the first WHOLE_ROUNDS rounds.
+        whole = F.coalesce(F.abs(F.col("odds") - F.col("had")) < STABLE, F.lit(False)) & F.lit(turn < WHOLE_ROUNDS)
+        weight = F.coalesce(F.when(whole, F.col("odds")).otherwise((F.col("was") + F.col("odds")) / 2), F.lit(1.0))
         weights = cut(
-            weights.select("rater_id", "n_ratings", F.col("weight").alias("was"))
+            weights.select("rater_id", "n_ratings", F.col("weight").alias("was"), F.col("odds").alias("had"))
             .join(new, "rater_id", "left")
-            .select("rater_id", "n_ratings", F.coalesce("n_judged", F.lit(0)).alias("n_judged"), "loo_accuracy", weight.alias("weight"), F.abs(weight - F.col("was")).alias("change"))
+            .select("rater_id", "n_ratings", F.coalesce("n_judged", F.lit(0)).alias("n_judged"), "loo_accuracy", "odds", weight.alias("weight"), F.abs(weight - F.col("was")).alias("change"))
         )
         change = weights.agg(F.max("change")).first()[0]
         if change is None or change < STABLE:
@@ -101,7 +104,7 @@ def consensus(ratings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     picked = votes.withColumn("consensus", _winner(sums))
     best = reduce(lambda a, b: a + b, [F.when(F.col("consensus") == k, w).otherwise(0.0) for k, w in sums.items()])
     items = cut(picked.select("result_id", "domain_code", "consensus", (best / total).alias("confidence"), F.col("n").alias("n_ratings")))
-    return items, weights.drop("change"), live
+    return items, weights.drop("change", "odds"), live
 
 
 def reliability(items: DataFrame, live: DataFrame, least_ratings: int = 3) -> DataFrame:
