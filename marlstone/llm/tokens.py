@@ -40,6 +40,17 @@ def counter(path: str = VOCABULARY):  # noqa: ANN201
     return F.pandas_udf(count, T.IntegerType())
 
 
+def one_text(documents: DataFrame) -> DataFrame:
+    """documents, one row per doc_id: the longest text (then the greatest digest), null ids and texts left out.
+
+    Rows meet by doc_id, the key that a later join by doc_id uses as well.
+    """
+    rows = documents.where("doc_id is not null and text is not null")
+    marked = rows.withColumn("_v", F.struct(F.length("text").alias("n"), F.xxhash64("text").alias("h")))
+    best = marked.groupBy("doc_id").agg(F.max("_v").alias("_best"))
+    return marked.join(best, "doc_id").where(F.col("_v") == F.col("_best")).drop("_v", "_best").dropDuplicates(["doc_id"])
+
+
 def sized(documents: DataFrame, text: Column, path: str = VOCABULARY) -> DataFrame:
     """doc_id, source, n_tokens, one row per doc_id with a text of at least one token; the largest of repeated rows."""
     counted = documents.where("doc_id is not null").select("doc_id", "source", counter(path)(text).alias("n_tokens"))

@@ -89,3 +89,46 @@ def test_token_counts_and_pieces_restore_texts(spark):
     for doc, _, text in parts:
         whole[doc] = whole.get(doc, "") + text
     assert whole[0] == texts[0] and whole[4] == texts[4] and len(whole[3]) == len(texts[3])
+
+
+def one_by_one(sizes, capacity, opened, close):
+    """The rule taken literally: items of one size first where they fill a sequence almost, then by lowest cost with room."""
+    room, cost, place = [capacity] * opened, [0.0] * opened, []
+    for n in sorted(set(sizes.tolist()), reverse=True):
+        k, price = int((sizes == n).sum()), P.LINEAR * n + P.QUADRATIC * float(n) ** 2
+        exact = sorted((i for i, r in enumerate(room) if 0 <= r - n <= close), key=lambda i: (cost[i], i))[:k]
+        picks = list(exact)
+        for i in exact:
+            room[i], cost[i] = room[i] - n, cost[i] + price
+        for _ in range(k - len(picks)):
+            fits = [i for i, r in enumerate(room) if r >= n]
+            if not fits:
+                room.append(capacity)
+                cost.append(0.0)
+                fits = [len(room) - 1]
+            i = min(fits, key=lambda i: (cost[i], i))
+            room[i], cost[i] = room[i] - n, cost[i] + price
+            picks.append(i)
+        place += picks
+    return len(room), sorted(round(c, 6) for c in cost)
+
+
+def test_items_of_one_size_placed_together_go_where_single_ones_would():
+    rng = np.random.default_rng(5)
+    for capacity in (64, 200):
+        x = np.sort(rng.integers(1, capacity, 300))[::-1].copy()
+        place, m, _ = P.balanced(x, capacity, 100, capacity // 32)
+        price = P.LINEAR * x + P.QUADRATIC * x.astype(float) ** 2
+        assert (m, sorted(round(c, 6) for c in np.bincount(place, price, minlength=m))) == one_by_one(x, capacity, 100, capacity // 32)
+
+
+def test_packed_pieces_carry_their_text(spark):
+    texts = [(1, "a few words of text", 1), (2, "one two three four five six seven eight nine ten", 1), (2, "short", 1), (3, None, 1), (4, "", 1)]
+    documents = spark.createDataFrame(texts, "doc_id bigint, text string, capacity int")
+    sized = K.sized(documents.withColumn("source", F.lit("s")), F.col("text"))
+    places = P.packed(sized, spark.createDataFrame([("a", 6, 1)], SPEC))
+    rows = sorted(P.with_text(places, documents).collect(), key=lambda r: (r.doc_id, r.piece_no))
+    whole = {}
+    for r in rows:
+        whole[r.doc_id] = whole.get(r.doc_id, "") + r.text
+    assert whole == {1: texts[0][1], 2: texts[1][1]}
