@@ -40,10 +40,11 @@ def plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     )
     sizes = sized.where("source is not null").groupBy("source").agg(F.sum("n_tokens").alias("size"))
     usable = wanted.where("max_repeats > 0").join(sizes, "source").where("size > 0")
-    everything = Window.partitionBy(F.lit(0))  # one row per source: a settings table's size
-    usable = usable.withColumn("share", F.col("weight") / F.sum("weight").over(everything))
-    reach = F.col("max_repeats") * F.col("size") / F.col("share")
-    total = F.lit(float(total_tokens)) if total_tokens is not None else F.min(reach).over(everything)
+    # Two numbers: the sum of weights, and the tokens per weight that the scarcest source reaches.
+    sums = usable.agg(F.sum("weight").alias("weight"), F.min(F.col("max_repeats") * F.col("size") / F.col("weight")).alias("reach")).first()
+    weight, reach = sums.weight or 1.0, sums.reach or 0.0
+    total = float(total_tokens) if total_tokens is not None else reach * weight
+    usable = usable.withColumn("share", F.col("weight") / weight)
     budget = F.least(F.col("share") * total, F.col("max_repeats") * F.col("size"))
     planned = usable.withColumn("budget", budget).withColumn("full", F.floor(F.col("budget") / F.col("size") + 1e-9).cast("int"))
     return planned.withColumn("part", F.greatest(F.col("budget") - F.col("full") * F.col("size"), F.lit(0.0))).drop("weight")
@@ -97,11 +98,10 @@ def shares(mix: DataFrame, targets: DataFrame) -> DataFrame:
         F.count("*").alias("n_documents"), F.max("copies").alias("most_copies"), F.sum(F.col("n_tokens") * F.col("copies")).alias("n_tokens")
     )
     listed = targets.where("source is not null").groupBy("source").agg(F.max("target_weight").alias("target_weight"))
-    everything = Window.partitionBy(F.lit(0))  # one row per source
-    joined = listed.join(got, "source", "left").fillna(0, ["n_documents", "most_copies", "n_tokens"])
+    joined = cut(listed.join(got, "source", "left").fillna(0, ["n_documents", "most_copies", "n_tokens"]))
     usable = F.when((F.col("target_weight") > 0) & (F.col("n_tokens") > 0), F.col("target_weight"))
+    sums = joined.agg(F.sum(usable).alias("weight"), F.sum("n_tokens").alias("n_tokens")).first()
     return joined.select(
-        "source", "target_weight", F.coalesce(usable / F.sum(usable).over(everything), F.lit(0.0)).alias("target_share"),
-        "n_documents", "most_copies", "n_tokens",
-        F.coalesce(F.try_divide(F.col("n_tokens"), F.sum("n_tokens").over(everything)), F.lit(0.0)).alias("actual_share"),
+        "source", "target_weight", F.coalesce(usable / float(sums.weight or 1), F.lit(0.0)).alias("target_share"),
+        "n_documents", "most_copies", "n_tokens", (F.col("n_tokens") / float(sums.n_tokens or 1)).alias("actual_share"),
     )
