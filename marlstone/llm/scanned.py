@@ -3,7 +3,10 @@
 The lexicon is the corpus's own: counts of words that stand inside a line, where no line end can have cut them. A
 symmetric-delete index over the lexicon (keyed by a form in which characters that scanners confuse coincide) yields the
 candidates of every word; a weighted edit distance with confusion pairs ranks them, counts of neighbouring word pairs
-settle what the distance leaves open.
+settle what the distance leaves open. A word counts by the trust in its line: the scanner's confidence where the line
+has one, so what stands only in doubtful lines is taken for a misreading sooner than what a born-digital line says.
+
+Nothing depends on absolute counts: words are compared by ratios of their own counts, or by shares of the corpus.
 
 Defined cases: rows repeated with one line_id count once (the smallest text stays); null text is a blank line of no
 kind; a null document_version_id, page_no or line_no groups like any value; missing geometry leaves the title to tell
@@ -21,6 +24,7 @@ from pyspark.sql import types as T
 
 from marlstone.functions.lines import countable, line_key, squeeze
 from marlstone.llm.repeated_lines import repeated_in_pages
+from marlstone.operators.joins import salted
 from marlstone.session import cut
 
 # What a scanner prints, and what stood there.
@@ -36,6 +40,16 @@ OF_WORDS = "of|/|de|von|sur|ya"
 HYPHENS = "-­¬‐‑"
 #: A word is taken for a misreading of another only if the other is this many times as frequent.
 RATIO = 8
+#: Trust, in hundredths, in a scanned line without a confidence, and the least trust in any line.
+SCANNED_TRUST, LEAST_TRUST = 80, 25
+#: Share of all words up to which (or up to FEW of them, however small the corpus) a figure with confused letters is read as
+#: a number though no such number is known, and share from which on two words in a row can be one word that lost its
+#: hyphen at the line's end.
+RARE, FEW, COMMON = 3e-5, 3, 5e-5
+#: Forms longer than this meet on thirds of their length, of which two edits leave one whole, instead of on deletions.
+LONG = 24
+#: Cells this far off the diagonal of the distance cost more than any accepted reading.
+BAND = 8
 #: Share of a body line's height below which a line beyond the body or in the margin counts as small print.
 SMALL = 0.9
 #: Height of a page in points, and the share of it at top and bottom that is margin.
@@ -48,6 +62,12 @@ _PAGE_NUMBER = (
 )
 
 
+def trust(from_ocr: Column, confidence: Column) -> Column:
+    """Hundredths by which a line's words count: its confidence if that is possible, else SCANNED_TRUST on a scan and 100 off it."""
+    known = F.when((confidence >= 0) & (confidence <= 1), F.round(confidence * 100))
+    return F.greatest(F.coalesce(known, F.when(from_ocr, F.lit(SCANNED_TRUST)), F.lit(100)).cast("bigint"), F.lit(LEAST_TRUST).cast("bigint"))
+
+
 def page_lines(text_line: DataFrame, document_version: DataFrame) -> DataFrame:
     """One row per line_id with kind (running_header, page_number or null), the line's key and its place on the page.
 
@@ -57,7 +77,7 @@ def page_lines(text_line: DataFrame, document_version: DataFrame) -> DataFrame:
     height = F.col("bbox_bottom") - F.col("bbox_top")
     lines = text_line.select(
         "line_id", "document_version_id", "source", "page_no", "line_no", "text", "bbox_top", "bbox_bottom",
-        height.alias("height"),
+        height.alias("height"), trust(F.col("from_ocr"), F.col("confidence")).alias("trust"),
     )
     usual = lines.groupBy("document_version_id").agg(F.percentile_approx("height", 0.5).alias("usual"))
     versions = document_version.groupBy("document_version_id").agg(
@@ -97,7 +117,7 @@ def page_lines(text_line: DataFrame, document_version: DataFrame) -> DataFrame:
     )
     norm = F.coalesce(line_key(F.col("text")), F.lit(""))
     return placed.select(
-        "line_id", "document_version_id", "source", "page_no", "line_no", "text", "bbox_top", "height", "usual", "day",
+        "line_id", "document_version_id", "source", "page_no", "line_no", "text", "bbox_top", "height", "usual", "day", "trust",
         kind.alias("kind"),
         F.xxhash64(norm).alias("norm_key"),
         (countable(norm)).alias("counts"),
@@ -117,9 +137,8 @@ def body_lines(pages: DataFrame, site: DataFrame) -> DataFrame:
     The next line is looked up within the page; a page's last line takes the first line of the next page with a body,
     by a window over one row a page.
     """
-    body = pages.where(F.col("kind").isNull() & F.col("filled")).join(
-        site.select("source", F.col("key").alias("norm_key")), ["source", "norm_key"], "left_anti"
-    )
+    known = site.select("source", F.col("key").alias("norm_key"))
+    body = salted(pages.where(F.col("kind").isNull() & F.col("filled")), known, ["source", "norm_key"], ["line_id"], "left_anti")
     order = Window.partitionBy("document_version_id", "page_no").orderBy("line_no", "line_id")
     body = body.withColumn("text", squeeze(F.col("text"))).withColumn("first", F.substring_index("text", " ", 1))
     body = (
@@ -139,7 +158,7 @@ def body_lines(pages: DataFrame, site: DataFrame) -> DataFrame:
     joined = body.join(heads, same, "left").drop(heads.document_version_id).drop(heads.page_no)
     return joined.withColumn("words", F.split("text", " ")).select(
         "line_id", "document_version_id", "page_no", "line_no", "text", "words", F.transform("words", core).alias("cores"),
-        "bbox_top", "height", "usual",
+        "bbox_top", "height", "usual", "trust",
         F.coalesce("in_page_next", "over_next").alias("next_word"),
         F.coalesce("in_page_next_id", "over_next_id").alias("next_id"),
         F.col("in_page_next").isNull().alias("ends_page"),
@@ -166,13 +185,13 @@ def forms(word: Column) -> Column:
 
 
 def lexicon(body: DataFrame) -> DataFrame:
-    """word, n: how often a word stands inside a line, neither first nor last."""
+    """word, n: how often a word stands inside a line, neither first nor last, each time by the line's trust."""
     inner = F.slice("cores", 2, F.greatest(F.size("cores") - 2, F.lit(0)))
     return (
-        body.select(F.explode(inner).alias("word"))
+        body.select("trust", F.explode(inner).alias("word"))
         .where("word != ''")
         .groupBy("word")
-        .agg(F.count("*").alias("n"))
+        .agg((F.sum("trust") / 100).alias("n"))
     )
 
 
@@ -188,12 +207,13 @@ def pair_counts(body: DataFrame) -> DataFrame:
     )
 
 
-def line_ends(body: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
+def line_ends(body: DataFrame, words: DataFrame, pairs: DataFrame, n_words: float) -> DataFrame:
     """line_id, next_id, joint ('' a word cut by the line end, '-' a compound parted at its own hyphen), joined word.
 
     A hyphen at the end is a cut if the lexicon knows the whole without a hyphen at least as well as with one; where it
     knows neither, unless both parts are words. Without a hyphen (the scanner lost it) a cut needs a known whole, a part
-    that is no word, and no such pair inside lines.
+    that is no word or far rarer than the whole, and hardly any such pair inside lines; if both are words, the whole must
+    be a common one of the n_words of the corpus.
     """
     last = F.element_at("words", -1)
     hyphened = last.rlike(rf"[\p{{L}}\p{{N}}@][{HYPHENS}]$")
@@ -225,8 +245,8 @@ def line_ends(body: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
         F.col("hyphened"),
         F.when((whole > 0) & (whole >= compound), "").when(compound > 0, "-").when(both & ~F.col("soft"), "-").otherwise(""),
     ).when(
-        (F.col("n_pair") == 0) & (whole >= 3)
-        & ((F.least("n_a", "n_b") * 20 < whole) & (~both | (whole >= 50))), ""
+        (F.col("n_pair") * 20 < whole) & (F.least("n_a", "n_b") * 20 < whole)
+        & F.when(both, (F.col("n_pair") == 0) & (whole >= COMMON * n_words)).otherwise(F.lit(True)), ""
     )
     decided = found.withColumn("joint", joint).where("joint is not null").select("a", "b", "hyphened", "soft", "joint")
     return ends.join(decided, ["a", "b", "hyphened", "soft"]).select(
@@ -235,7 +255,7 @@ def line_ends(body: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def checked_words(body: DataFrame, ends: DataFrame) -> DataFrame:
-    """line_id, pos, word, left_word, right_word, second_id, a, b: every word to look up, parts of a joined word as one."""
+    """line_id, trust, pos, word, left_word, right_word, second_id, a, b: every word to look up, parts of a joined word as one."""
     own = ends.select("line_id", "joint", "joined", F.col("next_id").alias("second_id"), "a", "b")
     before = ends.select(F.col("next_id").alias("line_id"), F.lit(True).alias("continues")).distinct()
     lines = body.join(own, "line_id", "left").join(before, "line_id", "left")
@@ -253,11 +273,11 @@ def checked_words(body: DataFrame, ends: DataFrame) -> DataFrame:
             ),
         ),
     )
-    alone = lines.select("line_id", F.inline(singles)).select(
-        "line_id", "pos", "word", "left_word", "right_word", F.lit(None).cast("bigint").alias("second_id"), none.alias("a"), none.alias("b")
+    alone = lines.select("line_id", "trust", F.inline(singles)).select(
+        "line_id", "trust", "pos", "word", "left_word", "right_word", F.lit(None).cast("bigint").alias("second_id"), none.alias("a"), none.alias("b")
     )
     both = lines.where("joint is not null").select(
-        "line_id", F.size("words").alias("pos"), F.col("joined").alias("word"),
+        "line_id", "trust", F.size("words").alias("pos"), F.col("joined").alias("word"),
         F.when(F.size("cores") > 1, F.element_at("cores", F.greatest(F.size("cores") - 1, F.lit(1)))).alias("left_word"),
         none.alias("right_word"), "second_id", "a", "b",
     )
@@ -270,30 +290,37 @@ def _distance(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
         yield pd.Series([weighted_distance(a, b) for a, b in zip(printed, meant, strict=True)], dtype="float64")
 
 
+_BY_LAST: dict[tuple[str, str], list[tuple[str, str]]] = {}
+for _a, _b in CONFUSIONS:
+    _BY_LAST.setdefault((_a[-1], _b[-1]), []).append((_a, _b))
+
+
 def weighted_distance(printed: str, meant: str) -> float:
-    """Edit distance in which a listed confusion costs CONFUSED_COST and any other edit 1."""
+    """Edit distance in which a listed confusion costs CONFUSED_COST and any other edit 1, within BAND of the diagonal."""
     n, m = len(printed), len(meant)
-    rows = [[0.0] * (m + 1) for _ in range(n + 1)]
+    far = float(n + m + 1)
+    rows: list[dict[int, float]] = []
     for i in range(n + 1):
-        for j in range(m + 1):
-            if i == 0 and j == 0:
-                continue
-            best = 1e9
+        row: dict[int, float] = {}
+        above = rows[i - 1] if i else {}
+        for j in range(max(0, i - BAND), min(m, i + BAND) + 1):
+            best = 0.0 if i == j == 0 else far
             if i:
-                best = rows[i - 1][j] + 1
+                best = min(best, above.get(j, far) + 1)
             if j:
-                best = min(best, rows[i][j - 1] + 1)
+                best = min(best, row.get(j - 1, far) + 1)
             if i and j:
-                best = min(best, rows[i - 1][j - 1] + (printed[i - 1] != meant[j - 1]))
-            for a, b in CONFUSIONS:
-                if i >= len(a) and j >= len(b) and printed.startswith(a, i - len(a)) and meant.startswith(b, j - len(b)):
-                    best = min(best, rows[i - len(a)][j - len(b)] + CONFUSED_COST)
-            rows[i][j] = best
-    return rows[n][m]
+                best = min(best, above.get(j - 1, far) + (printed[i - 1] != meant[j - 1]))
+                for a, b in _BY_LAST.get((printed[i - 1], meant[j - 1]), ()):
+                    if i >= len(a) and j >= len(b) and printed.startswith(a, i - len(a)) and meant.startswith(b, j - len(b)):
+                        best = min(best, rows[i - len(a)].get(j - len(b), far) + CONFUSED_COST)
+            row[j] = best
+        rows.append(row)
+    return rows[n].get(m, far)
 
 
 def _deletes(key: Column) -> Column:
-    """A key and what is left of it after one deletion, or two of a longer key."""
+    """A key and what is left of it after one deletion, or two of a longer key; none of a long one."""
     places = F.sequence(F.lit(1), F.length(key))
 
     def without(k: Column) -> Column:
@@ -304,56 +331,80 @@ def _deletes(key: Column) -> Column:
     one = F.transform(places, lambda i: F.concat(F.substr(key, F.lit(1), i - 1), F.substr(key, i + 1)))
     two = F.flatten(F.transform(one, without))
     return F.array_distinct(
-        F.when(F.length(key) >= 7, F.concat(F.array(key), one, two)).when(F.length(key) >= 4, F.concat(F.array(key), one)).otherwise(F.array(key))
-    )
+        F.when(F.length(key) > LONG + 2, F.array().cast("array<string>"))
+        .when(F.length(key) >= 7, F.concat(F.array(key), one, two)).when(F.length(key) >= 4, F.concat(F.array(key), one)).otherwise(F.array(key))
+    )
+
 
+def _third(key: Column, length: Column, i: int, shift: int) -> Column:
+    """The i-th third of a form of `length` characters, read from key so many characters further on, as text."""
+    start, end = F.floor(length * i / 3).cast("int"), F.floor(length * (i + 1) / 3).cast("int")
+    inside = (start + shift >= 0) & (end + shift <= F.length(key))
+    return F.when(inside, F.concat_ws("|", F.lit(i), length, F.xxhash64(F.substr(key, start + shift + 1, end - start)).cast("string")))
 
-def corrections(asked: DataFrame, words: DataFrame) -> DataFrame:
+
+def _known_keys(key: Column) -> Column:
+    """Keys under which the lexicon holds a form: its deletions, or the thirds of a long one."""
+    thirds = F.array(*[_third(key, F.length(key), i, 0) for i in range(3)])
+    return F.concat(_deletes(key), F.when(F.length(key) > LONG, thirds).otherwise(F.array().cast("array<string>")))
+
+
+def _asked_keys(key: Column) -> Column:
+    """Keys by which a form asks: its deletions, and the thirds of any long form two edits away, wherever edits put them."""
+    thirds = F.array(*[_third(key, F.length(key) + d, i, shift) for d in range(-2, 3) for i in range(3) for shift in range(-2, 3)])
+    probed = F.filter(F.array_distinct(thirds), lambda k: k.isNotNull())
+    return F.concat(_deletes(key), F.when(F.length(key) > LONG - 2, probed).otherwise(F.array().cast("array<string>")))
+
+
+def corrections(asked: DataFrame, words: DataFrame, n_words: float) -> DataFrame:
     """word, candidate, cost, n: readings of each distinct asked word that is likely misread, from the symmetric-delete index.
 
     asked: word, n_asked. A candidate must be RATIO times as frequent as the word (as frequent, if the word has a figure
-    or @ among its letters) and within a cost that grows with the word's length. Numbers with confused letters (2l, 3b19) are read as numbers.
+    or @ among its letters) and within a cost that grows with the word's length. Numbers with confused letters (2l, 3b19)
+    are read as numbers, unless more than RARE of the corpus's n_words are like that or knows them as part of a compound.
     """
     lettered = r"\p{L}"
     odd = rf"^(?=.*[0-9])(?=.*[a-z|])[0-9liosbzgq|]+(?:[.,/][0-9liosbzgq|]+)*%?$"
-    asks = asked.where(F.col("word").rlike(r"[\p{L}@|]") & (F.length("word") <= 40)).withColumn("odd", F.col("word").rlike(odd))
+    asks = asked.where(F.col("word").rlike(r"[\p{L}@|]")).withColumn("odd", F.col("word").rlike(odd))
     # Letters alone that scanners put for 1 and 0.
     ones = ["l", "ll", "lo", "ol", "lol", "llo", "loo"]
-    base = words.where((F.length("word") <= 40))
     limit = F.least(F.greatest(F.lit(2 * CONFUSED_COST), F.length("candidate") * 0.12), F.lit(1.5))
-    asked_keys = asks.where(~F.col("odd")).select("word", "n_asked", F.explode(forms(F.col("word"))).alias("form"))
+    # A figure or @ among letters tells a misreading by itself, however rare the word is.
+    marked = F.col("word").rlike(r"\p{L}[0-9@|]+\p{L}|^@\p{L}|\p{L}@$")
+    asked_keys = asks.where(~F.col("odd")).select("word", "n_asked", marked.alias("marked"), F.explode(forms(F.col("word"))).alias("form"))
     known_keys = cut(
-        base.where(F.col("word").rlike(lettered) & ~F.col("word").rlike(odd) & (F.length("word") >= 3)).select(
+        words.where(F.col("word").rlike(lettered) & ~F.col("word").rlike(odd) & (F.length("word") >= 2)).select(
             F.col("word").alias("candidate"), "n", F.explode(forms(F.col("word"))).alias("known_form")
         )
     )
-    # A figure or @ among letters tells a misreading by itself, however rare the word is.
-    marked = F.col("word").rlike(r"\p{L}[0-9@|]+\p{L}|^@\p{L}|\p{L}@$") & ~F.col("candidate").rlike("[0-9@|]")
-    ratio = F.when(marked, 1).otherwise(RATIO)
-    better = (F.col("word") != F.col("candidate")) & (F.col("n") >= F.col("n_asked") * ratio)
+    ratio = F.when(F.col("marked") & ~F.col("candidate").rlike("[0-9@|]"), 1).otherwise(RATIO)
+    # Words of two letters differ from too many others: only a figure or mark in them tells a misreading.
+    long_enough = (F.length("candidate") > 2) | F.col("word").rlike("[0-9@|]")
+    better = (F.col("word") != F.col("candidate")) & (F.col("n") >= F.col("n_asked") * ratio) & long_enough
 
     def within(pairs: DataFrame) -> DataFrame:
         return pairs.select("word", "candidate", "n").withColumn("cost", _distance("word", "candidate")).where(F.col("cost") <= limit)
 
     # Most misreadings differ by listed confusions alone: an equal form finds them without the index.
     same_form = cut(within(asked_keys.join(known_keys, F.col("form") == F.col("known_form")).where(better).select("word", "candidate", "n").distinct()))
-    rest = asked_keys.join(same_form.select("word").distinct(), "word", "left_anti")
-    by_key = rest.withColumn("key", F.explode(_deletes(F.col("form")))).join(
-        known_keys.withColumn("key", F.explode(_deletes(F.col("known_form")))), "key"
-    )
-    edits = F.levenshtein("form", "known_form")
-    close = by_key.where(better & (edits <= F.when(F.length("candidate") >= 9, 2).otherwise(1)))
+    rest = asked_keys.join(same_form.select("word").distinct(), "word", "left_anti").withColumn("key", F.explode(_asked_keys(F.col("form"))))
+    index = known_keys.where(F.length("candidate") > 2)
+    # A word counts LEAST_TRUST at least, so rarer candidates than that times RATIO can only serve marked words.
+    common = F.col("n") >= RATIO * LEAST_TRUST / 100
+    indexed = lambda df: df.withColumn("key", F.explode(_known_keys(F.col("known_form"))))
+    by_key = rest.join(indexed(index.where(common)), "key").unionByName(rest.where("marked").join(indexed(index.where(~common)), "key"))
+    edits = F.levenshtein("form", "known_form", 2)
+    close = by_key.where(better & (edits >= 0) & (edits <= F.when(F.length("candidate") >= 9, 2).otherwise(1)))
     near = same_form.unionByName(within(close.select("word", "candidate", "n").distinct()))
     # A reading that is itself misread is none.
     near = near.join(near.select(F.col("word").alias("candidate")).distinct(), "candidate", "left_anti")
-    number = F.translate("word", "lio|sbzgq", "11" + "0156299")
+    number = F.translate("word", "lio|sbzgq", "110156299")
     numbers = asks.where(F.col("odd") | F.col("word").isin(ones)).select("word", "n_asked", number.alias("candidate"))
-    known = numbers.join(base.select(F.col("word").alias("candidate"), "n"), "candidate", "left")
-    read = known.where(
-        F.when(F.col("word").isin(ones), F.coalesce(F.col("n"), F.lit(0)) >= F.col("n_asked") * RATIO).otherwise(
-            (F.col("n_asked") < 30) | (F.coalesce(F.col("n"), F.lit(0)) >= F.col("n_asked") * RATIO)
-        )
-    ).select("word", "candidate", F.coalesce(F.col("n"), F.lit(1)).alias("n"), F.lit(CONFUSED_COST).alias("cost"))
+    parts = words.where(F.col("word").contains("-")).select("n", F.explode(F.split("word", "-")).alias("word")).groupBy("word").agg(F.sum("n").alias("n_part"))
+    known = numbers.join(words.select(F.col("word").alias("candidate"), "n"), "candidate", "left").join(parts, "word", "left")
+    often = F.coalesce(F.col("n"), F.lit(0.0)) >= F.col("n_asked") * RATIO
+    free = ~F.col("word").isin(ones) & (F.col("n_asked") <= max(FEW, RARE * n_words)) & (F.coalesce("n_part", F.lit(0.0)) < F.col("n_asked"))
+    read = known.where(often | free).select("word", "candidate", F.coalesce(F.col("n"), F.lit(1.0)).alias("n"), F.lit(CONFUSED_COST).alias("cost"))
     return near.select("word", "candidate", "n", "cost").unionByName(read)
 
 
@@ -401,16 +452,17 @@ class Scan:
         self.body = cut(body_lines(self.pages, self.site))
         self.words = cut(lexicon(self.body))
         self.pairs = cut(pair_counts(self.body))
-        self.ends = cut(line_ends(self.body, self.words, self.pairs))
+        n_words = self.words.agg(F.sum("n")).first()[0] or 0.0  # one number
+        self.ends = cut(line_ends(self.body, self.words, self.pairs, n_words))
         self.at = checked_words(self.body, self.ends)
-        asked = cut(self.at.groupBy("word").agg(F.count("*").alias("n_asked")))
-        self.candidates = cut(corrections(asked, self.words))
+        asked = cut(self.at.groupBy("word").agg((F.sum("trust") / 100).alias("n_asked")))
+        self.candidates = cut(corrections(asked, self.words, n_words))
         self.repaired = cut(repairs(self.at, self.candidates, self.pairs))
 
     def found(self) -> DataFrame:
         """line_id, kind: furniture without site lines, cut words and misread lines."""
         site = self.site.select("source", F.col("key").alias("norm_key"))
-        furniture = self.pages.where("kind is not null").join(site, ["source", "norm_key"], "left_anti").select("line_id", "kind")
+        furniture = salted(self.pages.where("kind is not null"), site, ["source", "norm_key"], ["line_id"], "left_anti").select("line_id", "kind")
         cuts = self.ends.where("joint = ''").select("line_id", F.lit("hyphen_break").alias("kind"))
         misread = misread_lines(self.repaired).select("line_id", F.lit("misread").alias("kind"))
         return furniture.unionByName(cuts).unionByName(misread).where("line_id is not null").distinct()

@@ -92,3 +92,40 @@ def test_weighted_distance():
     assert S.weighted_distance("ternperature", "temperature") == S.CONFUSED_COST
     assert S.weighted_distance("abc", "abd") == 1.0
     assert S.weighted_distance("", "ab") == 2.0
+
+
+def test_distance_beyond_the_band_is_large_and_long_words_are_quick():
+    assert S.weighted_distance("a" * 5, "a" * 40) > 1.5
+    assert S.weighted_distance("x" * 3000 + "rn", "x" * 3000 + "m") == S.CONFUSED_COST
+
+
+def lines_of(spark, texts, ocr=None, confidence=None):
+    rows = [(i, f"d{i // 4}", f"s{i // 4}", 1, i % 4, t, ocr, confidence, 100.0 + 20 * (i % 4), 109.5 + 20 * (i % 4), "x", "y") for i, t in enumerate(texts)]
+    return scan(spark, rows)
+
+
+def test_words_longer_than_any_key_of_deletions_are_read(spark):
+    long = "pneumonoultramicroscopicsilicovolcanoconiosispneumonoultra"
+    spoiled = long.replace("micro", "micor", 1)[:-4] + "u1tra"
+    texts = [f"the word {long} is known here well" for _ in range(40)] + [f"the word {spoiled.replace('micor', 'micro')} is known here", f"the word {long[:20]}x{long[20:]} is known here", "z" * 5000 + " stays as it is here"]
+    got = lines_of(spark, texts)
+    assert {r.line_id for r in got.found().where("kind = 'misread'").collect()} == {40, 41}
+
+
+def test_words_of_two_letters_need_a_figure_to_be_misread(spark):
+    texts = ["the care of the newborn in the ward is on time to day"] * 30 + ["the care 0f the newborn in the ward", "the care is 0n time to the day", "the care if the newborn ot ward to day", "the ward is 0n the care t0 the day"]
+    got = lines_of(spark, texts)
+    assert {r.line_id for r in got.found().where("kind = 'misread'").collect()} == {30, 31, 33}
+
+
+def test_words_of_doubtful_lines_count_less(spark):
+    rows = [(True, 0.5), (True, None), (False, None), (None, None), (None, 0.9), (True, 7.0), (True, -1.0), (True, 0.01)]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, ocr boolean, c double")
+    got = [r.t for r in frame.select("i", S.trust(S.F.col("ocr"), S.F.col("c")).alias("t")).orderBy("i").collect()]
+    assert got == [50, 80, 100, 100, 90, 80, 80, 25]
+
+
+def test_part_of_a_known_compound_is_no_number(spark):
+    texts = ["the dose of tomavex-b12 in the ward is known"] * 30 + ["of tomavex- the dose b12 is known well here", "the child of 2l days is in the ward here"]
+    got = lines_of(spark, texts)
+    assert {r.line_id for r in got.found().where("kind = 'misread'").collect()} == {31}
