@@ -61,3 +61,18 @@ def test_accuracy_on_labelled_rows_outside_the_sample(spark):
     got = L.languages(L.segments(odd, ranks)).join(odd, "doc_id")
     # Up to a tenth of the labels is wrong by design.
     assert got.where("lang = label").count() >= 0.88 * got.count()
+
+
+def test_a_language_without_profile_is_unknown_and_makes_no_case(spark, ranks):
+    foreign = "Zdrowko wszczyna gwizdek przez krzywy mrok, gdzie szczygly chrzaszcza czekaja juz dlugo wsrod trzcin."
+    docs = spark.createDataFrame([(1, foreign, "en", 0.1), (2, EN[0], None, 0.1), (3, None, "en", 0.1), (4, "12 | 3", "en", 0.1)], SCHEMA)
+    detected = {r.doc_id: r for r in L.languages(L.segments(docs, ranks), docs).collect()}
+    assert detected[1].lang == L.UNKNOWN and detected[2].lang == "en"
+    assert detected[3].lang is None and detected[4].lang is None and detected[3].confidence == 0.0 and detected[3].also == []
+    assert {(r.doc_id, r.kind) for r in L.found(docs, L.languages(L.segments(docs, ranks))).collect()} == {(2, "missing")}
+
+
+def test_the_longest_text_of_an_id_counts(spark, ranks):
+    docs = spark.createDataFrame([(1, EN[0], None, 0.1), (1, FR[0] + " " + FR[1], None, 0.1), (1, EN[0], None, 0.1)], SCHEMA)
+    got = L.chosen(L.segments(docs, ranks)).collect()
+    assert {r.lang for r in got} == {"fr"} and len({r.segment_no for r in got}) == len(got)
