@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import consensus, language, mixing, near_duplicates, packing, repeated_lines, scanned, splitting, tokens
+from marlstone.operators.joins import salted
 from marlstone.session import cut
 from marlstone.tables import table
 
@@ -80,8 +81,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pages = cut(scanned.page_lines(table(spark, d, "text_line"), table(spark, d, "document_version")))
     site = scanned.site_lines(pages).select("source", F.col("key").alias("norm_key"))
     in_pages = (
-        pages.where("kind is null and counts and line_id is not null")
-        .join(site, ["source", "norm_key"])
+        salted(pages.where("kind is null and counts and line_id is not null"), site, ["source", "norm_key"], ["line_id"])
         .select(F.lit("text_line").alias("place"), F.col("line_id").alias("record_id"), F.lit(0).alias("line_no"))
     )
     return in_documents.unionByName(in_pages)
@@ -102,8 +102,26 @@ def _clean_documents(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.without_repeated(documents, flagged)
 
 
+def _known_lines(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, list[str]]]:
+    report = repeated_lines.reported(table(spark, d, "boilerplate_report"), table(spark, d, "document_version"))
+    return cut(report), repeated_lines.patterns_of(table(spark, d, "assembly_options"))
+
+
+def p5_decided(spark: SparkSession, d: str) -> DataFrame:
+    known, patterns = _known_lines(spark, d)
+    versions = table(spark, d, "document_version")
+    pages = cut(scanned.page_lines(table(spark, d, "text_line"), versions))
+    in_documents = repeated_lines.decided_in_documents(table(spark, d, "documents"), known, patterns)
+    in_pages = repeated_lines.decided_in_pages(pages, versions, known, patterns)
+    both = in_documents.withColumn("place", F.lit("documents")).unionByName(in_pages.withColumn("place", F.lit("text_line")))
+    return both.select("place", "source", "line", "n_documents", "n_clusters", "n_days", F.round("share", 6).alias("share"), "known", "boilerplate")
+
+
 def p5_documents(spark: SparkSession, d: str) -> DataFrame:
-    return _clean_documents(spark, d).select("doc_id", "source", "text", "n_removed")
+    documents = table(spark, d, "documents")
+    found = repeated_lines.decided_in_documents(documents, *_known_lines(spark, d))
+    flagged = cut(found.where("boilerplate").select("source", "key"))
+    return repeated_lines.without_repeated(documents, flagged).select("doc_id", "source", "text", "n_removed")
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
@@ -118,6 +136,10 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p7_packed(spark, d))
 
 
+def p7_texts(spark: SparkSession, d: str) -> DataFrame:
+    return packing.with_text(p7_packed(spark, d), table(spark, d, "documents"))
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(_sized(spark, d), table(spark, d, "mix_target"))
 
@@ -138,18 +160,18 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_documents(spark: SparkSession, d: str) -> DataFrame:
-    return language.languages(_segments(spark, d))
+    return language.languages(_segments(spark, d), table(spark, d, "documents"))
 
 
 def p9_segments(spark: SparkSession, d: str) -> DataFrame:
-    return _segments(spark, d).select("doc_id", "segment_no", "lang", "n_words", "confidence").dropDuplicates(["doc_id", "segment_no"])
+    return language.chosen(_segments(spark, d))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_paragraphs, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_consensus, p4_raters, p4_agreement,
-        p4_rater_counts, p5_found, p5_lines, p5_documents, p7_packed, p7_fill, p8_mix, p8_shares, p9_found, p9_documents,
+        p4_rater_counts, p5_found, p5_lines, p5_decided, p5_documents, p7_packed, p7_fill, p7_texts, p8_mix, p8_shares, p9_found, p9_documents,
         p9_segments,
     )
 }
