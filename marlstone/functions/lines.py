@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterable, Mapping, Sequence
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Any white space, U+00A0, U+0085 and U+2028 included.
@@ -28,3 +30,26 @@ def word_count(text: Column) -> Column:
 def countable(key: Column, least_words: int = 4) -> Column:
     """Whether a line key has enough words and a letter."""
     return (F.size(F.split(key, " ")) >= least_words) & key.rlike(r"\p{L}")
+
+
+def valid_patterns(spark: SparkSession, listed: Iterable[tuple[str | None, Sequence[str] | None]]) -> dict[str, list[str]]:
+    """source -> those of its patterns that compile; from rows of a settings table."""
+    out: dict[str, list[str]] = {}
+    for source, patterns in listed:
+        for pattern in patterns or []:
+            try:
+                spark._jvm.java.util.regex.Pattern.compile(f"(?i){pattern}")
+            except Exception:  # noqa: BLE001 - a pattern by hand that is none
+                continue
+            if source is not None:
+                out.setdefault(source, []).append(pattern)
+    return out
+
+
+def fits_pattern(source: Column, line: Column, patterns: Mapping[str, Sequence[str]]) -> Column:
+    """Whether a line fits a pattern of its source, ignoring case; false for null."""
+    hit = F.lit(False)
+    for name, listed in patterns.items():
+        own = F.rlike(line, F.lit("(?i)" + "|".join(f"(?:{p})" for p in listed)))
+        hit = F.when(source == name, F.coalesce(own, F.lit(False))).otherwise(hit)
+    return hit

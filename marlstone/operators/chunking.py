@@ -6,7 +6,7 @@ and nothing is shuffled but where documents meet. Defined cases: null or blank t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -28,7 +28,8 @@ CRITERION = r"([A-Za-z_ ]+?)\s*(>=|<=|>|<|=)\s*([\d.]+)\s*([A-Za-z%/]*)"
 SEPARATOR = " › "
 PAGE_CHARS = 3000
 LINEAGE = {"primary": 0.3, "secondary": 0.2, "reverse": 0.6, "words": 8}
-DOSE = r"(?i)\d+(?:\.\d+)?\s*(?:mg|g|kg|ml|mcg|µg|iu|i\.u|units?|%|mmol)\b"
+#: The dose that keeps a margin line, plainer than the one of answers (functions.text.DOSE).
+LINE_DOSE = r"(?i)\d+(?:\.\d+)?\s*(?:mg|g|kg|ml|mcg|µg|iu|i\.u|units?|%|mmol)\b"
 
 
 def lines_with_offsets(text: Column) -> Column:
@@ -160,7 +161,7 @@ def clause_type(block: Column, profile: Column) -> Column:
     )
 
 
-def packed(parts: Column, most: int) -> Column:
+def packed(parts: Column, most: int | Column) -> Column:
     """array<array<string>>: parts in order, greedily together until the next would exceed `most` words."""
     kind = "array<array<string>>"
     zero = F.struct(F.array().cast(kind).alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
@@ -209,10 +210,19 @@ def with_parents(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("parent_ordinal", F.when(parent != F.col("ordinal"), parent))
 
 
-def covered(windows: DataFrame, blocks_at: DataFrame) -> DataFrame:
-    """windows joined with the blocks of their document that they overlap: (document, w_start, w_end) and (document, b_start, b_end)."""
+def covered(windows: DataFrame, blocks_at: DataFrame, bin_size: int = 4096, also: Sequence[str] = ()) -> DataFrame:
+    """windows joined with the blocks of their document that they overlap: (document, w_start, w_end) and (document, b_start,
+    b_end), equal in the columns `also` too.
+
+    Both are put into bins of so many characters and meet within a bin; a pair that shares several counts in the first
+    that it shares, so a document's windows are never all paired with its blocks.
+    """
+    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bin_size), F.floor(F.greatest(F.col(b) - 1, F.col(a)) / bin_size)))
+    w = windows.withColumn("_bin", bins("w_start", "w_end"))
+    b = blocks_at.withColumn("_bin", bins("b_start", "b_end"))
     overlaps = (F.col("b_start") < F.col("w_end")) & (F.col("w_start") < F.col("b_end"))
-    return windows.join(blocks_at, "document").where(overlaps)
+    first = F.floor(F.greatest("w_start", "b_start") / bin_size) == F.col("_bin")
+    return w.join(b, ["document", "_bin", *also]).where(overlaps & first).drop("_bin")
 
 
 def gates(chunks: DataFrame, rules: DataFrame, least_quality: float = 0.5) -> DataFrame:
@@ -238,26 +248,134 @@ def carried_over(new: DataFrame, confirmed: DataFrame) -> DataFrame:
     return new.join(first, ["document", "chunk_id"], "left")
 
 
-def margin_boilerplate(lines: DataFrame, zone: float = 0.08, ratio: float = 0.5, least_pages: int = 3, height: float = 842.0) -> DataFrame:
-    """lines (document, page_no, line_id, text, top, bottom) in the margin whose masked text repeats on enough of the
-    document's pages, or is a page number; never one with a dose."""
+PAGE_NUMBER = r"^(page\s+)?#+(\s+of\s+#+)?$"
+#: Points within which running headers share a vertical position.
+ALIGNED = 2.0
+
+
+def margin_boilerplate(lines: DataFrame, options: DataFrame, patterns: Mapping[str, Sequence[str]], height: float = 842.0) -> DataFrame:
+    """document, page_no, line_id, masked, reason of the lines that are page furniture; never one with a dose.
+
+    lines: document, source, page_no, line_id, text, top, bottom, is_heading. options: source, margin_zone, repeat_ratio,
+    min_pages (a settings row per source; others take the defaults). In the margin goes a line whose masked text repeats
+    on enough of the document's pages, a page number, and what fits a pattern of its source; a heading in the margin goes
+    where its text stands at one height (the median, give or take ALIGNED) on min_pages pages.
+    """
+    from marlstone.functions.lines import fits_pattern
     from marlstone.functions.text import mask_digits
 
-    margin = lines.where((F.col("bottom") <= height * zone) | (F.col("top") >= height * (1 - zone))).withColumn("masked", mask_digits(F.col("text")))
+    known = options.groupBy("source").agg(F.first("margin_zone").alias("margin_zone"), F.first("repeat_ratio").alias("repeat_ratio"), F.first("min_pages").alias("min_pages"))
+    zone, ratio, least = F.coalesce("margin_zone", F.lit(0.08)), F.coalesce("repeat_ratio", F.lit(0.5)), F.coalesce("min_pages", F.lit(3))
     pages = lines.groupBy("document").agg(F.count_distinct("page_no").alias("n_pages"))
+    placed = lines.join(known, "source", "left").where((F.col("bottom") <= height * zone) | (F.col("top") >= height * (1 - zone)))
+    margin = placed.withColumn("masked", mask_digits(F.col("text"))).where("masked <> ''")
     seen = margin.groupBy("document", "masked").agg(F.count_distinct("page_no").alias("on_pages"))
-    judged = margin.join(seen, ["document", "masked"]).join(pages, "document")
-    repeats = (F.col("n_pages") >= least_pages) & (F.col("on_pages") / F.col("n_pages") >= ratio)
-    number = F.col("masked").rlike(r"^(page\s+)?#+(\s+of\s+#+)?$")
-    return judged.where((repeats | number) & ~F.col("text").rlike(DOSE)).select("document", "page_no", "line_id", "masked", "on_pages", "n_pages")
-
-
-def size_tiers(lines: DataFrame) -> DataFrame:
-    """document, font_size, n, tier: sizes used at least twice, largest first; documents with one such size have no tiers."""
-    used = lines.where("font_size is not null").groupBy("document", "font_size").agg(F.count("*").alias("n")).where("n >= 2")
-    w = Window.partitionBy("document")
-    tier = F.dense_rank().over(w.orderBy(F.col("font_size").desc()))
-    return used.withColumn("tier", tier).withColumn("_k", F.count("*").over(w)).where("_k >= 2").drop("_k")
+    # The middle one of a heading's heights: as many as the document has pages.
+    tops = F.array_sort(F.collect_list("top"))
+    anchors = margin.where("is_heading").groupBy("document", "masked").agg(F.get(tops, F.floor(F.count("top") / 2).cast("int")).alias("anchor"))
+    at_anchor = F.abs(F.col("top") - F.col("anchor")) <= ALIGNED
+    aligned = margin.where("is_heading").join(anchors, ["document", "masked"]).where(at_anchor)
+    running = aligned.groupBy("document", "masked").agg(F.first("anchor").alias("anchor"), F.count_distinct("page_no").alias("aligned_pages"))
+    judged = margin.join(seen, ["document", "masked"]).join(pages, "document").join(running, ["document", "masked"], "left")
+    reason = (
+        F.when(F.col("is_heading") & at_anchor & (F.col("aligned_pages") >= least), "running_header")
+        .when(~F.col("is_heading") & (F.col("n_pages") >= least) & (F.col("on_pages") / F.col("n_pages") >= ratio), "repeated")
+        .when(~F.col("is_heading") & F.col("masked").rlike(PAGE_NUMBER), "page_number")
+        .when(~F.col("is_heading") & fits_pattern(F.col("source"), F.col("text"), patterns), "pattern")
+    )
+    return judged.withColumn("reason", reason).where(F.col("reason").isNotNull() & ~F.col("text").rlike(LINE_DOSE)).select("document", "page_no", "line_id", "masked", "reason")
+
+
+#: Points within which font sizes are one tier; headings a tier needs, and tiers a document needs for its sizes to count.
+TIER, TIER_HEADINGS, LEAST_TIERS = 0.25, 2, 2
+LETTER_PART, TABLE_TITLE = r"^[A-Z]\.\s+\S", r"^Table\s+\d+(?:\.\d+)*\b"
+TABLE_CONTINUED = r"(?i)^Table\s+\d+(?:\.\d+)*\s*\(?continued\)?\.?$"
+_LEVELLED = "document string, element_no bigint, level int"
+
+
+def size_tiers(sizes: Column) -> Column:
+    """array<double>: the tiers of a document's heading sizes in reading order, largest first: sizes within TIER of an earlier
+    one count as that; a tier has at least TIER_HEADINGS headings."""
+    kind = "array<struct<size:double,n:int>>"
+
+    def step(acc: Column, size: Column) -> Column:
+        near = F.filter(acc, lambda t: F.abs(t["size"] - size) <= TIER)
+        mine = F.get(near, F.lit(0))["size"]
+        counted = F.transform(acc, lambda t: F.struct(t["size"].alias("size"), F.when(t["size"] == mine, t["n"] + 1).otherwise(t["n"]).alias("n")))
+        return F.when(mine.isNotNull(), counted).otherwise(F.concat(acc, F.array(F.struct(size.alias("size"), F.lit(1).alias("n"))))).cast(kind)
+
+    tiers = F.aggregate(F.filter(sizes, lambda x: x.isNotNull()), F.array().cast(kind), step)
+    return F.reverse(F.array_sort(F.transform(F.filter(tiers, lambda t: t["n"] >= TIER_HEADINGS), lambda t: t["size"])))
+
+
+def _under_parts(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """Levels of one document's headings after letter parts and table titles took theirs under them."""
+    import re
+
+    rows = frame.sort_values("element_no")
+    given, out = rows.level.tolist(), rows.level.tolist()
+    title: int | None = None  # level of the open table title
+    spans: list[tuple[int, int, list[int]]] = []  # heading of a part, levels it goes down, headings below it
+    open_part: int | None = None
+    for i, text in enumerate(rows.text.fillna("").str.strip()):
+        part_level = given[spans[open_part][0]] if open_part is not None else None
+        if re.match(TABLE_TITLE, text) and (part_level is None or given[i] <= part_level):
+            title, open_part = given[i], None
+        elif re.match(LETTER_PART, text):
+            spans.append((i, title + 1 - given[i] if title is not None and given[i] <= title else 0, []))
+            open_part = len(spans) - 1
+        elif part_level is not None and given[i] >= part_level:
+            spans[open_part][2].append(i)
+        else:
+            open_part = None
+            if title is not None and given[i] <= title:
+                title = None
+    for part, down, below in spans:
+        deeper = down + any(given[m] == given[part] for m in below)
+        out[part] = given[part] + down
+        for m in below:
+            out[m] = given[m] + deeper
+    return pd.DataFrame({"document": key[0], "element_no": rows.element_no.to_numpy(), "level": out})
+
+
+def heading_levels(elements: DataFrame) -> DataFrame:
+    """document, element_no, kind, text, level: elements (document, element_no, kind, text, font_size, is_bold) after false
+    headings have become text and the others have a level.
+
+    A numbered heading has the depth of its number; another stands one below the last numbered one. A heading that runs on
+    in the text behind it (no end mark, a small letter next) joins that text; one set smaller than the usual text and not
+    bold is text. Where headings come in LEAST_TIERS sizes that recur, the size's rank is the level. Letter parts take the
+    headings of their level under them, table titles their parts; continuations of table titles go. Windows and lists
+    are over one document's headings.
+    """
+    rows = elements.where(~((F.col("kind").isin("heading", "text", "caption")) & F.coalesce(F.trim("text").rlike(TABLE_CONTINUED), F.lit(False))))
+    along = Window.partitionBy("document").orderBy("element_no")
+    titled = (F.col("kind") == "caption") & F.trim("text").rlike(TABLE_TITLE) & (F.lead("kind").over(along) == "heading")
+    rows = rows.withColumn("kind", F.when(titled, "heading").otherwise(F.col("kind")))
+    usual = rows.where("kind in ('text', 'list_item') and font_size is not null").groupBy("document").agg(F.percentile("font_size", F.lit(0.5)).alias("usual"))
+    number = F.regexp_extract(F.trim("text"), r"(?s)^(\d+(?:\.\d+){0,4})\.?\s+\S.*$", 1)
+    depth = F.when((F.col("kind") == "heading") & (number != ""), F.length(number) - F.length(F.replace(number, F.lit("."), F.lit(""))) + 1)
+    next_text = F.when(F.lead("kind").over(along).isin("text", "list_item"), F.lead("text").over(along))
+    plain = (F.col("kind") == "heading") & depth.isNull()
+    runs_on = plain & (F.trim("text") != "") & ~F.rtrim("text").rlike(r"[.:?!)]$") & F.coalesce(next_text.rlike(r"^\p{Ll}"), F.lit(False))
+    rows = rows.join(usual, "document", "left").withColumns({"_depth": depth, "_joins": runs_on})
+    small = plain & (F.col("font_size") < F.col("usual") - TIER) & ~F.coalesce("is_bold", F.lit(False))
+    rows = rows.withColumn("_small", F.coalesce(small, F.lit(False)) & ~F.col("_joins"))
+    before = F.coalesce(F.last("_depth", ignorenulls=True).over(along), F.lit(0))
+    lead_in = F.lag(F.when(F.col("_joins"), F.rtrim("text"))).over(along)
+    rows = rows.withColumns({"_level": F.coalesce("_depth", before + 1), "_lead": lead_in})
+    rows = rows.where("not _joins").select(
+        "document", "element_no", F.when(F.col("_small"), "text").otherwise(F.col("kind")).alias("kind"),
+        F.when(F.col("_lead").isNotNull(), F.concat_ws(" ", "_lead", "text")).otherwise(F.col("text")).alias("text"), "font_size", "_level",
+    )
+    heads = rows.where("kind = 'heading'")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("element_no", "font_size"))), lambda x: x["font_size"].cast("double"))
+    tiers = heads.groupBy("document").agg(listed.alias("_sizes")).select("document", size_tiers(F.col("_sizes")).alias("_tiers"))
+    rank = 1 + F.size(F.filter("_tiers", lambda t: t > F.col("font_size") + TIER))
+    ranked = (F.size("_tiers") >= LEAST_TIERS) & F.col("font_size").isNotNull()
+    levelled = heads.join(tiers, "document").withColumn("level", F.when(ranked, rank).otherwise(F.col("_level")).cast("int"))
+    final = levelled.select(F.col("document").cast("string").alias("document"), F.col("element_no").cast("bigint").alias("element_no"), "text", "level").groupBy("document").applyInPandas(_under_parts, _LEVELLED)
+    return rows.join(final, ["document", "element_no"], "left").select("document", "element_no", "kind", "text", "level")
 
 
 def assembled(units: DataFrame) -> DataFrame:
@@ -267,6 +385,11 @@ def assembled(units: DataFrame) -> DataFrame:
     return units.withColumn("char_start", before).withColumn("char_end", before + F.length("text"))
 
 
+def page_runs(placed: DataFrame) -> DataFrame:
+    """document, page_no, char_start, char_end, n_units: the stretch of the assembled text that each page fills; see assembled()."""
+    return placed.groupBy("document", "page_no").agg(F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"), F.count("*").alias("n_units"))
+
+
 def merged_cells(left: DataFrame, right: DataFrame) -> DataFrame:
     """Cells (table_id, row, col, text) of two readings: the first one's text unless it is empty, and what differs."""
     a = left.select("table_id", "row", "col", F.col("text").alias("a"))
@@ -278,26 +401,57 @@ def merged_cells(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select("table_id", "row", "col", kept.alias("text"), state.alias("state"), (digits("a") != digits("b")).alias("numeric"))
 
 
-def expanded_cells(cells: DataFrame) -> DataFrame:
+def expanded_cells(cells: DataFrame, also: Sequence[str | Column] = ()) -> DataFrame:
     """Cells (table_id, row, col, row_span, col_span, text, is_header) spread over the grid squares that they span."""
     rows = F.sequence(F.col("row"), F.col("row") + F.col("row_span") - 1)
     cols = F.sequence(F.col("col"), F.col("col") + F.col("col_span") - 1)
     clean = F.trim(F.regexp_replace(F.replace("text", F.lit("|"), F.lit("/")), r"\s+", " "))
-    spread = cells.withColumn("text", clean).withColumn("r", F.explode(rows)).withColumn("c", F.explode(cols))
-    return spread.select("table_id", F.col("r").alias("row"), F.col("c").alias("col"), "text", "is_header")
+    spread = cells.select("table_id", "row_span", "col_span", "is_header", *also, clean.alias("text"), F.explode(rows).alias("_r"), "col")
+    names = [c for c in spread.columns if c not in ("row_span", "col_span", "_r", "col")]
+    return spread.withColumn("_c", F.explode(cols)).select(*names, F.col("_r").alias("row"), F.col("_c").alias("col"))
+
 
+#: Share of a table's columns that a title cell spans, two at least; rows from which on a table may be cut.
+TITLE_SPAN, ROWS_TO_SPLIT = 0.6, 2
 
-def rendered_tables(cells: DataFrame) -> DataFrame:
-    """table_id, row, block: each body row as lines of header path and value; header rows join by a middle dot."""
-    grid = expanded_cells(cells)
-    heads = grid.where("is_header and text <> ''")
-    paths = heads.groupBy("table_id", "col").agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda x: x["text"])), " · ").alias("path"))
-    body = grid.where("not is_header")
-    named = body.join(paths, ["table_id", "col"], "left").withColumn("path", F.coalesce("path", F.concat(F.lit("Column "), F.col("col") + 1)))
+
+def rendered_tables(cells: DataFrame, most: int) -> DataFrame:
+    """table_id, part_no, text: tables row by row, each value behind the path of its column's headings, in parts of at most
+    `most` words where rows allow; titles stand above every part.
+
+    cells: table_id, row, col, row_span, col_span, text, is_header. Header rows are the first ones that header cells
+    reach; with several of them, a cell of the first row over most columns is a title. A table's cells are its natural
+    unit: rows form by one aggregation, the table by a second.
+    """
+    shape = cells.groupBy("table_id").agg(
+        F.max(F.col("col") + F.col("col_span")).alias("n_cols"),
+        F.array_distinct(F.flatten(F.collect_list(F.when(F.col("is_header"), F.sequence(F.col("row"), F.col("row") + F.col("row_span") - 1))))).alias("_heads"),
+    )
+    top = F.size("_heads")
+    n_header = F.aggregate(F.sequence(F.lit(0), top), F.lit(0), lambda n, i: F.when((n == i) & F.array_contains("_heads", i.cast("int")), n + 1).otherwise(n))
+    held = cells.join(shape.withColumn("n_header", n_header).drop("_heads"), "table_id")
+    title = (F.col("row") == 0) & (F.col("n_header") > 1) & (F.col("col_span") >= F.greatest(F.lit(2), F.col("n_cols") * TITLE_SPAN))
+    held = held.withColumn("is_title", title)
+    grid = expanded_cells(held, ["n_cols", "n_header", "is_title", F.col("row").alias("own_row"), F.col("col").alias("own_col")])
+    titles = grid.where("is_title and text <> ''").groupBy("table_id").agg(F.array_sort(F.collect_set(F.struct("own_row", "own_col", "text"))).alias("_t"))
+    titles = titles.select("table_id", F.array_distinct(F.transform("_t", lambda x: x["text"])).alias("titles"))
+    heads = grid.where("row < n_header and not is_title and text <> ''").groupBy("table_id", "col").agg(F.array_sort(F.collect_set(F.struct("row", "text"))).alias("_p"))
+    # Neighbouring rows that say the same are one step of the path.
+    step = lambda acc, x: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1) == x["text"]), acc).otherwise(F.concat(acc, F.array(x["text"])))
+    paths = heads.select("table_id", "col", F.array_join(F.aggregate("_p", F.array().cast("array<string>"), step), " · ").alias("path"))
+    body = grid.where("row >= n_header").join(paths, ["table_id", "col"], "left").withColumn("path", F.coalesce("path", F.concat(F.lit("Column "), F.col("col") + 1)))
     line = F.when(F.col("col") == 0, F.concat("path", F.lit(": "), "text")).when(F.col("text") != "", F.concat(F.lit("  "), "path", F.lit(": "), "text"))
-    lined = named.withColumn("line", line)
-    block = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "line"))), lambda x: x["line"]), "\n")
-    return lined.groupBy("table_id", "row").agg(block.alias("block"), F.max(F.length("text")).alias("_n")).where("_n > 0").drop("_n")
+    block = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", line.alias("line")))), lambda x: x["line"]), "\n")
+    rows = body.groupBy("table_id", "row").agg(block.alias("block"), F.max(F.length("text")).alias("_n")).where("_n > 0")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("row", "block"))), lambda x: x["block"])
+    tables = rows.groupBy("table_id").agg(listed.alias("blocks")).join(titles, "table_id", "left").withColumn("titles", F.coalesce("titles", F.array().cast("array<string>")))
+    # Titles are in every part, so rows share what they leave.
+    above = F.when(F.size("titles") > 0, approx_tokens(F.array_join("titles", " "))).otherwise(0)
+    tables = tables.withColumn("_room", F.greatest(most - above, F.lit(1)))
+    whole = (approx_tokens(F.array_join("blocks", " ")) <= F.col("_room")) | (F.size("blocks") < ROWS_TO_SPLIT)
+    parts = F.when(whole, F.array("blocks")).otherwise(packed(F.col("blocks"), F.col("_room")))
+    flat = tables.select("table_id", "titles", F.posexplode(parts).alias("part_no", "p"))
+    return flat.select("table_id", "part_no", F.array_join(F.concat("titles", "p"), "\n\n").alias("text"))
 
 
 def flow_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -345,11 +499,12 @@ def apply_corrections(texts: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 def leading_fragment(units: DataFrame) -> DataFrame:
-    """units (document, unit_no, kind, text) before a document's first heading that begin in mid-sentence."""
+    """The first unit (document, unit_no, kind, text) of a document if it is no heading and begins in mid-sentence; page headers
+    and footers don't count as units."""
     order = Window.partitionBy("document").orderBy("unit_no")
-    headed = F.max((F.col("kind") == "heading").cast("int")).over(order)
+    body = units.where("kind not in ('page_header', 'page_footer')")
     starts = F.col("text").rlike(r"^[a-z)\],;:.–-]")
-    return units.withColumn("_h", F.coalesce(headed, F.lit(0))).withColumn("_n", F.row_number().over(order)).where((F.col("_h") == 0) & (F.col("_n") == 1) & starts).drop("_h", "_n")
+    return body.withColumn("_n", F.row_number().over(order)).where((F.col("_n") == 1) & (F.col("kind") != "heading") & starts).drop("_n")
 
 
 def lineage(old: DataFrame, new: DataFrame, words: Column, limits: dict[str, float] = LINEAGE) -> DataFrame:

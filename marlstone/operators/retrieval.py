@@ -129,6 +129,22 @@ def cosine(queries: DataFrame, items: DataFrame, depth: int) -> DataFrame:
     return top(pairs.mapInPandas(_products, _PAIRS).where("query_id <> item_id"), depth).drop("rank")
 
 
+def pair_cosine(pairs: DataFrame, queries: DataFrame, items: DataFrame) -> DataFrame:
+    """pairs (query_id, item_id, ...) with score: the cosine of their vectors (id, vector), null where one has none.
+
+    Only the vectors of the pairs asked for are joined.
+    """
+    q = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("_q"))
+    x = items.select(F.col("id").alias("item_id"), F.col("vector").alias("_x"))
+    joined = pairs.join(q, "query_id", "left").join(x, "item_id", "left")
+    add = lambda acc, v: acc + v
+    dot = F.aggregate(F.zip_with("_q", "_x", lambda a, b: a * b), F.lit(0.0), add)
+    norm = lambda c: F.sqrt(F.aggregate(F.transform(c, lambda a: a * a), F.lit(0.0), add))
+    both = norm("_q") * norm("_x")
+    score = F.when(F.col("_q").isNull() | F.col("_x").isNull(), F.lit(None)).when(both > 0, F.round(dot / both, DIGITS)).otherwise(F.lit(0.0))
+    return joined.withColumn("score", score.cast("double")).drop("_q", "_x")
+
+
 def channels(lexical: DataFrame, dense: DataFrame) -> DataFrame:
     """query_id, item_id, lexical, dense: the union of both channels; a missing side is null."""
     a = lexical.select("query_id", "item_id", F.col("score").alias("lexical"))
@@ -137,7 +153,11 @@ def channels(lexical: DataFrame, dense: DataFrame) -> DataFrame:
 
 
 def min_max(scores: DataFrame, column: str, by: Sequence[str] = ("query_id",)) -> DataFrame:
-    """column scaled to 0..1 within each query's pool; a constant pool is 1 throughout."""
+    """column scaled to 0..1 within each query's pool; a constant pool is 1 throughout.
+
+    A pool is what top() left of each channel, some hundred rows a query: the windows here and in weighted_reciprocal()
+    are over such pools, not over scores of all items.
+    """
     pool = Window.partitionBy(*by)
     low, high = F.min(column).over(pool), F.max(column).over(pool)
     return scores.withColumn(column, F.when(high == low, 1.0).otherwise((F.col(column) - low) / (high - low)))
@@ -177,10 +197,19 @@ def hybrid(lexical: DataFrame, dense: DataFrame, candidates: int = CANDIDATES, f
     return top(reciprocal([top(lexical, candidates), top(dense, candidates)]), fused)
 
 
-def with_rest(scores: DataFrame, queries: DataFrame, items: DataFrame) -> DataFrame:
-    """query_id, item_id, rank over all items: scored ones by score, the others behind them by id."""
-    every = against_all(queries.select("query_id"), items.select("item_id"))
-    return ranked(every.join(scores, ["query_id", "item_id"], "left")).select("query_id", "item_id", "rank")
+def with_rest(scores: DataFrame, queries: DataFrame, items: DataFrame, depth: int) -> DataFrame:
+    """query_id, item_id, rank up to depth: scored items by score, the others behind them by id.
+
+    A query with fewer scored items than depth is filled from the first 2 * depth ids, which hold enough unscored ones;
+    so what is built per query is bounded by the depth, however many items there are.
+    """
+    first = top(scores, depth).select("query_id", "item_id", "score", "rank")
+    pool = items.select("item_id").distinct().orderBy("item_id").limit(2 * depth)
+    held = first.groupBy("query_id").agg(F.count("*").alias("n"))
+    short = queries.select("query_id").distinct().join(held, "query_id", "left").where(F.coalesce("n", F.lit(0)) < depth)
+    rest = against_all(short.select("query_id"), pool).join(first.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
+    both = first.select("query_id", "item_id", "score").unionByName(rest.withColumn("score", F.lit(None).cast("double")))
+    return top(both, depth).select("query_id", "item_id", "rank")
 
 
 def grouped(scores: DataFrame, titles: DataFrame, priorities: DataFrame) -> DataFrame:
@@ -193,15 +222,17 @@ def grouped(scores: DataFrame, titles: DataFrame, priorities: DataFrame) -> Data
 def capped(scores: DataFrame, cap: int, least: float, parts: int) -> DataFrame:
     """Within query and group by score: at least `least`, at most `parts` of a split table, at most `cap` of a document.
 
-    Parts over their limit don't use up the cap. Exact as long as a split table lies within one document.
+    Parts over their limit don't use up the cap. Exact as long as a split table lies within one document. Only parts of
+    split tables are ranked among their table; both ranks keep the first rows of each partition before rows move.
     scores: query_id, group, document, split_id (null for whole items), item_id, score.
     """
     order = [F.col("score").desc(), F.col("item_id")]
     good = scores.where(F.col("score") >= least)
     within = Window.partitionBy("query_id", "group", "split_id").orderBy(*order)
-    good = good.withColumn("part", F.when(F.col("split_id").isNull(), 0).otherwise(F.row_number().over(within))).where(F.col("part") <= parts)
+    split = good.where("split_id is not null").withColumn("part", F.row_number().over(within)).where(F.col("part") <= parts).drop("part")
+    kept = split.unionByName(good.where("split_id is null"))
     per = Window.partitionBy("query_id", "group", "document").orderBy(*order)
-    return good.withColumn("nth", F.row_number().over(per)).where(F.col("nth") <= cap).drop("part", "nth")
+    return kept.withColumn("nth", F.row_number().over(per)).where(F.col("nth") <= cap).drop("nth")
 
 
 def confidence(scores: DataFrame, floor: float = 0.20, least: float = 0.30, supporters: int = 2) -> DataFrame:
@@ -214,13 +245,12 @@ def confidence(scores: DataFrame, floor: float = 0.20, least: float = 0.30, supp
 
 def budgeted(items: DataFrame, budget: int) -> DataFrame:
     """Items (query_id, document, item_id, score, tokens) that fit the budget: the lowest scores go first, the best item of
-    each document last."""
+    each document last. Once an item goes, all that would go before it are gone; an item larger than the budget goes too."""
     best = Window.partitionBy("query_id", "document").orderBy(F.col("score").desc(), F.col("item_id").desc())
     flagged = items.withColumn("keeps", (F.row_number().over(best) == 1).cast("int"))
     keep_first = Window.partitionBy("query_id").orderBy(F.col("keeps").desc(), F.col("score").desc(), F.col("item_id").desc())
     upto = F.sum("tokens").over(keep_first.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.row_number().over(keep_first) == 1
-    return flagged.withColumn("upto", upto).withColumn("_first", first).where((F.col("upto") <= budget) | F.col("_first")).drop("keeps", "upto", "_first")
+    return flagged.withColumn("upto", upto).where(F.col("upto") <= budget).drop("keeps", "upto")
 
 
 def token_jaccard(a: Column, b: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators.joins import against_all
+from marlstone.session import cut
 
 
 def superseded(versions: DataFrame) -> DataFrame:
@@ -34,13 +35,19 @@ def queue(results: DataFrame, rounds: DataFrame, raters: DataFrame, started: tup
 
     results: result_id, created_at; raters are a fixed list of people.
     """
-    counts = rounds.groupBy("result_id").agg(F.count_distinct("rater_id").alias("n_raters"))
-    open_results = results.join(counts, "result_id", "left").fillna(0, ["n_raters"]).where(F.col("n_raters") <= started[1])
-    every = against_all(raters.select("rater_id"), open_results)
-    left = every.join(rounds.select("rater_id", "result_id").distinct(), ["rater_id", "result_id"], "left_anti")
+    rated = rounds.select("rater_id", "result_id").distinct()
+    counts = rated.groupBy("result_id").agg(F.count("*").alias("n_raters"))
+    open_results = cut(results.join(counts, "result_id", "left").fillna(0, ["n_raters"]).where(F.col("n_raters") <= started[1]))
     begun = F.col("n_raters").between(*started)
-    any_begun = F.max(begun.cast("int")).over(Window.partitionBy("rater_id"))
-    return left.withColumn("_any", any_begun).where((F.col("_any") == 0) | begun).select("rater_id", "result_id", "n_raters", "created_at")
+    # A rater who has rated every begun result sees the fresh ones: that is told by counts, before anything is paired.
+    n_begun = open_results.where(begun).count()
+    own = rated.join(open_results.where(begun).select("result_id"), "result_id").groupBy("rater_id").agg(F.count("*").alias("n_own"))
+    people = raters.select("rater_id").distinct().join(own, "rater_id", "left")
+    people = people.select("rater_id", (F.coalesce("n_own", F.lit(0)) < n_begun).alias("_begun"))
+    waiting = against_all(people.where("_begun").select("rater_id"), open_results.where(begun))
+    fresh = against_all(people.where("not _begun").select("rater_id"), open_results.where(~begun))
+    left = waiting.unionByName(fresh).join(rated, ["rater_id", "result_id"], "left_anti")
+    return left.select("rater_id", "result_id", "n_raters", "created_at")
 
 
 def anchored_windows(events: DataFrame, key: str, at: str, failed: str, limit: int, seconds: float) -> DataFrame:
@@ -95,17 +102,28 @@ def chained(rows: DataFrame, order: str, payload: Column) -> DataFrame:
 
 
 def broken(chain: DataFrame, block: int = 100_000) -> DataFrame:
-    """seq of rows whose hash or link is wrong. Each row needs only the row before: the window runs over blocks of seq, and the
-    first row of a block finds its predecessor by a join on the last row of each block."""
-    blocked = chain.withColumn("_b", F.floor(F.col("seq") / block))
-    order = Window.partitionBy("_b").orderBy("seq")
-    lasts = blocked.groupBy("_b").agg(F.max_by("row_hash", "seq").alias("last_hash"), F.min("seq").alias("first_seq"))
-    before = lasts.withColumn("carried", F.lag("last_hash", 1, GENESIS).over(Window.orderBy("_b"))).select("_b", "carried")
-    placed = blocked.withColumn("_prev", F.lag("row_hash").over(order)).join(before, "_b")
-    right = F.coalesce("_prev", "carried")
+    """seq of rows whose hash or link is wrong. Each row needs only the row before, see preceded()."""
+    placed = preceded(chain, "seq", "row_hash", "_prev", block)
+    right = F.coalesce("_prev", F.lit(GENESIS))
     return placed.where((F.col("prev_hash") != right) | (F.col("row_hash") != link_hash(F.col("prev_hash"), F.col("payload")))).select("seq")
 
 
+def preceded(rows: DataFrame, order: str, value: str, name: str, block: int = 100_000) -> DataFrame:
+    """rows with the value of the row before in one order over all rows (whole numbers, no two alike); null for the first.
+
+    The window runs over blocks of the order; a block's first row takes the last row of the block before, looked up the
+    same way among the blocks, so no window ever spans more than a block.
+    """
+    blocked = rows.withColumn("_b", F.floor(F.col(order) / block))
+    lasts = cut(blocked.groupBy("_b").agg(F.max_by(value, order).alias("_last")))
+    if lasts.count() <= block:
+        before = lasts.select("_b", F.lag("_last").over(Window.orderBy("_b")).alias("_carried"))
+    else:
+        before = preceded(lasts, "_b", "_last", "_carried", block).select("_b", "_carried")
+    within = F.lag(value).over(Window.partitionBy("_b").orderBy(order))
+    return blocked.withColumn("_within", within).join(before, "_b").withColumn(name, F.coalesce("_within", "_carried")).drop("_b", "_within", "_carried")
+
+
 def table_digest(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """n, digest: order-free digest of a table of any size, the sum of 60-bit row hashes."""
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])

@@ -133,11 +133,13 @@ _COUNT = "greatest(1, len(list_filter(regexp_split_to_array({0}, '\\s+'), lambda
 s as (select chunk_id as id, unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) as t,
   generate_subscripts(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), 1) as i from c where {_COUNT.format('text')} > 120),
 sn as (select id, i, {_COUNT.format('t')} as n from s), {_greedy('sn', 120)}
-select id as chunk_id, g::int as piece_no, sum(n)::bigint as n_words from recursive_pack group by all
-union all select chunk_id, 0, {_COUNT.format('text')} from c where {_COUNT.format('text')} <= 120""")
+select id as chunk_id, g::int as piece_no, sum(n)::bigint as n_words, case when max(g) over (partition by id) > 0 then left(sha256(text), 16) end as split_group_id from recursive_pack join c on c.chunk_id = id group by id, g, text
+union all select chunk_id, 0, {_COUNT.format('text')}, null from c where {_COUNT.format('text')} <= 120""")
 def chk8_split_at_sentences(spark: SparkSession, d: str) -> DataFrame:
-    pieces = chunks(spark, d).select("chunk_id", F.posexplode(C.split_at_sentences(F.col("text"), 120)).alias("piece_no", "piece"))
-    return pieces.select("chunk_id", "piece_no", C.approx_tokens(F.col("piece")).cast("bigint").alias("n_words"))
+    cut = chunks(spark, d).withColumn("pieces", C.split_at_sentences(F.col("text"), 120))
+    group = F.when(F.size("pieces") > 1, F.substring(F.sha2("text", 256), 1, 16)).alias("split_group_id")
+    pieces = cut.select("chunk_id", group, F.posexplode("pieces").alias("piece_no", "piece"))
+    return pieces.select("chunk_id", "piece_no", C.approx_tokens(F.col("piece")).cast("bigint").alias("n_words"), "split_group_id")
 
 
 @query(f"""with recursive l as (select doc_id as id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(replace(x, chr(13), ''))), lambda x: x <> '') as ps from documents where text is not null),
@@ -160,22 +162,6 @@ def chk10_parents(spark: SparkSession, d: str) -> DataFrame:
     return C.with_parents(at).select("chunk_id", "parent_ordinal")
 
 
-@query(f"""with {_CHUNKS}, b as (select document_version_id, 500 * k as b_start, 500 * k + 500 as b_end from (select document_version_id, unnest(range(0, (max(char_end) // 500 + 1)::bigint)) as k from c group by 1))
-select chunk_id, count(*) as n_blocks, min(b_start)::bigint as first_block from c join b using (document_version_id) where b_start < char_end and char_start < b_end group by 1""")
-def chk11_covered_blocks(spark: SparkSession, d: str) -> DataFrame:
-    at = chunks(spark, d).select("chunk_id", F.col("document_version_id").alias("document"), F.col("char_start").alias("w_start"), F.col("char_end").alias("w_end"))
-    ends = at.groupBy("document").agg(F.floor(F.max("w_end") / 500).cast("int").alias("last"))
-    grid = ends.select("document", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("k"))
-    blocks_at = grid.select("document", (F.col("k") * 500).alias("b_start"), (F.col("k") * 500 + 500).alias("b_end"))
-    return C.covered(at, blocks_at).groupBy("chunk_id").agg(F.count("*").alias("n_blocks"), F.min("b_start").cast("bigint").alias("first_block"))
-
-
-@query(f"with {_CHUNKS} select chunk_id, sha256(coalesce(section_path || chr(10) || chr(10), '') || text) as digest, ordinal from c")
-def chk12_embedding_text(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.coalesce(F.concat("section_path", F.lit("\n\n")), F.lit("")), "text")
-    return chunks(spark, d).select("chunk_id", F.sha2(text, 256).alias("digest"), "ordinal")
-
-
 # Rules tried on the chunks: number and path prefix.
 GATES = [(1, "Training for anaemia of prematurity in the district hospital"), (2, ""), (3, "Management of family counselling")]
 _GATES = ", ".join(f"({n}, '{p}')" for n, p in GATES)
@@ -193,17 +179,10 @@ def chk13_gates(spark: SparkSession, d: str) -> DataFrame:
 _BLOCKS = "list_filter(list_transform(regexp_split_to_array({0}, '\\n\\s*\\n'), lambda b: trim(regexp_replace(b, '^\\s+|\\s+$', '', 'g'))), lambda b: b <> '')"
 
 
-@query(f"""with {_CHUNKS}, n as (select document_version_id, chunk_id, {_BLOCKS.format('text')}[1:1] as b from c), k as (select document_version_id, chunk_id as confirmed_id, {_BLOCKS.format('text')} as cb from c)
-select n.chunk_id, min(confirmed_id) as confirmed_id from n left join k on n.document_version_id = k.document_version_id and len(n.b) > 0 and len(list_filter(n.b, lambda x: not list_contains(k.cb, x))) = 0 group by 1""")
+@query(f"""with {_CHUNKS}, link as (select distinct document_version_id, supersedes_id from document_version where supersedes_id is not null and supersedes_id <> document_version_id),
+n as (select supersedes_id, chunk_id, {_BLOCKS.format('text')} as b from c join link using (document_version_id)), k as (select document_version_id, chunk_id as confirmed_id, {_BLOCKS.format('text')} as cb from c)
+select n.chunk_id, supersedes_id as superseded_id, min(confirmed_id) as confirmed_id from n left join k on n.supersedes_id = k.document_version_id and len(n.b) > 0 and len(list_filter(n.b, lambda x: not list_contains(k.cb, x))) = 0 group by all""")
 def chk14_carried_over(spark: SparkSession, d: str) -> DataFrame:
-    """First blocks of chunks against the whole chunks of their version, as in the SQL; chk14_whole_texts takes all blocks."""
-    at = chunks(spark, d).select(F.col("document_version_id").alias("document"), "chunk_id", "text", F.lit(None).cast("string").alias("source"))
-    new = at.withColumn("text", F.coalesce(F.get(C.blocks(F.col("text")), F.lit(0)), F.lit("")))
-    return C.carried_over(new, at).select("chunk_id", "confirmed_id")
-
-
-@query()
-def chk14_whole_texts(spark: SparkSession, d: str) -> DataFrame:
     """All blocks of chunks against the whole chunks of the version that theirs supersedes."""
     at = chunks(spark, d).select(F.col("document_version_id").alias("document"), "chunk_id", "text", F.lit(None).cast("string").alias("source"))
     versions = table(spark, d, "document_version").where("supersedes_id is not null and supersedes_id <> document_version_id")
@@ -212,61 +191,24 @@ def chk14_whole_texts(spark: SparkSession, d: str) -> DataFrame:
     return C.carried_over(new, at).select("chunk_id", F.col("document").alias("superseded_id"), "confirmed_id")
 
 
-def _cells(spark: SparkSession, d: str) -> DataFrame:
-    """A table per region: two header rows, the second column spanned, a row per nation."""
-    n = table(spark, d, "nation")
-    heads = n.select(F.col("n_regionkey").alias("table_id")).distinct()
-    spec = [(0, 0, 2, 1, "Nation"), (0, 1, 1, 2, "Numbers"), (1, 1, 1, 1, "key"), (1, 2, 1, 1, "next  key")]
-    head = None
-    for row, col, rs, cs, text in spec:
-        part = heads.select("table_id", F.lit(row).alias("row"), F.lit(col).alias("col"), F.lit(rs).alias("row_span"), F.lit(cs).alias("col_span"), F.lit(text).alias("text"), F.lit(True).alias("is_header"))
-        head = part if head is None else head.unionByName(part)
-    k = F.col("n_nationkey")
-    one = [(0, F.col("n_name")), (1, k.cast("string")), (2, (k + 1).cast("string"))]
-    for col, text in one:
-        head = head.unionByName(n.select(F.col("n_regionkey").alias("table_id"), (k + 2).cast("int").alias("row"), F.lit(col).alias("col"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), text.alias("text"), F.lit(False).alias("is_header")))
-    return head
-
-
-@query("""select n_regionkey as table_id, (n_nationkey + 2)::int as row, 'Nation: ' || n_name || chr(10) || '  Numbers · key: ' || n_nationkey || chr(10) || '  Numbers · next key: ' || (n_nationkey + 1) as block from nation""")
-def chk15_render_tables(spark: SparkSession, d: str) -> DataFrame:
-    return C.rendered_tables(_cells(spark, d))
-
-
-_MASK = "trim(regexp_replace(regexp_replace(lower(text), '\\d', '#', 'g'), '\\s+', ' ', 'g'))"
-
-
-@query(f"""with t as (select distinct * from text_line), m as (select *, {_MASK} as masked from t where bbox_bottom <= 842 * 0.08 or bbox_top >= 842 * (1 - 0.08)),
-p as (select document_version_id, count(distinct page_no) as n_pages from t group by 1), s as (select document_version_id, masked, count(distinct page_no) as on_pages from m group by all)
-select document_version_id as document, page_no, line_id, masked, on_pages, n_pages from m join s using (document_version_id, masked) join p using (document_version_id)
-where ((n_pages >= 3 and on_pages / n_pages >= 0.5) or regexp_matches(masked, '^(page\\s+)?#+(\\s+of\\s+#+)?$')) and not regexp_matches(text, '{C.DOSE}')""")
-def chk16_margin_boilerplate(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "text_line").distinct().select(F.col("document_version_id").alias("document"), "page_no", "line_id", "text", F.col("bbox_top").alias("top"), F.col("bbox_bottom").alias("bottom"))
-    return C.margin_boilerplate(lines)
-
+_UNITS = "select distinct document_version_id as document, page_no * 1000 + line_no as unit_no, text, page_no, case when bbox_bottom - bbox_top > 11 then 'heading' when bbox_bottom - bbox_top <= 8.5 then 'page_header' else 'text' end as kind from text_line"
 
-_UNITS = "select distinct document_version_id as document, page_no * 1000 + line_no as unit_no, text, page_no, case when bbox_bottom - bbox_top > 11 then 'heading' else 'text' end as kind from text_line where bbox_bottom - bbox_top > 8.5"
 
-
-@query(f"""with u as ({_UNITS}), w as (select *, max((kind = 'heading')::int) over (partition by document order by unit_no) as h, row_number() over (partition by document order by unit_no) as n from u)
-select document, unit_no, kind, text from w where h = 0 and n = 1 and regexp_matches(text, '^[a-z)\\],;:.–-]')""")
+@query(f"""with u as (select document || '#' || page_no as document, unit_no, text, kind from ({_UNITS})), w as (select *, row_number() over (partition by document order by unit_no) as n from u where kind <> 'page_header')
+select document, unit_no, kind, text from w where n = 1 and kind <> 'heading' and regexp_matches(text, '^[a-z)\\],;:.–-]')""")
 def chk17_leading_fragment(spark: SparkSession, d: str) -> DataFrame:
-    return C.leading_fragment(_units(spark, d).drop("page_no")).select("document", "unit_no", "kind", "text")
+    """Every page taken as an excerpt of its version."""
+    excerpts = _units(spark, d).withColumn("document", F.concat_ws("#", "document", "page_no")).drop("page_no")
+    return C.leading_fragment(excerpts).select("document", "unit_no", "kind", "text")
 
 
 def _units(spark: SparkSession, d: str) -> DataFrame:
     height = F.col("bbox_bottom") - F.col("bbox_top")
-    lines = table(spark, d, "text_line").where(height > 8.5)
-    kind = F.when(height > 11, "heading").otherwise("text")
+    lines = table(spark, d, "text_line")
+    kind = F.when(height > 11, "heading").when(height <= 8.5, "page_header").otherwise("text")
     return lines.select(F.col("document_version_id").alias("document"), (F.col("page_no") * 1000 + F.col("line_no")).alias("unit_no"), "text", "page_no", kind.alias("kind")).distinct()
 
 
-@query("""with u as (select document_version_id as document, font_size, count(*) as n from (select distinct * from text_line) where font_size is not null group by all having count(*) >= 2)
-select document, font_size, n, dense_rank() over (partition by document order by font_size desc) as tier from u qualify count(*) over (partition by document) >= 2""")
-def chk18_size_tiers(spark: SparkSession, d: str) -> DataFrame:
-    return C.size_tiers(table(spark, d, "text_line").distinct().withColumnRenamed("document_version_id", "document"))
-
-
 @query("""with e as (select n_regionkey as g, n_nationkey as s, lead(n_nationkey) over (partition by n_regionkey order by n_nationkey) as t from nation),
 a as (select e.g, e.s, '-> ' || n.n_name || case when e.s % 2 = 0 then ' [Yes]' else '' end as arrow from e join nation n on n.n_nationkey = e.t)
 select n_regionkey as graph_id, string_agg(n_name || coalesce(' ' || arrow, ''), chr(10) order by n_nationkey) as text from nation left join a on s = n_nationkey group by 1""")
@@ -286,6 +228,12 @@ def chk22_assembled(spark: SparkSession, d: str) -> DataFrame:
     return C.assembled(_units(spark, d)).select("document", "unit_no", F.col("char_start").cast("bigint").alias("char_start"))
 
 
+@query(f"""with u as ({_UNITS}), p as (select *, coalesce(sum(len(text) + 2) over (partition by document order by unit_no rows between unbounded preceding and 1 preceding), 0)::bigint as s from u)
+select document, page_no, min(s) as char_start, max(s + len(text)) as char_end, count(*) as n_units from p group by all""")
+def chk22_page_runs(spark: SparkSession, d: str) -> DataFrame:
+    return C.page_runs(C.assembled(_units(spark, d))).withColumns({c: F.col(c).cast("bigint") for c in ("char_start", "char_end")})
+
+
 @query("""with a as (select o_custkey as table_id, o_orderkey as row, 0 as col, case when o_orderkey % 5 = 0 then '' else o_orderstatus || o_orderkey end as text from orders where o_orderkey % 7 <> 0),
 b as (select o_custkey as table_id, o_orderkey as row, 0 as col, case when o_orderkey % 4 = 0 then 'X' || o_orderkey else o_orderstatus || (o_orderkey + (o_orderkey % 3 = 0)::int) end as text from orders where o_orderkey % 11 <> 0)
 select coalesce(a.table_id, b.table_id) as table_id, coalesce(a.row, b.row) as row, 0 as col, case when coalesce(a.text, '') = '' then b.text else a.text end as text,

@@ -133,7 +133,7 @@ def snk2_payload_patch(spark: SparkSession, d: str) -> DataFrame:
 def snk3_csv_report(spark: SparkSession, d: str) -> DataFrame:
     path = _scratch(spark)
     report = table(spark, d, "documents").where("source is not null").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("doc_type").alias("n_types"))
-    report.coalesce(1).write.option("header", True).csv(path)
+    report.repartition(1).write.option("header", True).csv(path)
     return spark.read.schema("source string, n bigint, n_types bigint").option("header", True).csv(path)
 
 

@@ -120,7 +120,8 @@ def agg1_corpus_statistics(spark: SparkSession, d: str) -> DataFrame:
     held = postings(spark, d)
     size = R.lengths(held).agg(F.count("*").alias("n_items"), F.round(F.avg("n_terms"), 6).alias("mean_length"))
     freq = R.document_frequency(held).agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"))
-    return size.withColumn("_one", F.lit(1)).join(freq.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    n = freq.first()  # two numbers
+    return size.select("*", F.lit(n.n_terms).alias("n_terms"), F.lit(n.n_postings).cast("bigint").alias("n_postings"))
 
 
 @query(f"with {_BASE} select query_id, doc_id as item_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf), 6) as score from q join freq using (term) join post using (term), size where query_id <> doc_id group by all")
@@ -209,11 +210,11 @@ def win5_top_n(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {_BASE} select q.query_id, docs.doc_id as item_id, row_number() over (partition by q.query_id order by score desc nulls last, docs.doc_id) as rank
-from (select distinct query_id from q) q, docs left join okapi o on o.query_id = q.query_id and o.item_id = docs.doc_id""")
+from (select distinct query_id from q) q, docs left join okapi o on o.query_id = q.query_id and o.item_id = docs.doc_id qualify rank <= {DEPTH}""")
 def win6_unscored_behind(spark: SparkSession, d: str) -> DataFrame:
     held = postings(spark, d)
     scores = R.okapi(asked(held), held).where("query_id <> item_id")
-    return R.with_rest(scores, asked(held).select("query_id").distinct(), documents(spark, d).select(F.col("doc_id").alias("item_id")))
+    return R.with_rest(scores, asked(held).select("query_id"), documents(spark, d).select(F.col("doc_id").alias("item_id")), DEPTH)
 
 
 # Sources that come first, in this order; the others follow together.
@@ -256,8 +257,8 @@ select query_id, item_id, fused, rerank, row_number() over (partition by query_i
 def win9_rerank_top(spark: SparkSession, d: str) -> DataFrame:
     """The fused list ordered again by the vectors' similarity; equal scores keep the fused order."""
     fused = R.hybrid(lexical(spark, d), dense(spark, d)).select("query_id", "item_id", F.col("rank").alias("fused"))
-    every = dense(spark, d, depth=table(spark, d, "embeddings").count())
-    scored = fused.join(every, ["query_id", "item_id"], "left").withColumn("rerank", F.coalesce("score", F.lit(0.0)))
+    held = vectors(spark, d)
+    scored = R.pair_cosine(fused, held, held).withColumn("rerank", F.coalesce("score", F.lit(0.0)))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rerank").desc(), "fused"))
     return scored.select("query_id", "item_id", "fused", "rerank", rank.alias("rank")).where("rank <= 8")
 
@@ -271,9 +272,8 @@ def agg19_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with {_BASE}, t as (select query_id, item_id, score, coalesce(source, '') as document, greatest(1, cast(ceil(len(text) / 3.2) as int)) as tokens from lex join docs on doc_id = item_id where rank <= 24),
 k as (select *, row_number() over (partition by query_id, document order by score desc, item_id desc) = 1 as keeps from t),
-s as (select *, sum(tokens) over (partition by query_id order by keeps desc, score desc, item_id desc rows unbounded preceding) as upto,
-  row_number() over (partition by query_id order by keeps desc, score desc, item_id desc) as nth from k)
-select query_id, document, item_id, score, tokens from s where upto <= 4000 or nth = 1""")
+s as (select *, sum(tokens) over (partition by query_id order by keeps desc, score desc, item_id desc rows unbounded preceding) as upto from k)
+select query_id, document, item_id, score, tokens from s where upto <= 4000""")
 def win17_budget(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d).select(F.col("doc_id").alias("item_id"), F.coalesce("source", F.lit("")).alias("document"), F.greatest(F.lit(1), F.ceil(F.length("text") / 3.2).cast("int")).alias("tokens"))
     return R.budgeted(R.top(lexical(spark, d), 24).join(docs, "item_id").select("query_id", "document", "item_id", "score", "tokens"), 4000)

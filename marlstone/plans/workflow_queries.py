@@ -30,9 +30,13 @@ def query(sql: str | None = None):  # noqa: ANN201
     return register
 
 
-_DRAWN = f"""s as (select *, row_number() over (partition by arm order by key) - 1 as place, count(*) over (partition by arm) as n from base),
-g as (select arm, n, draw, i, cast('0x' || substr(md5('1234|' || draw || '|' || i), 1, 8) as bigint) % n as place from (select arm, n, unnest(range(0, {DRAWS})) as draw from (select distinct arm, n from s)), lateral (select unnest(range(0, n)) as i)),
-m as (select g.arm, draw, avg(value) as m from g join s on s.arm = g.arm and s.place = g.place group by all)"""
+_WEIGHT = " + ".join(f"(y >= {t})::int" for t in S.STEPS)
+_DRAWN = f"""s as (select * from base),
+k as (select arm, value, cast('0x' || substr(md5('1234|key|' || key), 1, 8) as bigint) % {S.PRIME} as a from base where value is not null),
+b as (select draw, cast('0x' || substr(md5('1234|draw|' || draw), 1, 8) as bigint) % {S.PRIME} as b from (select unnest(range(0, {DRAWS})) as draw)),
+x as (select arm, draw, value, a, (a * b) % {S.PRIME} as x from k, b),
+y as (select arm, draw, value, (((x * x) % {S.PRIME}) * xor(x, 1) + a) % {S.PRIME} as y from x),
+m as (select arm, draw, round(sum(w * value) / sum(w), 12) as m from (select arm, draw, value, {_WEIGHT} as w from y) group by all having sum(w) > 0)"""
 
 
 def _arms(spark: SparkSession, d: str) -> DataFrame:

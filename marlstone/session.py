@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,11 +35,14 @@ def open_session(cores: int | str = "*", **conf: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir where the cluster names one.
 
-    Where it is unset (a local test), a temporary folder of this process serves and is removed at exit.
+    Where it is unset (a local test), a temporary folder of this process serves and is removed at exit; a session with
+    executors on other machines must name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(shared_folder, "own", None)
     if own is None:
         own = shared_folder.own = tempfile.mkdtemp(prefix="marlstone-")
@@ -55,10 +60,29 @@ def cut(df: DataFrame, partitions: int | None = None) -> DataFrame:
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    for held in _open:
+        held.append(jvm_path)
     (df if partitions is None else df.repartition(partitions)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_open: list[list] = []
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Drops what cut() writes inside the block when it ends. For long sessions: run a query, write or collect its result
+    within the block, and its intermediate tables are gone, instead of at the session's end."""
+    held: list = []
+    _open.append(held)
+    try:
+        yield
+    finally:
+        _open[:] = [h for h in _open if h is not held]
+        for path in held:
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_rows(df: DataFrame, most: int) -> list:
     """Rows of a table whose size is fixed by its meaning (a field list, a limit table); more than `most` is an error."""
     rows = df.limit(most + 1).collect()

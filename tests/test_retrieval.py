@@ -100,43 +100,43 @@ def test_registered_bootstraps_take_all_draws(spark, tmp_path, monkeypatch):
 def test_draws_equal_those_of_the_stated_hash(spark):
     import hashlib
 
-    rows = [("x", i, float(i * i % 11)) for i in range(9)] + [("y", i, None if i == 2 else float(i)) for i in range(5)]
-    got = {(r.arm, r.draw): r.m for r in S._means(spark.createDataFrame(rows, "arm string, key bigint, value double"), ["arm"], 200, 1234).collect()}
-    assert len(got) == 400
-    for (arm, draw), m in got.items():
-        values = [v for a, _, v in rows if a == arm]
-        drawn = [values[int(hashlib.md5(f"1234|{draw}|{i}".encode()).hexdigest()[:8], 16) % len(values)] for i in range(len(values))]
-        known = [v for v in drawn if v is not None]
-        assert m is None and not known or abs(m - sum(known) / len(known)) < 1e-9
-
-
-def ratings(spark, items):
-    rows = [("r", f"i{i}", f"u{u}", s) for i, item in enumerate(items) for u, s in enumerate(item) if s is not None]
-    return spark.createDataFrame(rows, "domain_code string, result_id string, rater_id string, score int")
-
-
-def test_alpha_fixtures(spark):
-    def value(items):
-        return alpha(ratings(spark, items), ["domain_code"]).first().alpha
-
-    assert value([[5, 5, 5], [4, 4, 4], [3, 3, 3]]) == 1.0
-    assert abs(value([[5, 4, 5], [1, 5, 1], [3, 3, 2]]) - 0.243665) < 1e-6
-    assert value([[5, None, 5], [4, 4, None], [3, 3, 3]]) == 1.0
-    assert value([[4, 4, 4]]) == 1.0
-    assert value([[4, None, None]]) == 0.0
+    residue = lambda kind, v: int(hashlib.md5(f"1234|{kind}|{v}".encode()).hexdigest()[:8], 16) % S.PRIME
 
+    def weight(key, draw):
+        a = residue("key", key)
+        x = a * residue("draw", draw) % S.PRIME
+        y = ((x * x % S.PRIME) * (x ^ 1) + a) % S.PRIME
+        return sum(y >= t for t in S.STEPS)
 
-def test_confidence_thresholds(spark):
-    got = {r.query_id: (r.essentially_empty, r.low_confidence) for r in R.confidence(scores(spark, [(1, 1, 0.5), (1, 2, 0.25), (2, 1, 0.5), (3, 1, 0.1)])).collect()}
-    assert got == {1: (False, False), 2: (False, True), 3: (True, True)}
-
-
-def test_budget_keeps_best_of_each_document_longest(spark):
-    rows = [(1, "a", 1, 9.0, 50), (1, "a", 2, 8.0, 50), (1, "b", 3, 1.0, 50)]
-    frame = spark.createDataFrame(rows, "query_id bigint, document string, item_id bigint, score double, tokens int")
-    assert sorted(r.item_id for r in R.budgeted(frame, 100).collect()) == [1, 3]
-
-
-def test_stub_vectors_are_unit_and_stable(spark):
-    v = spark.range(1).select(R.stub_vector(F.lit("x"), 32).alias("v")).first().v
-    assert len(v) == 32 and abs(sum(a * a for a in v) - 1) < 1e-9
+    rows = [("x", i, float(i * i % 11)) for i in range(9)] + [("y", i, None if i == 2 else float(i)) for i in range(5)] + [(None, 7, 2.5), ("z", 1, None)]
+    got = {(r.arm, r.draw): r.m for r in S._means(spark.createDataFrame(rows, "arm string, key bigint, value double"), ["arm"], 200, 1234).collect()}
+    for arm in ("x", "y", None):
+        for draw in range(200):
+            drawn = [(weight(k, draw), v) for a, k, v in rows if a == arm and v is not None]
+            n = sum(w for w, _ in drawn)
+            assert (arm, draw) not in got if n == 0 else abs(got[arm, draw] - sum(w * v for w, v in drawn) / n) < 1e-9
+    assert not any(arm == "z" for arm, _ in got)
+
+
+def test_weights_are_poisson_and_independent():
+    keys = np.random.default_rng(1).integers(0, S.PRIME, 400)
+    w = S.weights(keys, S.draw_residues(2000))
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+    assert np.abs(np.corrcoef(w)[np.triu_indices(400, 1)]).mean() < 0.025 and np.abs(np.corrcoef(w.T[:300])[np.triu_indices(300, 1)]).mean() < 0.06
+
+
+def test_interval_is_near_the_one_with_replacement(spark):
+    rng = np.random.default_rng(2)
+    scores = spark.createDataFrame([("x", i, float(v)) for i, v in enumerate(rng.exponential(1.0, 600))], "arm string, key bigint, value double")
+    one, two = S.interval(scores, ["arm"], draws=4000).first(), S.interval_numpy(scores, "arm", draws=4000).first()
+    assert one.n == two.n == 600 and abs(one.mean - two.mean) < 1e-9
+    assert abs(one.low - two.low) < 0.01 and abs(one.high - two.high) < 0.01
+
+
+def test_arms_of_one_key_of_no_value_and_empty_tables(spark):
+    kind = "arm string, key bigint, value double, a double, b double, draw int"
+    scores = spark.createDataFrame([("one", 1, 2.0, 1.0, 2.0, 1), ("none", 1, None, None, 1.0, 1)], kind)
+    got = {r.arm: r for r in S.interval(scores, ["arm"], draws=50).collect()}
+    assert got["one"].low == got["one"].high == 2.0 and got["none"].low is None and got["none"].n == 1
+    assert {r.arm: r.p for r in S.paired_test(scores, ["arm"], draws=50).collect()} == {"one": 0.0, "none": None}
+    assert S.interval(scores.where("false"), ["arm"], draws=5).count() == S.paired_test(scores.where("false"), ["arm"], draws=5).count() == 0
