@@ -1,11 +1,12 @@
 """Similarity join of token sets by the chosen-path method, and groups of similar records.
 
 Every run splits the sets recursively: at each step a set moves on to a bucket for each of its tokens that a hash of the
-bucket and the token selects, with a chance of 1 / (threshold * size), so similar sets share a selected token at every
-step with an expectation of at least one while unlike sets part ways. Buckets of at most `bucket` sets are compared
-by brute force on one-bit sketches, survivors are verified exactly on their tokens; larger buckets split further. Runs
-repeat until the expected recall of any pair at the threshold, one set within the other and split as far as buckets are
-ever split, reaches the target. Equal sets are one set throughout.
+bucket and the token selects, with a chance of CHILDREN / (threshold * size), so similar sets share a selected token at
+every step with an expectation of at least CHILDREN while unlike sets part ways. Buckets of at most `bucket` sets are
+compared by brute force on one-bit sketches, survivors are verified exactly on their tokens; larger buckets split further
+as long as splitting saves comparisons, then they are compared in blocks. Runs repeat until the expected recall of any
+pair at the threshold, one set within the other and split as far as buckets are ever split, reaches the target. Equal
+sets are one set throughout.
 
 Defined cases: null or wordless texts are similar to nothing; repeated rows of one id count once; an id with several
 texts is a member of several sets and keeps the links of each; extra columns are ignored.
@@ -26,7 +27,10 @@ from marlstone.session import cut
 THRESHOLD = 0.75
 RECALL = 0.999
 #: Buckets up to this size are compared by brute force.
-BUCKET = 48
+BUCKET = 128
+#: Shared selected tokens a step that a pair at the threshold can expect. Above one a run keeps most pairs however deep it
+#: goes, so few runs do; the number of buckets a set is in grows by CHILDREN / threshold a step.
+CHILDREN = 1.25
 #: Steps taken before sizes are counted first, and in each later round.
 FIRST_STEPS, NEXT_STEPS = 3, 2
 MOST_ROUNDS = 8
@@ -72,10 +76,10 @@ def survival(mean: float, steps: int) -> float:
 def runs_for(threshold: float, recall: float, steps: int) -> int:  # noqa: ARG001
     """Runs after which any pair at the threshold that goes down so many steps is found with the chance `recall`.
 
-    Sets of a and b >= a tokens share a mean of (1 + a / b) / (1 + threshold) chosen tokens a step. That is least where
-    the smaller set lies within the larger, a / b = threshold, and 1 there whatever the threshold.
+    Sets of a and b >= a tokens share a mean of CHILDREN * (1 + a / b) / (1 + threshold) chosen tokens a step. That is
+    least where the smaller set lies within the larger, a / b = threshold, and CHILDREN there whatever the threshold.
     """
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival(1.0, steps)))
+    return math.ceil(math.log(1 - recall) / math.log(1 - survival(CHILDREN, steps)))
 
 
 def _flat(tokens: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,7 +95,7 @@ def _descend(paths: np.ndarray, rows: np.ndarray, sizes: np.ndarray, starts: np.
         owner = np.repeat(np.arange(len(rows)), n)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         h = mix(mix(paths[owner] + _GOLDEN) ^ flat[starts[rows[owner]] + within])
-        limit = np.minimum(1.0, 1.0 / (threshold * n)) * float(1 << 63)
+        limit = np.minimum(1.0, CHILDREN / (threshold * n)) * float(1 << 63)
         chosen = (h >> np.uint64(1)).astype(np.float64) < limit[owner]
         paths, rows = mix(h[chosen] ^ np.uint64(0xD6E8FEB86659FD93)), rows[owner[chosen]]
     return paths, rows
@@ -108,11 +112,11 @@ def _first_paths(runs: int, threshold: float, steps: int):  # noqa: ANN202
     def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in (part for batch in frames for part in _portions(batch)):
             sizes, starts, flat = _flat(frame.tokens)
-            ids = frame.set_id.to_numpy()
+            ids = frame.sid.to_numpy()
             for run in range(runs):
                 seed = mix(np.full(len(frame), run + 1, dtype=np.uint64) * _GOLDEN)
                 paths, rows = _descend(seed, np.arange(len(frame)), sizes, starts, flat, threshold, steps)
-                yield pd.DataFrame({"path": paths.view(np.int64), "set_id": ids[rows]})
+                yield pd.DataFrame({"path": paths.view(np.int64), "sid": ids[rows], "parent": np.int64(-1)})
 
     return go
 
@@ -121,10 +125,10 @@ def _next_paths(threshold: float, steps: int):  # noqa: ANN202
     def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in (part for batch in frames for part in _portions(batch)):
             sizes, starts, flat = _flat(frame.tokens)
-            ids = frame.set_id.to_numpy()
+            ids, parent = frame.sid.to_numpy(), frame.n.to_numpy()
             seed = frame.path.to_numpy().astype(np.int64).view(np.uint64)
             paths, rows = _descend(seed, np.arange(len(frame)), sizes, starts, flat, threshold, steps)
-            yield pd.DataFrame({"path": paths.view(np.int64), "set_id": ids[rows]})
+            yield pd.DataFrame({"path": paths.view(np.int64), "sid": ids[rows], "parent": parent[rows]})
 
     return go
 
@@ -139,7 +143,7 @@ def _sketches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for k, seed in enumerate(seeds):
                 bits[:, k] = (np.minimum.reduceat(mix(flat ^ seed), starts) >> np.uint64(7)).astype(np.uint8) & 1
             packed = np.packbits(bits, axis=1)
-            yield pd.DataFrame({"set_id": part.set_id.to_numpy(), "size": sizes.astype(np.int32), "sketch": [row.tobytes() for row in packed]})
+            yield pd.DataFrame({"sid": part.sid.to_numpy(), "size": sizes.astype(np.int32), "sketch": [row.tobytes() for row in packed]})
 
 
 def _compare(threshold: float, crossed: bool):  # noqa: ANN202
@@ -152,7 +156,7 @@ def _compare(threshold: float, crossed: bool):  # noqa: ANN202
     least = n_bits * (agree - 4.5 * math.sqrt(agree * (1 - agree) / n_bits))
 
     def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        bucket, ids, size = frame.bucket.to_numpy(), frame.set_id.to_numpy(), frame["size"].to_numpy()
+        bucket, ids, size = frame.bucket.to_numpy(), frame.sid.to_numpy(), frame["size"].to_numpy()
         side = frame.side.to_numpy()
         sketch = np.frombuffer(b"".join(frame.sketch), dtype=np.uint64).reshape(len(frame), SKETCH_WORDS)
         left, right = [], []
@@ -170,10 +174,9 @@ def _compare(threshold: float, crossed: bool):  # noqa: ANN202
             i, j = i[same >= least], j[same >= least]
             left.append(ids[i])
             right.append(ids[j])
-        a = np.concatenate(left) if left else np.zeros(0, object)
-        b = np.concatenate(right) if right else np.zeros(0, object)
-        swap = a > b
-        return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b)}).drop_duplicates()
+        a = np.concatenate(left) if left else np.zeros(0, np.int64)
+        b = np.concatenate(right) if right else np.zeros(0, np.int64)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
@@ -190,71 +193,77 @@ def _compare(threshold: float, crossed: bool):  # noqa: ANN202
 
 
 def _brute_force(rows: DataFrame, sketched: DataFrame, threshold: float, crossed: bool) -> DataFrame:
-    """rows: bucket, side, set_id."""
+    """rows: bucket, side, sid."""
     return (
-        rows.join(sketched, "set_id")
-        .select("bucket", "side", "set_id", "size", "sketch")
+        rows.join(sketched, "sid")
+        .select("bucket", "side", "sid", "size", "sketch")
         .repartition("bucket")
-        .sortWithinPartitions("bucket", "set_id")
-        .mapInPandas(_compare(threshold, crossed), "a string, b string")
+        .sortWithinPartitions("bucket", "sid")
+        .mapInPandas(_compare(threshold, crossed), "a bigint, b bigint")
     )
 
 
 def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET) -> DataFrame:
     """a, b, similarity of the pairs of different sets (a < b) with a Jaccard similarity of at least the threshold.
 
-    A bucket that is still too large after MOST_ROUNDS rounds of splits (many sets all alike) is compared in blocks
-    of at most `bucket` sets against each other, so that no task holds the bucket and no pair is lost.
+    A large bucket of which a split would leave more than (threshold / CHILDREN) ** steps holds sets so much alike that
+    splitting costs more comparisons than it saves. It is compared in blocks of at most `bucket` sets against each other,
+    like any bucket still too large after MOST_ROUNDS rounds, so that no task holds the bucket and no pair is lost.
+    Sets carry a number while they are compared.
     """
     runs = runs_for(threshold, recall, FIRST_STEPS + MOST_ROUNDS * NEXT_STEPS)
-    sketched = cut(sets.mapInPandas(_sketches, "set_id string, size int, sketch binary"))
-    active = cut(sets.mapInPandas(_first_paths(runs, threshold, FIRST_STEPS), "path bigint, set_id string"))
+    numbered = cut(sets.withColumn("sid", F.monotonically_increasing_id()))
+    sketched = cut(numbered.select("sid", "tokens").mapInPandas(_sketches, "sid bigint, size int, sketch binary"))
+    schema = "path bigint, sid bigint, parent bigint"
+    active = cut(numbered.select("sid", "tokens").mapInPandas(_first_paths(runs, threshold, FIRST_STEPS), schema))
     found = []
+    least = (threshold / CHILDREN) ** NEXT_STEPS
     for turn in range(MOST_ROUNDS + 1):
         counts = active.groupBy("path").agg(F.count("*").alias("n"))
         sized = cut(active.join(counts.where("n > 1"), "path"))
-        small = sized.where(F.col("n") <= bucket).select(F.col("path").alias("bucket"), F.lit(0).alias("side"), "set_id")
+        small = sized.where(F.col("n") <= bucket).select(F.col("path").alias("bucket"), F.lit(0).alias("side"), "sid")
         found.append(cut(_brute_force(small, sketched, threshold, crossed=False).distinct()))
         large = sized.where(F.col("n") > bucket)
-        if large.isEmpty():
+        alike = (F.col("parent") > 0) & (F.col("n") > F.col("parent") * least) if turn < MOST_ROUNDS else F.lit(True)
+        whole = large.where(alike)
+        if not whole.isEmpty():
+            found.append(cut(_blocks(whole, sketched, threshold, bucket).distinct()))
+        large = large.where(~alike)
+        if turn == MOST_ROUNDS or large.isEmpty():
             break
-        if turn == MOST_ROUNDS:
-            found.append(cut(_blocks(large, sketched, threshold, bucket).distinct()))
-            break
-        wider = large.select("path", "set_id").join(sets, "set_id")
-        active = cut(wider.mapInPandas(_next_paths(threshold, NEXT_STEPS), "path bigint, set_id string"))
+        wider = large.select("path", "sid", "n").join(numbered.select("sid", "tokens"), "sid")
+        active = cut(wider.mapInPandas(_next_paths(threshold, NEXT_STEPS), schema))
     candidates = found[0]
     for more in found[1:]:
         candidates = candidates.unionByName(more)
-    return verified(candidates.distinct(), sets, threshold)
+    return verified(candidates.distinct(), numbered, threshold)
 
 
 def _blocks(large: DataFrame, sketched: DataFrame, threshold: float, bucket: int) -> DataFrame:
-    """Pairs of the oversized buckets, block against block."""
+    """Pairs of the oversized buckets (path, n, sid), block against block."""
     n_blocks = F.ceil(F.col("n") / F.lit(bucket)).cast("int")
-    blocked = large.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    blocked = large.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     meets = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda o: F.struct(F.least(o, F.col("block")).alias("low"), F.greatest(o, F.col("block")).alias("high")),
     )
-    spread = blocked.select("path", "set_id", "block", F.explode(meets).alias("meet"))
+    spread = blocked.select("path", "sid", "block", F.explode(meets).alias("meet"))
     key = F.xxhash64("path", "meet.low", "meet.high").alias("bucket")
     side = (F.col("block") == F.col("meet.high")).cast("int").alias("side")
     within = F.col("meet.low") == F.col("meet.high")
-    same = spread.where(within).select(key, F.lit(0).alias("side"), "set_id")
-    other = spread.where(~within).select(key, side, "set_id")
+    same = spread.where(within).select(key, F.lit(0).alias("side"), "sid")
+    other = spread.where(~within).select(key, side, "sid")
     return _brute_force(same, sketched, threshold, crossed=False).unionByName(_brute_force(other, sketched, threshold, crossed=True))
 
 
-def verified(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The exact check: similarity from the tokens of both sides."""
-    joined = candidates.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta")), "a").join(
-        sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb")), "b"
-    )
-    shared = F.size(F.array_intersect("ta", "tb"))
-    joined = joined.withColumn("shared", shared)
+def verified(candidates: DataFrame, numbered: DataFrame, threshold: float) -> DataFrame:
+    """The exact check: similarity from the tokens of both sides. candidates: a, b by number; out come the sets' digests."""
+    one = numbered.select(F.col("sid").alias("a"), F.col("set_id").alias("sa"), F.col("tokens").alias("ta"))
+    two = numbered.select(F.col("sid").alias("b"), F.col("set_id").alias("sb"), F.col("tokens").alias("tb"))
+    joined = candidates.join(one, "a").join(two, "b").withColumn("shared", F.size(F.array_intersect("ta", "tb")))
     similarity = F.col("shared") / (F.size("ta") + F.size("tb") - F.col("shared"))
-    return cut(joined.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold))
+    near = joined.select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"), similarity.alias("similarity"))
+    return cut(near.where(F.col("similarity") >= threshold))
 
 
 def record_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
