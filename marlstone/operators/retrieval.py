@@ -145,11 +145,11 @@ def pair_cosine(pairs: DataFrame, queries: DataFrame, items: DataFrame) -> DataF
     return joined.withColumn("score", score.cast("double")).drop("_q", "_x")
 
 
-def channels(lexical: DataFrame, dense: DataFrame) -> DataFrame:
-    """query_id, item_id, lexical, dense: the union of both channels; a missing side is null."""
-    a = lexical.select("query_id", "item_id", F.col("score").alias("lexical"))
-    b = dense.select("query_id", "item_id", F.col("score").alias("dense"))
-    return a.join(b, ["query_id", "item_id"], "full")
+def channels(lexical: DataFrame, dense: DataFrame, by: Sequence[str] = ("query_id",)) -> DataFrame:
+    """by, item_id, lexical, dense: the union of both channels; a missing side is null. by: the query and what names an arm."""
+    a = lexical.select(*by, "item_id", F.col("score").alias("lexical"))
+    b = dense.select(*by, "item_id", F.col("score").alias("dense"))
+    return a.join(b, [*by, "item_id"], "full")
 
 
 def min_max(scores: DataFrame, column: str, by: Sequence[str] = ("query_id",)) -> DataFrame:
@@ -163,14 +163,14 @@ def min_max(scores: DataFrame, column: str, by: Sequence[str] = ("query_id",)) -
     return scores.withColumn(column, F.when(high == low, 1.0).otherwise((F.col(column) - low) / (high - low)))
 
 
-def blended(union: DataFrame, weights: Sequence[float]) -> DataFrame:
-    """query_id, item_id, weight, score: weighted sums of the min-max scaled channels for every weight of the lexical one."""
+def blended(union: DataFrame, weights: Sequence[float], by: Sequence[str] = ("query_id",)) -> DataFrame:
+    """by, item_id, weight, score: weighted sums of the min-max scaled channels for every weight of the lexical one."""
     filled = union.fillna(0.0, ["lexical", "dense"])
-    scaled = min_max(min_max(filled, "lexical"), "dense")
+    scaled = min_max(min_max(filled, "lexical", by), "dense", by)
     w = F.explode(F.array(*[F.lit(float(x)) for x in weights])).alias("weight")
     spread = scaled.select("*", w)
     score = F.col("weight") * F.col("lexical") + (1 - F.col("weight")) * F.col("dense")
-    return spread.select("query_id", "item_id", "weight", F.round(score, DIGITS).alias("score"))
+    return spread.select(*by, "item_id", "weight", F.round(score, DIGITS).alias("score"))
 
 
 def reciprocal(rankings: Sequence[DataFrame], damping: int = RRF_DAMPING) -> DataFrame:
@@ -182,14 +182,14 @@ def reciprocal(rankings: Sequence[DataFrame], damping: int = RRF_DAMPING) -> Dat
     return fused.withColumn("score", F.round("score", 9))
 
 
-def weighted_reciprocal(union: DataFrame, weights: Sequence[float], damping: int = RRF_DAMPING) -> DataFrame:
+def weighted_reciprocal(union: DataFrame, weights: Sequence[float], damping: int = RRF_DAMPING, by: Sequence[str] = ("query_id",)) -> DataFrame:
     """w / (damping + lexical rank) + (1 - w) / (damping + dense rank); a channel without the item gives nothing."""
-    order = lambda c: Window.partitionBy("query_id").orderBy(F.col(c).desc_nulls_last(), F.col("item_id"))
+    order = lambda c: Window.partitionBy(*by).orderBy(F.col(c).desc_nulls_last(), F.col("item_id"))
     placed = union.withColumn("rl", F.when(F.col("lexical").isNotNull(), F.row_number().over(order("lexical"))))
     placed = placed.withColumn("rd", F.when(F.col("dense").isNotNull(), F.row_number().over(order("dense"))))
     spread = placed.select("*", F.explode(F.array(*[F.lit(float(x)) for x in weights])).alias("weight"))
     score = F.coalesce(F.col("weight") / (damping + F.col("rl")), F.lit(0.0)) + F.coalesce((1 - F.col("weight")) / (damping + F.col("rd")), F.lit(0.0))
-    return spread.select("query_id", "item_id", "weight", F.round(score, 9).alias("score"))
+    return spread.select(*by, "item_id", "weight", F.round(score, 9).alias("score"))
 
 
 def hybrid(lexical: DataFrame, dense: DataFrame, candidates: int = CANDIDATES, fused: int = FUSED) -> DataFrame:

@@ -20,6 +20,10 @@ SQL: dict[str, str] = {}
 
 WEIGHTS = [0.0, 0.25, 0.5, 0.75, 1.0]
 KS = [5, 8, 24]
+#: The grid of the sweep: texts x scorers x fusions x weights x ks.
+GRID_WEIGHTS = [round(0.1 * i, 1) for i in range(11)]
+GRID_KS = [1, 2, 3, 5, 8, 10, 12, 16, 20, 24]
+ARM = ["fusion", "words", "scorer", "weight"]
 DEPTH = 100
 
 
@@ -291,57 +295,134 @@ def agg4_reciprocal_rank(spark: SparkSession, d: str) -> DataFrame:
     return M.at_k(runs, gold(spark, d), KS).select("query_id", "k", "hit", "first_rank", "reciprocal_rank")
 
 
-def _sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Per-query rows of the grid scorer x weight x k over both fusions."""
-    both = pool(spark, d)
-    lin = R.top(R.blended(both, WEIGHTS), max(KS), ["query_id", "weight"]).withColumn("fusion", F.lit("min_max"))
-    rrf = R.top(R.weighted_reciprocal(both, WEIGHTS), max(KS), ["query_id", "weight"]).withColumn("fusion", F.lit("rrf"))
-    return M.at_k(lin.unionByName(rrf), gold(spark, d), KS, ["fusion", "weight"])
+def asked_enriched(spark: SparkSession, d: str, held: DataFrame) -> DataFrame:
+    """The asking documents' terms with the words of their kind, for every other one of them; the others ask as they are."""
+    kind = documents(spark, d).where("doc_id % 200 = 0").select(F.col("doc_id").alias("query_id"), F.explode(F.split("doc_type", "_")).alias("term"))
+    return asked(held).select("query_id", "term").unionByName(kind).distinct().withColumn("weight", F.lit(1.0))
 
 
-_SWEEP = f"""{_BASE}, {_BLEND}, {_RRF},
-runs as (select 'min_max' as fusion, weight, query_id, item_id, row_number() over (partition by query_id, weight order by score desc, item_id) as rank from blend
- union all select 'rrf', weight, query_id, item_id, row_number() over (partition by query_id, weight order by score desc, item_id) from rrf),
-{_metrics_sql('runs', 'fusion, weight')}"""
+_stored: dict[tuple[str, str], DataFrame] = {}
 
 
-@query(f"with {_SWEEP} select fusion, weight, query_id, k, precision, recall, hit, first_rank, reciprocal_rank from measured")
+def sweep(spark: SparkSession, d: str) -> DataFrame:
+    """fusion, words, scorer, weight, query_id, k and the metrics: every cell of the grid for every query.
+
+    The rows are written once per directory and session and read by every summary; each text and scorer is scored once,
+    a ranking serves all ks.
+    """
+    key = (spark.sparkContext.applicationId, d)
+    if key in _stored:
+        return _stored[key]
+    held = postings(spark, d)
+    by = ["words", "scorer", "query_id"]
+    scored = None
+    for words, query in (("plain", asked(held)), ("enriched", asked_enriched(spark, d, held))):
+        for scorer, score in (("okapi", R.okapi), ("tf_idf", R.tf_idf)):
+            part = score(query, held).where("query_id <> item_id").select(F.lit(words).alias("words"), F.lit(scorer).alias("scorer"), "query_id", "item_id", "score")
+            scored = part if scored is None else scored.unionByName(part)
+    arms = F.explode(F.array(*[F.struct(F.lit(w).alias("words"), F.lit(c).alias("scorer")) for w in ("plain", "enriched") for c in ("okapi", "tf_idf")])).alias("arm")
+    vector = dense(spark, d).select("*", arms).select("arm.words", "arm.scorer", "query_id", "item_id", "score")
+    both = cut(R.channels(R.top(scored, DEPTH, by), vector, by))
+    lin = R.top(R.blended(both, GRID_WEIGHTS, by), max(GRID_KS), [*by, "weight"]).withColumn("fusion", F.lit("min_max"))
+    rrf = R.top(R.weighted_reciprocal(both, GRID_WEIGHTS, by=by), max(GRID_KS), [*by, "weight"]).withColumn("fusion", F.lit("rrf"))
+    _stored[key] = cut(M.at_k(lin.unionByName(rrf), gold(spark, d), GRID_KS, ARM))
+    return _stored[key]
+
+
+_GW = ", ".join(f"({w})" for w in GRID_WEIGHTS)
+_GK = ", ".join(f"({k})" for k in GRID_KS)
+_SWEEP = f"""{_BASE},
+kind as (select doc_id as query_id, unnest(string_split(doc_type, '_')) as term from docs where doc_id % 200 = 0),
+qt as (select 'plain' as words, query_id, term from q union all select 'enriched', query_id, term from (select query_id, term from q union select query_id, term from kind)),
+sc as (select words, 'okapi' as scorer, query_id, doc_id as item_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) as score
+  from qt join freq using (term) join post using (term) join len using (doc_id), size where query_id <> doc_id group by all
+ union all select words, 'tf_idf', query_id, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf), 6) from qt join freq using (term) join post using (term), size where query_id <> doc_id group by all),
+lx as (select *, row_number() over (partition by words, scorer, query_id order by score desc, item_id) as rank from sc),
+dn as (select words, scorer, den.* from den, (values ('plain', 'okapi'), ('plain', 'tf_idf'), ('enriched', 'okapi'), ('enriched', 'tf_idf')) a(words, scorer) where rank <= {DEPTH}),
+gp as (select coalesce(l.words, x.words) as words, coalesce(l.scorer, x.scorer) as scorer, coalesce(l.query_id, x.query_id) as query_id, coalesce(l.item_id, x.item_id) as item_id, l.score as lexical, x.score as dense
+  from (select * from lx where rank <= {DEPTH}) l full join dn x on l.words = x.words and l.scorer = x.scorer and l.query_id = x.query_id and l.item_id = x.item_id),
+gs as (select words, scorer, query_id, item_id, case when max(l) over p = min(l) over p then 1.0 else (l - min(l) over p) / (max(l) over p - min(l) over p) end as l,
+  case when max(d) over p = min(d) over p then 1.0 else (d - min(d) over p) / (max(d) over p - min(d) over p) end as d
+  from (select words, scorer, query_id, item_id, coalesce(lexical, 0) as l, coalesce(dense, 0) as d from gp) window p as (partition by words, scorer, query_id)),
+gb as (select words, scorer, query_id, item_id, w::double as weight, round(w * l + (1 - w) * d, 6) as score from gs, (values {_GW}) v(w)),
+gr as (select *, case when lexical is not null then row_number() over (partition by words, scorer, query_id order by lexical desc nulls last, item_id) end as rl,
+  case when dense is not null then row_number() over (partition by words, scorer, query_id order by dense desc nulls last, item_id) end as rd from gp),
+gf as (select words, scorer, query_id, item_id, w::double as weight, round(coalesce(w / (60 + rl), 0) + coalesce((1 - w) / (60 + rd), 0), 9) as score from gr, (values {_GW}) v(w)),
+runs as (select 'min_max' as fusion, words, scorer, weight, query_id, item_id, row_number() over (partition by words, scorer, query_id, weight order by score desc, item_id) as rank from gb
+ union all select 'rrf', words, scorer, weight, query_id, item_id, row_number() over (partition by words, scorer, query_id, weight order by score desc, item_id) from gf),
+{_metrics_sql('runs', 'fusion, words, scorer, weight').replace(_KS, _GK)}"""
+
+
+@query(f"with {_SWEEP} select fusion, words, scorer, weight, query_id, k, precision, recall, hit, first_rank, reciprocal_rank from measured")
 def abl3_full_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return _sweep(spark, d).select("fusion", "weight", "query_id", "k", "precision", "recall", "hit", "first_rank", "reciprocal_rank")
+    return sweep(spark, d).select(*ARM, "query_id", "k", "precision", "recall", "hit", "first_rank", "reciprocal_rank")
 
 
-@query(f"with {_SWEEP} select fusion, weight, k, count(*) as n, round(avg(recall), 6) as recall, round(avg(reciprocal_rank), 6) as reciprocal_rank from measured group by all")
+@query(f"with {_SWEEP} select fusion, words, scorer, weight, k, count(*) as n, (floor(sum(cast(round(recall * 1000000) as bigint))::double / count(recall) + 0.5) / 1000000) as recall, (floor(sum(cast(round(reciprocal_rank * 1000000) as bigint))::double / count(reciprocal_rank) + 0.5) / 1000000) as reciprocal_rank from measured group by all")
 def agg6_sweep_summary(spark: SparkSession, d: str) -> DataFrame:
-    return M.summary(_sweep(spark, d), ["fusion", "weight", "k"], ["recall", "reciprocal_rank"])
+    return M.summary(sweep(spark, d), [*ARM, "k"], ["recall", "reciprocal_rank"])
 
 
-@query(f"with {_SWEEP}, p as (select fusion, k, query_id, avg(recall) as v from measured group by all) select fusion, k, count(*) as n, round(avg(v), 6) as value from p group by all")
+@query(f"with {_SWEEP}, p as (select fusion, k, query_id, (floor(sum(cast(round(recall * 1000000) as bigint))::double / count(recall) + 0.5) / 1000000) as v from measured group by all) select fusion, k, count(*) as n, (floor(sum(cast(round(v * 1000000) as bigint))::double / count(v) + 0.5) / 1000000) as value from p group by all")
 def agg7_marginal(spark: SparkSession, d: str) -> DataFrame:
-    return M.marginal(_sweep(spark, d), ["fusion", "k"], "recall")
+    return M.marginal(sweep(spark, d), ["fusion", "k"], "recall")
 
 
-@query(f"""with {_SWEEP}, p as (select fusion, weight, k, round(avg(recall), 6) as recall from measured group by all)
-select fusion, k, weight, recall from p qualify row_number() over (partition by fusion, k order by recall desc, weight) = 1""")
+@query(f"""with {_SWEEP}, p as (select fusion, words, scorer, weight, k, (floor(sum(cast(round(recall * 1000000) as bigint))::double / count(recall) + 0.5) / 1000000) as recall from measured group by all)
+select fusion, words, scorer, k, weight, recall from p qualify row_number() over (partition by fusion, words, scorer, k order by recall desc, weight) = 1""")
 def agg8_best_weight(spark: SparkSession, d: str) -> DataFrame:
-    means = M.summary(_sweep(spark, d), ["fusion", "weight", "k"], ["recall"])
-    return M.best(means, ["fusion", "k"], "weight", "recall")
+    means = M.summary(sweep(spark, d), [*ARM, "k"], ["recall"])
+    return M.best(means, ["fusion", "words", "scorer", "k"], "weight", "recall")
+
 
+@query(f"""with {_SWEEP}, p as (select words, k, query_id, (floor(sum(cast(round(recall * 1000000) as bigint))::double / count(recall) + 0.5) / 1000000) as v from measured where scorer = 'tf_idf' group by all) select words, k, count(*) as n, (floor(sum(cast(round(v * 1000000) as bigint))::double / count(v) + 0.5) / 1000000) as value from p group by all""")
+def agg8_level_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Means by text over one scorer's rows; the fusions and weights are free dimensions."""
+    return M.marginal(M.core_rows(sweep(spark, d)), ["words", "k"], "recall")
 
-@query(f"""with {_SWEEP}, a as (select query_id, avg(recall) as a from measured where fusion = 'min_max' and k = 8 group by 1), b as (select query_id, avg(recall) as b from measured where fusion = 'rrf' and k = 8 group by 1)
+
+@query(f"""with {_SWEEP} select scorer, count(*) as n from measured where scorer = case when (select count(distinct scorer) from measured) = 1 then (select max(scorer) from measured) else 'tf_idf' end group by 1""")
+def flt11_core_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Of a run with two scorers the rows of the plainer one."""
+    return M.core_rows(sweep(spark, d)).groupBy("scorer").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {_SWEEP}, a as (select query_id, (floor(sum(cast(round(recall * 1000000) as bigint))::double / count(recall) + 0.5) / 1000000) as a from measured where fusion = 'min_max' and k = 8 group by 1), b as (select query_id, (floor(sum(cast(round(recall * 1000000) as bigint))::double / count(recall) + 0.5) / 1000000) as b from measured where fusion = 'rrf' and k = 8 group by 1)
 select query_id, round(a, 6) as a, round(b, 6) as b, round(a - b, 6) as delta from a join b using (query_id)""")
 def set2_paired_queries(spark: SparkSession, d: str) -> DataFrame:
-    rows = M.paired(_sweep(spark, d).where("k = 8"), "fusion", "min_max", "rrf", "recall")
+    rows = M.paired(sweep(spark, d).where("k = 8"), "fusion", "min_max", "rrf", "recall")
     return rows.withColumn("a", F.round("a", 6)).withColumn("b", F.round("b", 6))
 
 
-@query(f"""with {_SWEEP}, arms as (select fusion, weight, query_id, k, recall from measured where k in (5, 8)),
-base as (select query_id, k, recall as base from arms where fusion = 'rrf' and weight = 0.5)
-select fusion, weight, k, count(*) as n, round(avg(recall - base), 6) as delta from arms join base using (query_id, k) group by all""")
+@query(f"""with {_SWEEP}, arms as (select fusion, words, scorer, weight, query_id, k, recall from measured where k in (5, 8)),
+base as (select query_id, k, recall as base from arms where fusion = 'rrf' and words = 'plain' and scorer = 'okapi' and weight = 0.5)
+select fusion, words, scorer, weight, k, count(*) as n, (floor(sum(cast(round((recall - base) * 1000000) as bigint))::double / count((recall - base)) + 0.5) / 1000000) as delta from arms join base using (query_id, k) group by all""")
 def agg9_added_arms(spark: SparkSession, d: str) -> DataFrame:
-    arms = _sweep(spark, d).where("k in (5, 8)").select("fusion", "weight", "query_id", "k", "recall")
-    arms = cut(arms)
-    base = arms.where("fusion = 'rrf' and weight = 0.5").select("query_id", "k", F.col("recall").alias("base"))
-    return arms.join(base, ["query_id", "k"]).groupBy("fusion", "weight", "k").agg(F.count("*").alias("n"), F.round(F.avg(F.col("recall") - F.col("base")), 6).alias("delta"))
+    arms = sweep(spark, d).where("k in (5, 8)").select(*ARM, "query_id", "k", "recall")
+    base = arms.where("fusion = 'rrf' and words = 'plain' and scorer = 'okapi' and weight = 0.5").select("query_id", "k", F.col("recall").alias("base"))
+    return arms.join(base, ["query_id", "k"]).withColumn("delta", F.col("recall") - F.col("base")).groupBy(*ARM, "k").agg(F.count("*").alias("n"), M.mean("delta").alias("delta"))
+
+
+_SPLIT = "case when cast('0x' || right(sha256(query_id::varchar), 1) as int) % 2 = 0 then 'tune' else 'heldout' end"
+
+
+@query(f"""with {_SWEEP}, m as (select query_id, weight, (floor(sum(cast(round(reciprocal_rank * 1000000) as bigint))::double / count(reciprocal_rank) + 0.5) / 1000000) as v, {_SPLIT} as split from measured where fusion = 'min_max' and k = 8 group by query_id, weight),
+t as (select weight, (floor(sum(cast(round(v * 1000000) as bigint))::double / count(v) + 0.5) / 1000000) as score from m where split = 'tune' group by 1), best as (select weight, score from t qualify row_number() over (order by score desc, weight) = 1)
+select best.weight, score, h.n, h.delta from best, (select count(*) as n, round(avg(a.v - b.v), 6) as delta from m a join best on a.weight = best.weight join m b on a.query_id = b.query_id and b.weight = 0.5 where a.split = 'heldout') h""")
+def agg21_tuned_choice(spark: SparkSession, d: str) -> DataFrame:
+    """The weight that is best on the tuning half, and its gain over 0.5 on the other half; agg21_heldout_test adds its test."""
+    return _tuned(spark, d).select("weight", "score", "n", "delta")
+
+
+def _tuned(spark: SparkSession, d: str) -> DataFrame:
+    rows = sweep(spark, d).where("fusion = 'min_max' and k = 8")
+    digit = F.conv(F.right(F.sha2(F.col("query_id").cast("string"), 256), F.lit(1)), 16, 10).cast("int")
+    return M.tuned(rows, "weight", "reciprocal_rank", F.when(digit % 2 == 0, "tune").otherwise("heldout"), 0.5)
+
+
+@query()
+def agg21_heldout_test(spark: SparkSession, d: str) -> DataFrame:
+    return _tuned(spark, d)
 
 
 @query("""with g as (select distinct a.doc_id as query_id, b.doc_id as item_id from documents a join documents b on a.source = b.source and a.doc_type = b.doc_type and a.doc_id <> b.doc_id
@@ -353,13 +434,55 @@ def agg10_popularity(spark: SparkSession, d: str) -> DataFrame:
     return M.popularity(gold(spark, d), 24)
 
 
-@query(f"with {_BASE}, {_metrics_sql('den', '', 'labels')} select k, count(*) as n, round(avg(recall), 6) as recall, round(avg(reciprocal_rank), 6) as reciprocal_rank from measured group by 1".replace(
-    "marked as (", "labels as (select a.vec_id as query_id, b.vec_id as item_id from e a join e b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 100 = 0), marked as (", 1))
-def abl5_vector_arm(spark: SparkSession, d: str) -> DataFrame:
-    held = vectors(spark, d)
-    q = held.where("id % 100 = 0").select(F.col("id").alias("query_id"), "label")
-    same = q.join(held.select(F.col("id").alias("item_id"), "label"), "label").where("item_id <> query_id").select("query_id", "item_id")
-    return M.summary(M.at_k(R.ranked(dense(spark, d)), same, KS), ["k"], ["recall", "reciprocal_rank"])
+@query("""with g as (select distinct a.doc_id as query_id, b.doc_id as item_id from documents a join documents b on a.source = b.source and a.doc_type = b.doc_type and a.doc_id <> b.doc_id
+  where a.doc_id % 100 = 0 and a.text is not null and b.text is not null),
+n as (select item_id, count(*) as n, row_number() over (order by count(*) desc, item_id) as overall from g group by 1), s as (select query_id, count(*) as k from g group by 1)
+select query_id, item_id, n, overall from s join n on overall <= k + 24""")
+def win18_popularity_cut(spark: SparkSession, d: str) -> DataFrame:
+    """Of each query the head of depth and gold size within which its own ranking must lie."""
+    return M.popular_heads(gold(spark, d), 24)
+
+
+_FOUR = f"""e2 as (select vec_id, list_slice(v, 1, 32) as v from e), cos2 as (select a.vec_id as query_id, b.vec_id as item_id,
+    round(list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))), 6) as score from e2 a join e2 b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+den2 as (select *, row_number() over (partition by query_id order by score desc, item_id) as rank from cos2),
+every as (select 'one' as arm, query_id, item_id, rank from lex where rank <= {DEPTH} union all select 'one', query_id, item_id, rank from den where rank <= {DEPTH}
+ union all select 'two', query_id, item_id, rank from lex where rank <= {DEPTH} union all select 'two', query_id, item_id, rank from den2 where rank <= {DEPTH}
+ union all select 'both', query_id, item_id, rank from lex where rank <= {DEPTH} union all select 'both', query_id, item_id, rank from den where rank <= {DEPTH} union all select 'both', query_id, item_id, rank from den2 where rank <= {DEPTH}
+ union all select 'reference', query_id, item_id, rank from lex where rank <= 40 union all select 'reference', query_id, item_id, rank from den where rank <= 40),
+fused as (select arm, query_id, item_id, round(sum(1 / (60.0 + rank)), 9) as score from every group by all),
+armed as (select arm, query_id, item_id, row_number() over (partition by arm, query_id order by score desc, item_id) as rank from fused qualify rank <= 24)"""
+
+
+@query(f"with {_BASE}, {_FOUR}, {_metrics_sql('armed', 'arm')} select arm, k, count(*) as n, (floor(sum(cast(round(recall * 1000000) as bigint))::double / count(recall) + 0.5) / 1000000) as recall, (floor(sum(cast(round(reciprocal_rank * 1000000) as bigint))::double / count(reciprocal_rank) + 0.5) / 1000000) as reciprocal_rank from measured group by all")
+def abl5_encoder_arms(spark: SparkSession, d: str) -> DataFrame:
+    """Three arms of encoders fused with the lexical channel, and the hybrid search as reference."""
+    return M.summary(_encoder_arms(spark, d), ["arm", "k"], ["recall", "reciprocal_rank"])
+
+
+def _encoder_arms(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors' first half stands for a second encoder."""
+    words = cut(R.top(lexical(spark, d), DEPTH))
+    held = vectors(spark, d).select("id", "vector")
+    half = held.withColumn("vector", F.slice("vector", 1, 32))
+    one, two = (cut(R.ranked(R.cosine(v.where("id % 100 = 0"), v, DEPTH))) for v in (held, half))
+    fused = {"one": R.reciprocal([words, one]), "two": R.reciprocal([words, two]), "both": R.reciprocal([words, one, two]), "reference": R.reciprocal([words.where("rank <= 40"), one.where("rank <= 40")])}
+    runs = None
+    for arm, scores in fused.items():
+        part = R.top(scores, R.FUSED).select(F.lit(arm).alias("arm"), "query_id", "item_id", "rank")
+        runs = part if runs is None else runs.unionByName(part)
+    return M.at_k(runs, gold(spark, d), KS, ["arm"])
+
+
+@query(f"with {_BASE}, {_FOUR}, {_metrics_sql('armed', 'arm')} select arm, count(*) as n, (floor(sum(cast(round(recall * 1000000) as bigint))::double / count(recall) + 0.5) / 1000000) as recall, (floor(sum(cast(round(reciprocal_rank * 1000000) as bigint))::double / count(reciprocal_rank) + 0.5) / 1000000) as mrr from measured where k = 24 group by all")
+def agg11_encoder_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Recall and mean reciprocal rank of each arm at 24; agg11_intervals adds the interval of the latter."""
+    return M.arm_summary(_encoder_arms(spark, d).where("k = 24"), ["arm"]).select("arm", "n", "recall", "mrr")
+
+
+@query()
+def agg11_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return M.arm_summary(_encoder_arms(spark, d).where("k = 24"), ["arm"])
 
 
 @query(f"""with {_BASE}, qq as (select doc_id as query_id, unnest(list_distinct({sql_tokens("substr(text, 1, 80)")})) as term from docs where doc_id % 100 = 0),

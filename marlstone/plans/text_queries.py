@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as X
@@ -149,17 +149,17 @@ _DIRECTIVE_SQL = " or ".join(f"regexp_matches(text, '(?i){p}')" for p in X.DIREC
 _SQUASH = "lower(regexp_replace({0}, '[\\s\\x0b\\x{{a0}}\\x{{2009}}\\x{{202f}}]+', '', 'g'))"
 
 
-@query(f"""with c as (select distinct chunk_id, text from chunk where text is not null),
-p as (select chunk_id, text, list_distinct(list_transform(regexp_extract_all(text, '{X.DOSE}'), lambda x: {_SQUASH.format('x')})) as doses, {_SQUASH.format('substr(text, 1, 400)')} as source from c)
+@query(f"""with c as (select distinct chunk_id, document_version_id, ordinal, text from chunk where text is not null),
+q as (select *, lag(text) over (partition by document_version_id order by ordinal, chunk_id) as quote from c),
+p as (select chunk_id, text, list_distinct(list_transform(regexp_extract_all(text, '{X.DOSE}'), lambda x: {_SQUASH.format('x')})) as doses, {_SQUASH.format("coalesce(quote, '')")} as source from q)
 select chunk_id, {_DIRECTIVE_SQL} as directive, len(doses) as n_doses, len(list_filter(doses, lambda x: not contains(source, x))) > 0 as beyond from p""")
 def txt11_directives_and_doses(spark: SparkSession, d: str) -> DataFrame:
-    """Doses of the whole text against its first 400 characters taken as the quote."""
-    t = F.col("text")
-    chunks = table(spark, d, "chunk").where("text is not null").select("chunk_id", "text").distinct()
-    return chunks.select(
-        "chunk_id", X.is_directive(t).alias("directive"), F.size(X.doses(t)).cast("bigint").alias("n_doses"),
-        X.dose_beyond(t, F.array(F.substring(t, 1, 400))).alias("beyond"),
-    )
+    """Doses of every text against the whole text before it in its version, taken as the quote."""
+    chunks = table(spark, d, "chunk").where("text is not null").select("chunk_id", "document_version_id", "ordinal", "text").distinct()
+    t, quote = F.col("text"), F.coalesce(F.lag("text").over(Window.partitionBy("document_version_id").orderBy("ordinal", "chunk_id")), F.lit(""))
+    return chunks.withColumn("quote", quote).select(
+        "chunk_id", X.is_directive(t).alias("directive"), F.size(X.doses(t)).cast("bigint").alias("n_doses"), X.dose_beyond(t, F.array("quote")).alias("beyond")
+    )
 
 
 def _version_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -239,20 +239,13 @@ def _scoped(rows: DataFrame) -> DataFrame:
     return lines.select("line_id", X.in_scope(t, fixed).alias("broad"), X.in_scope(t, edited).alias("narrow"), X.ocr_alike(spoiled, t).alias("alike"))
 
 
-@query(f"""with t as (select distinct line_id, text, {_FIX} as fixed, {_EDIT} as edited, replace(text, 'I', 'l') as spoiled from text_line where text is not null and regexp_full_match(text, '[ -~]*'))
+@query(f"""with t as (select distinct line_id, text, {_FIX} as fixed, {_EDIT} as edited, replace(text, 'I', 'l') as spoiled from text_line where text is not null)
 select line_id, {_NUM.format('text')} = {_NUM.format('fixed')} and {_BARE.format('text')} = {_BARE.format('fixed')}
   and len(list_filter(list_concat(list_filter({_W.format('text')}, lambda w: not list_contains({_W.format('fixed')}, w)), list_filter({_W.format('fixed')}, lambda w: not list_contains({_W.format('text')}, w))), lambda w: not list_contains({_REL}, w))) = 0 as broad,
  len(list_filter(list_concat(list_filter({_W.format('text')}, lambda w: not list_contains({_W.format('edited')}, w)), list_filter({_W.format('edited')}, lambda w: not list_contains({_W.format('text')}, w))), lambda w: not list_contains({_REL}, w))) = 0 as narrow,
  {_SHAPE.format('spoiled')} = {_SHAPE.format('text')} as alike from t""")
 def txt17_correction_scope(spark: SparkSession, d: str) -> DataFrame:
-    """Two edits and one spoiled reading of every plain ASCII line, judged as corrections; the SQL has other classes of
-    characters beyond ASCII. txt17_all_lines takes every line."""
-    return _scoped(table(spark, d, "text_line").where(F.col("text").rlike("^[ -~]*$")))
-
-
-@query()
-def txt17_all_lines(spark: SparkSession, d: str) -> DataFrame:
-    """The same for all lines, with accents and typographic signs."""
+    """Two edits and one spoiled reading of every line, judged as corrections."""
     return _scoped(table(spark, d, "text_line").where("text is not null"))
 
 

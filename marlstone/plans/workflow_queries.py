@@ -211,11 +211,6 @@ def agg5_harness_report(spark: SparkSession, d: str) -> DataFrame:
     return grouped.agg(F.count("*").alias("n"), passed.alias("passed"), F.round(passed / F.count("*"), 6).alias("rate"))
 
 
-@query("select event_type, count(*) as n, round(avg(value), 4) as mean, round(avg((value > 10)::int), 6) as fired from events group by 1")
-def agg11_ablation_summary(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.avg((F.col("value") > 10).cast("int")), 6).alias("fired"))
-
-
 @query("""with ref as (select p_brand as area, p_partkey as item from part where p_size < 10), n as (select area, count(distinct item) as k from ref group by 1),
 r as (select l_orderkey as q, p_brand as area, l_partkey as item from lineitem join part on p_partkey = l_partkey), h as (select q, area, count(distinct case when p_size < 10 then item end) as hits from r join part on p_partkey = item group by all)
 select area, count(*) as n, round(avg(hits / k), 6) as recall from h join n using (area) group by 1""")
@@ -276,16 +271,6 @@ def agg20_allocation(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", *[F.bround(k * share).cast("bigint").alias(n) for n, share in (("easy", 0.6), ("medium", 0.2), ("hard", 0.2))])
 
 
-@query("""with s as (select c_nationkey as query_id, n, round(avg(c_acctbal * (1 + ((c_custkey % n) * 0.01))), 4) as v from customer, (values (1), (2), (3), (5)) g(n) group by all),
-m as (select n, round(avg(v), 4) as score from s where c_nationkey % 2 = 0 group by 1) select n, score from m qualify row_number() over (order by score desc, n) = 1""".replace("where c_nationkey % 2 = 0", "where query_id % 2 = 0"))
-def agg21_tuned_choice(spark: SparkSession, d: str) -> DataFrame:
-    """The best of four settings on the tuning half, the smaller on ties."""
-    c = table(spark, d, "customer").withColumn("n", F.explode(F.array(*[F.lit(x) for x in (1, 2, 3, 5)])))
-    s = c.groupBy(F.col("c_nationkey").alias("query_id"), "n").agg(F.round(F.avg(F.col("c_acctbal") * (1 + (F.col("c_custkey") % F.col("n")) * 0.01)), 4).alias("v"))
-    m = s.where("query_id % 2 = 0").groupBy("n").agg(F.round(F.avg("v"), 4).alias("score"))
-    return m.agg(F.max(F.struct("score", (-F.col("n")).alias("k"))).alias("b")).select((-F.col("b.k")).alias("n"), F.col("b.score").alias("score"))
-
-
 @query(f"""with {_RATED} select result_id, count(distinct rater_id) as n_raters, string_agg(domain_code || ':' || score, ',' order by domain_code, rater_id) as ratings from live group by 1""")
 def agg22_archive_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """The ratings of a result in one row: as many as it has raters and domains."""
@@ -355,13 +340,6 @@ def win16_stratified_picks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("source is not null").withColumn("pick", F.row_number().over(order)).where("pick <= 3").select("source", "doc_id", "pick")
 
 
-@query("with c as (select l_partkey as item, count(*) as n from lineitem group by 1) select item, n, row_number() over (order by n desc, item) as place from c qualify place <= 50")
-def win18_popularity_cut(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("item")).agg(F.count("*").alias("n"))
-    first = n.orderBy(F.col("n").desc(), "item").limit(50)
-    return first.withColumn("place", F.row_number().over(Window.orderBy(F.col("n").desc(), "item")))
-
-
 @query("select distinct question_id, case when cast('0x' || right(sha256(question_id), 1) as int) % 2 = 0 then 'tune' else 'heldout' end as split from eval_question where question_id is not null")
 def win19_hash_split(spark: SparkSession, d: str) -> DataFrame:
     digit = F.conv(F.right(F.sha2("question_id", 256), F.lit(1)), 16, 10).cast("int")
