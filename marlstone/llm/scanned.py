@@ -336,22 +336,27 @@ def _deletes(key: Column) -> Column:
     )
 
 
-def _third(key: Column, length: Column, i: int, shift: int) -> Column:
+def _third(key: Column, length: Column, i: Column, shift: Column) -> Column:
     """The i-th third of a form of `length` characters, read from key so many characters further on, as text."""
     start, end = F.floor(length * i / 3).cast("int"), F.floor(length * (i + 1) / 3).cast("int")
     inside = (start + shift >= 0) & (end + shift <= F.length(key))
-    return F.when(inside, F.concat_ws("|", F.lit(i), length, F.xxhash64(F.substr(key, start + shift + 1, end - start)).cast("string")))
+    return F.when(inside, F.concat_ws("|", i, length, F.xxhash64(F.substr(key, start + shift + 1, end - start)).cast("string")))
+
+
+def _run(low: int, high: int) -> Column:
+    return F.sequence(F.lit(low), F.lit(high))
 
 
 def _known_keys(key: Column) -> Column:
     """Keys under which the lexicon holds a form: its deletions, or the thirds of a long one."""
-    thirds = F.array(*[_third(key, F.length(key), i, 0) for i in range(3)])
+    thirds = F.transform(_run(0, 2), lambda i: _third(key, F.length(key), i, F.lit(0)))
     return F.concat(_deletes(key), F.when(F.length(key) > LONG, thirds).otherwise(F.array().cast("array<string>")))
 
 
 def _asked_keys(key: Column) -> Column:
     """Keys by which a form asks: its deletions, and the thirds of any long form two edits away, wherever edits put them."""
-    thirds = F.array(*[_third(key, F.length(key) + d, i, shift) for d in range(-2, 3) for i in range(3) for shift in range(-2, 3)])
+    moved = lambda d, i: F.transform(_run(-2, 2), lambda shift: _third(key, F.length(key) + d, i, shift))
+    thirds = F.flatten(F.transform(_run(-2, 2), lambda d: F.flatten(F.transform(_run(0, 2), lambda i: moved(d, i)))))
     probed = F.filter(F.array_distinct(thirds), lambda k: k.isNotNull())
     return F.concat(_deletes(key), F.when(F.length(key) > LONG - 2, probed).otherwise(F.array().cast("array<string>")))
 
