@@ -210,3 +210,56 @@ def wide(rows: DataFrame, compacted: DataFrame, records: DataFrame, listed: Sequ
 def compacted_cells(rows: DataFrame, listed: Sequence[Field]) -> DataFrame:
     """The whole path: deltas written as a run, then compacted."""
     return compact(cut(deltas(rows, listed)))
+
+
+def nested(wide_rows: DataFrame, spec: DataFrame, identity: dict[str, str], defaults: dict[str, str] | None = None) -> DataFrame:
+    """One nested record per row of wide(), by the targets of the field list: record_key, schema_version, dataset_provenance,
+    record_id, mrn, single values under their path's struct, vitals as a list, families as lists of what was assessed,
+    date_of_birth.
+
+    spec: field_name, target, family, value_type (a settings table). `vitals.0.x` targets make one entry of vitals with
+    recorded_at from the admission; an entry without any value is none. A family lists its members that were assessed,
+    present or not; what wasn't is left out, never false. date_of_birth is the admission less the days of life.
+    identity: templates with {key} for record_id and mrn, and plain values for schema_version and dataset_provenance;
+    defaults fill top-level text paths that no field gave.
+    """
+    rows = small_rows(spec.select("field_name", "target", "family", "value_type").distinct(), MOST_FIELDS)
+    single: dict[str, list] = {}
+    families: dict[str, list[str]] = {}
+    plain = []
+    for r in sorted(rows, key=lambda r: r.field_name):
+        if r.family is not None:
+            families.setdefault(r.target, []).append(r.field_name)
+        elif "." in r.target:
+            head, leaf = r.target.split(".", 1)
+            single.setdefault(head, []).append((leaf.removeprefix("0."), r.field_name))
+        else:
+            plain.append((r.target, r.field_name))
+    columns = [F.col("record_key")]
+    for name, template in identity.items():
+        before, _, after = template.partition("{key}")
+        value = F.concat(F.lit(before), "record_key", F.lit(after)) if "{key}" in template else F.lit(template)
+        columns.append(value.alias(name))
+    columns += [F.col(field).alias(target) for target, field in plain]
+    admitted, days = None, None
+    for head, leaves in single.items():
+        entry = F.struct(*[F.col(field).alias(leaf) for leaf, field in leaves])
+        known = F.lit(False)
+        for _, field in leaves:
+            known = known | F.col(field).isNotNull()
+        if head == "vitals":
+            at = next((f for leaf, f in single.get("encounter", []) if leaf == "admitted_at"), None)
+            stamped = F.struct(*[F.col(field).alias(leaf) for leaf, field in leaves], (F.col(at) if at else F.lit(None).cast("timestamp_ntz")).alias("recorded_at"))
+            columns.append(F.filter(F.array(F.when(known, stamped)), lambda v: v.isNotNull()).alias("vitals"))
+        else:
+            columns.append(F.when(known, entry).alias(head))
+        if head == "encounter":
+            places = dict(leaves)
+            admitted, days = places.get("admitted_at"), places.get("day_of_life")
+    for target, members in families.items():
+        items = F.array(*[F.when(F.col(m).isNotNull(), F.struct(F.lit(m).alias("name"), F.col(m).alias("present"))) for m in members])
+        columns.append(F.array_compact(items).alias(target))
+    if admitted and days:
+        columns.append(F.date_sub(F.to_date(admitted), F.col(days)).alias("date_of_birth"))
+    columns += [F.lit(v).alias(n) for n, v in (defaults or {}).items() if n not in {t for t, _ in plain} | set(single) | set(families)]
+    return wide_rows.select(*columns)

@@ -73,6 +73,52 @@ def batch_faults(records: DataFrame, required: Sequence[str]) -> DataFrame:
     return out.withColumn("accepted", F.col("n_blank") == 0)
 
 
+# What an attestation of a de-identified dataset must state.
+ATTESTED = ["source", "collection_period", "site", "deidentification_method", "deidentification_standard", "consent_basis", "licence", "attested_by", "attested_date"]
+
+
+def guarded(records: DataFrame, attestations: DataFrame, synthetic: str, deidentified: str, stated: Sequence[str] = ATTESTED) -> tuple[DataFrame, DataFrame]:
+    """The records of accepted batches, and dataset_id, n_records, accepted, reason of every batch.
+
+    records: dataset_id, dataset_provenance, ... A batch passes whole or not at all: every record synthetic, or every
+    record de-identified and the batch attested (one row with all of `stated`, none blank or a TODO).
+    """
+    blank = F.lit(False)
+    for name in stated:
+        text = F.trim(F.coalesce(F.col(name).cast("string"), F.lit("")))
+        blank = blank | (text == "") | F.upper(text).startswith("TODO")
+    told = attestations.groupBy("dataset_id").agg(F.bool_or(~blank).alias("complete"))
+    kinds = records.groupBy("dataset_id").agg(
+        F.count("*").alias("n_records"), F.bool_and(F.coalesce(F.col("dataset_provenance") == synthetic, F.lit(False))).alias("_s"),
+        F.bool_and(F.coalesce(F.col("dataset_provenance") == deidentified, F.lit(False))).alias("_d"),
+    )
+    complete = F.coalesce("complete", F.lit(False))
+    reason = F.when(F.col("_s"), "synthetic").when(F.col("_d") & complete, "attested").when(F.col("_d"), "attestation_missing").otherwise("provenance_unknown")
+    batches = kinds.join(told, "dataset_id", "left").withColumn("reason", reason).withColumn("accepted", F.col("reason").isin("synthetic", "attested"))
+    batches = batches.select("dataset_id", "n_records", "accepted", "reason")
+    return records.join(batches.where("accepted").select("dataset_id"), "dataset_id", "left_semi"), batches
+
+
+def retrieval_item(candidates: DataFrame) -> DataFrame:
+    """The fields of a retrieved item; review_status is put over the copy in meta (map<string, string>), unknown states and
+    kinds take their defaults."""
+    base = F.coalesce("meta", F.create_map().cast("map<string,string>"))
+    meta = F.map_concat(F.map_filter(base, lambda k, _: k != "review_status"), F.create_map(F.lit("review_status"), "review_status"))
+    return candidates.select(
+        "chunk_id", "score", "section_path", "section_number", "page_start", "page_end", "char_start", "char_end", "document_id", "document_title",
+        "document_version_id", "version_label", "effective_date", F.coalesce("status", F.lit("active")).alias("version_status"),
+        F.coalesce("chunk_type", F.lit("prose")).alias("chunk_type"), "text", "heading", meta.alias("meta"),
+    )
+
+
+def first_rule(rules: Sequence[tuple[Column, str]], otherwise: str) -> Column:
+    """The name of the first rule that holds; a null condition doesn't."""
+    out = F.lit(otherwise)
+    for holds, name in reversed(rules):
+        out = F.when(F.coalesce(holds, F.lit(False)), name).otherwise(out)
+    return out
+
+
 def in_scope_fields(vocabulary: DataFrame, listed: Sequence[str]) -> DataFrame:
     """Rows of which the field is listed, or lies under a listed prefix that ends in a point."""
     exact = [f for f in listed if not f.endswith(".")]

@@ -133,6 +133,19 @@ def popularity(gold: DataFrame, depth: int) -> DataFrame:
     return offered.withColumn("left", left).where("left > 0").withColumn("rank", rank).where(F.col("rank") <= depth).select("query_id", "item_id", "rank")
 
 
+def reference_drafts(cited: DataFrame, passages: DataFrame, share: float, excerpt: int = 240) -> DataFrame:
+    """area, item_id, n, answered, share, include, excerpt: per area the passages cited by its answers, those cited by at least
+    `share` of them proposed. cited: area, query_id, item_id, any number of rows a citation; an answer is a query with a
+    citation. Passages (item_id, text) that are gone are left out; the excerpt has single blanks."""
+    once = cited.where("area is not null").select("area", "query_id", "item_id").distinct()
+    answered = once.groupBy("area").agg(F.count_distinct("query_id").alias("answered"))
+    counts = once.groupBy("area", "item_id").agg(F.count("*").alias("n"))
+    part = F.col("n") / F.col("answered")
+    text = F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, excerpt)
+    joined = counts.join(answered, "area").join(passages, "item_id")
+    return joined.select("area", "item_id", "n", "answered", F.round(part, 6).alias("share"), (part >= share).alias("include"), text.alias("excerpt"))
+
+
 def loci(gold: DataFrame, predicted: DataFrame, tolerance: int = 0) -> DataFrame:
     """gold citations (query_id, chunk_id, page) with the first prediction of the same chunk and whether the page fits."""
     first = predicted.groupBy("query_id", "chunk_id").agg(F.min_by("page", "position").alias("predicted_page"))

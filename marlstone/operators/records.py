@@ -72,6 +72,53 @@ def mapped_fields(criteria: DataFrame, synonyms: DataFrame) -> DataFrame:
     return criteria.join(best, "field", "left")
 
 
+def area_question(
+    records: DataFrame, openings: Mapping[str, str], facts: Mapping[str, Sequence[str]], bands: DataFrame, repeats: int = 1, prefix: str = "", suffix: str = ""
+) -> DataFrame:
+    """key, area, text: the question of each area about each record, its opening `repeats` times, then only the area's facts.
+
+    records: key, age_days, gestation, setting, weight_now, weight_birth (grams), factors (array<struct<name, status>>),
+    vitals (map of names to numbers). facts: area -> of age_band, age, gestation, setting, weight, factors, vitals. An
+    unknown fact leaves no line; the current weight goes before that at birth, which is noted behind it.
+    """
+    listed = banded(records, bands, "age_days") if bands is not None else records.withColumn("band", F.lit(None).cast("string"))
+    kilos = lambda c: F.regexp_replace(F.format_string("%.3f", F.col(c).cast("double") / 1000), r"\.?0+$", "")
+    now, birth = F.col("weight_now"), F.col("weight_birth")
+    note = F.when(now.isNull(), "birth weight").when(birth.isNotNull(), F.concat(F.lit("current weight; birth weight "), kilos("weight_birth"), F.lit(" kg"))).otherwise("current weight")
+    weight = F.when(F.coalesce(now, birth).isNotNull(), F.concat(F.lit("Weight (kg): "), F.when(now.isNotNull(), kilos("weight_now")).otherwise(kilos("weight_birth")), F.lit(" ("), note, F.lit(")")))
+    factors = F.array_join(F.transform(F.filter("factors", lambda f: f["status"] != "not assessed"), lambda f: F.concat_ws(": ", f["name"], f["status"])), "; ")
+    vitals = F.array_join(F.transform(F.array_sort(F.map_entries("vitals")), lambda e: F.concat_ws(" ", e["key"], e["value"].cast("string"))), ", ")
+    out = None
+    for area, opening in openings.items():
+        has = set(facts[area])
+        aged = F.col("age_days").isNotNull()
+        parts = []
+        if "age_band" in has:
+            parts.append(F.when(aged, F.concat_ws("", F.lit("is aged "), "age_days", F.lit(" days"), F.when(F.col("band").isNotNull(), F.concat(F.lit(" ("), "band", F.lit(")"))))))
+        elif "age" in has:
+            parts.append(F.when(aged, F.concat_ws(" ", F.lit("is"), "age_days", F.lit("days old"))))
+        if "gestation" in has:
+            parts.append(F.when(F.col("gestation").isNotNull(), F.concat_ws(" ", F.lit("born at"), F.col("gestation").cast("string"), F.lit("weeks gestation"))))
+        if "setting" in has:
+            parts.append(F.when(F.coalesce("setting", F.lit("")) != "", F.concat_ws(" ", F.lit("currently in"), "setting")))
+        told = F.array_compact(F.array(*parts)) if parts else F.array().cast("array<string>")
+        lines = [F.lit(f"{prefix}{opening}{suffix}\n")] * repeats
+        lines.append(F.when(F.size(told) > 0, F.concat(F.lit("The newborn patient "), F.array_join(told, ", "), F.lit("."))))
+        lines.append(weight if "weight" in has else F.lit(None).cast("string"))
+        lines.append(F.when(factors != "", F.concat(F.lit("Maternal risk factors: "), factors)) if "factors" in has else F.lit(None).cast("string"))
+        lines.append(F.when(vitals != "", F.concat(F.lit("Vitals: "), vitals)) if "vitals" in has else F.lit(None).cast("string"))
+        part = listed.select("key", F.lit(area).alias("area"), F.array_join(F.array_compact(F.array(*lines)), "\n").alias("text"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def snapshots(records: DataFrame, digest: Column) -> DataFrame:
+    """mrn_hash, snapshot_no, record_id: the records of each patient, told by a keyed digest, in the order in which they came."""
+    rows = records.select(digest.alias("mrn_hash"), "record_id", "ingested_at").distinct()
+    order = Window.partitionBy("mrn_hash").orderBy(F.col("ingested_at").asc_nulls_first(), "record_id")
+    return rows.withColumn("snapshot_no", F.row_number().over(order)).select("mrn_hash", "snapshot_no", "record_id")
+
+
 def evaluated(criteria: DataFrame, known: DataFrame) -> DataFrame:
     """criteria (criterion_id, path, operator, value) against features (key, path, num): key, criterion_id, matched;
     matched is null where the path is unknown, the feature is absent or is no number."""
@@ -172,6 +219,39 @@ def similar_records(rows: DataFrame, threshold: float, tolerances: Mapping[str,
     return links.join(left, "a").join(right, "b").where(fits).select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
 
 
+def similar_links(rows: DataFrame, threshold: float, tolerances: Mapping[str, float]) -> DataFrame:
+    """id, n_links, closest of the records that similar_records() would link, without a row per pair of records.
+
+    Records alike in findings and in every vital are one class, and classes meet: those of linked sets whose first vital
+    lies in the same or a neighbouring bucket of its tolerance, or is unknown. What a class links to counts for all its
+    records; copies of one record count as each other's links.
+    """
+    vitals = list(tolerances)
+    keyed = rows.where(F.size("findings") > 0).withColumn("findings", F.array_sort(F.array_distinct("findings")))
+    keyed = keyed.withColumn("set_key", F.array_join("findings", "\x01"))
+    links = similar_sets(keyed.select("set_key", "findings").distinct(), threshold)
+    classes = keyed.groupBy("set_key", *vitals).agg(F.count("*").alias("n")).withColumn("class", F.xxhash64("set_key", *vitals))
+    first = vitals[0] if vitals else None
+    # An unknown first vital fits any: such a class stands in the bucket -1 of every class besides its own place.
+    bucket = F.floor(F.col(first) / tolerances[first]).cast("bigint") if first else F.lit(0).cast("bigint")
+    left = classes.select(F.col("set_key").alias("a"), F.col("class").alias("class_a"), *[F.col(v).alias(f"{v}_a") for v in vitals], F.explode(F.when(bucket.isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("known"), bucket.alias("_k"))
+    left = left.select("*", F.explode(F.when((F.col("known") == 1), F.array(F.col("_k") - 1, F.col("_k"), F.col("_k") + 1)).otherwise(F.array(F.lit(None).cast("bigint")))).alias("_bucket"))
+    right = classes.select(F.col("set_key").alias("b"), F.col("class").alias("class_b"), F.col("n").alias("n_b"), *[F.col(v).alias(f"{v}_b") for v in vitals], bucket.alias("_bucket"))
+    fits = F.lit(True)
+    for name, within in tolerances.items():
+        fits = fits & F.coalesce(F.abs(F.col(f"{name}_a") - F.col(f"{name}_b")) <= within, F.lit(True))
+    near = links.join(left.where("known = 1"), "a").join(right.where("_bucket is not null"), ["b", "_bucket"])
+    # A known value with an unknown one, and an unknown one with everything.
+    half = links.join(left.where("known = 0 and _k is not null").drop("_bucket"), "a").join(right.where("_bucket is null").drop("_bucket"), "b")
+    open_ = links.join(left.where("_k is null").drop("_bucket"), "a").join(right.drop("_bucket"), "b")
+    columns = ["class_a", "class_b", "n_b", "similarity"]
+    met = near.where(fits).select(*columns).unionByName(half.where(fits).select(*columns)).unionByName(open_.where(fits).select(*columns))
+    own = (F.col("class_a") == F.col("class_b")).cast("bigint")
+    counted = met.groupBy("class_a").agg(F.sum(F.col("n_b") - own).alias("n_links"), F.max(F.when((F.col("n_b") - own) > 0, F.col("similarity"))).alias("closest"))
+    named = keyed.select("id", F.xxhash64("set_key", *vitals).alias("class_a"))
+    return named.join(counted.where("n_links > 0"), "class_a").select("id", "n_links", F.round("closest", 6).alias("closest"))
+
+
 def link_counts(pairs: DataFrame) -> DataFrame:
     """id, n_links, closest of the records that have links, from pairs id_a, id_b, similarity."""
     sides = F.array(F.col("id_a"), F.col("id_b"))

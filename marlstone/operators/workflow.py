@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -76,6 +76,55 @@ def anchored_windows(events: DataFrame, key: str, at: str, failed: str, limit: i
     return ordered.mapInPandas(go, f"k {kinds[key]}, t {kinds[at]}, count int, blocked boolean").select(F.col("k").alias(key), F.col("t").alias(at), "count", "blocked")
 
 
+def replayed(log: DataFrame, transitions: Sequence[tuple[str, str, str]], start: str, entity: str, order: Sequence[str], action: str) -> DataFrame:
+    """log with before, after, accepted: the actions of each entity replayed in order from the state `start`.
+
+    transitions: (state, action, next state), a settings list. An action that the state doesn't allow is refused and changes
+    nothing. The rows of an entity pass through one sorted task as a stream, with its state alone in memory.
+    """
+    table = {(state, name): after for state, name, after in transitions}
+    columns = log.columns
+
+    def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current: object = None
+        seen = False
+        state = start
+        for frame in frames:
+            before, after, accepted = [], [], []
+            for key, name in zip(frame[entity], frame[action], strict=True):
+                if not seen or key != current:
+                    current, state, seen = key, start, True
+                to = table.get((state, name))
+                before.append(state)
+                accepted.append(to is not None)
+                state = state if to is None else to
+                after.append(state)
+            yield frame.assign(before=before, after=after, accepted=accepted)
+
+    rows = log.where(F.col(entity).isNotNull()).repartition(entity).sortWithinPartitions(entity, *order)
+    kinds = ", ".join(f"`{n}` {t}" for n, t in log.dtypes)
+    return rows.mapInPandas(go, f"{kinds}, before string, after string, accepted boolean").select(*columns, "before", "after", "accepted")
+
+
+def validity(replay: DataFrame, entity: str, at: str, order: Sequence[str], closed: Sequence[str]) -> DataFrame:
+    """entity, state, n_accepted, n_refused, valid_to: where a replay ended; valid_to is the time of the accepted action that
+    brought a closed state, null while the entity is open. Rows are never deleted, so the log remains the history."""
+    last = F.max_by("after", F.struct(*order))
+    ended = F.max(F.when(F.col("accepted") & F.col("after").isin(list(closed)), F.col(at)))
+    out = replay.groupBy(entity).agg(last.alias("state"), F.count_if("accepted").alias("n_accepted"), F.count_if(~F.col("accepted")).alias("n_refused"), ended.alias("_ended"))
+    return out.withColumn("valid_to", F.when(F.col("state").isin(list(closed)), F.col("_ended"))).drop("_ended")
+
+
+def compared_gaps(pinned: Mapping[str, int], current: DataFrame) -> DataFrame:
+    """name, now, pinned, level of current (name, n): a count above its pin fails, another that isn't 0 warns, 0 is fine; what
+    isn't pinned is pinned at 0."""
+    pin = F.lit(0)
+    for name, n in pinned.items():
+        pin = F.when(F.col("name") == name, n).otherwise(pin)
+    level = F.when(F.col("n") > pin, "fail").when(F.col("n") > 0, "warn").otherwise("ok")
+    return current.select("name", F.col("n").alias("now"), pin.cast("bigint").alias("pinned"), level.alias("level"))
+
+
 GENESIS = "0" * 64
 
 

@@ -7,12 +7,15 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions import text as X
 from marlstone.functions.text import words_of
 from marlstone.operators import eav
 from marlstone.operators import filters as P
 from marlstone.operators import records as N
+from marlstone.operators import selection as Z
+from marlstone.operators import workflow as W
 from marlstone.plans.eav_queries import _CELLS
-from marlstone.session import cut, shared_folder
+from marlstone.session import cut, shared_folder, small_rows
 from marlstone.sources import readers
 from marlstone.tables import table
 
@@ -195,15 +198,32 @@ def flt6_row_scope(spark: SparkSession, d: str) -> DataFrame:
     return readers.scoped(table(spark, d, "orders"), "o_custkey", 7).select("o_orderkey", "o_orderstatus")
 
 
-@query("""select dataset_id, count(*) as n_records, count(*) filter (where coalesce(trim(mrn), '') = '' or upper(trim(mrn)) like 'TODO%' or coalesce(trim(patient_id), '') = '' or upper(trim(patient_id)) like 'TODO%') as n_blank,
- count(*) filter (where coalesce(trim(mrn), '') = '' or upper(trim(mrn)) like 'TODO%' or coalesce(trim(patient_id), '') = '' or upper(trim(patient_id)) like 'TODO%') = 0 as accepted from patient_record group by 1""")
-def flt7_batch_guard(spark: SparkSession, d: str) -> DataFrame:
-    return P.batch_faults(table(spark, d, "patient_record"), ["mrn", "patient_id"])
+_STATED = {0: "known", 1: "known", 2: "TODO_CONFIRM", 3: " "}
 
 
-@query(f"with {_ITEMS} select chunk_id, document_title, coalesce(review_status, 'none') as review_status, coalesce(topic_tags[1], '') as first_tag from items")
+@query("""with r as (select distinct record_id, record_key, ascii(right(record_key, 1)) % 7 as b, dataset_provenance from patient_record), x as (select record_id, 'batch-' || b as dataset_id, case when b = 5 then 'synthetic' when b = 6 and record_id < '8' then null else dataset_provenance end as p, b from r),
+g as (select dataset_id, count(*) as n_records, bool_and(coalesce(p = 'synthetic', false)) as s, bool_and(coalesce(p = 'deidentified-anonymised', false)) as d, min(b) as b from x group by 1)
+select dataset_id, n_records, s or (d and b in (0, 1)) as accepted, case when s then 'synthetic' when d and b in (0, 1) then 'attested' when d then 'attestation_missing' else 'provenance_unknown' end as reason from g""")
+def flt7_batch_guard(spark: SparkSession, d: str) -> DataFrame:
+    """Seven batches of the records: two attested, two with a gap, one without an attestation, one synthetic, one of unknown origin."""
+    b = F.ascii(F.right("record_key", F.lit(1))) % 7
+    r = table(spark, d, "patient_record").select("record_id", "record_key", "dataset_provenance").distinct()
+    p = F.when(b == 5, "synthetic").when((b == 6) & (F.col("record_id") < "8"), F.lit(None)).otherwise(F.col("dataset_provenance"))
+    records = r.select("record_id", F.concat(F.lit("batch-"), b).alias("dataset_id"), p.alias("dataset_provenance"))
+    told = spark.createDataFrame([(f"batch-{k}", *["known"] * (len(P.ATTESTED) - 1), v) for k, v in _STATED.items()], ", ".join(f"{c} string" for c in ("dataset_id", *P.ATTESTED)))
+    return P.guarded(records, told, "synthetic", "deidentified-anonymised")[1]
+
+
+@query("""with c as (select distinct on (chunk_id) * from chunk where text is not null order by chunk_id), v as (select document_version_id, max(document_id) as document_id, max(title) as document_title, max(version_label) as version_label, max(effective_date) as effective_date, max(status) as status from document_version group by 1)
+select chunk_id, 0.5::double as score, section_path, section_number, page_start, page_end, char_start, char_end, document_id, document_title, c.document_version_id, version_label, effective_date, coalesce(status, 'active') as version_status,
+ coalesce(chunk_type, 'prose') as chunk_type, text, null::varchar as heading, 'kept|' || coalesce(case when ordinal % 3 = 0 then 'confirmed' end, 'none') as meta from c join v using (document_version_id)""")
 def flt8_item_projection(spark: SparkSession, d: str) -> DataFrame:
-    return _items(spark, d).select("chunk_id", "document_title", F.coalesce("review_status", F.lit("none")).alias("review_status"), F.coalesce(F.get("topic_tags", F.lit(0)), F.lit("")).alias("first_tag"))
+    c = table(spark, d, "chunk").where("text is not null").dropDuplicates(["chunk_id"])
+    v = table(spark, d, "document_version").groupBy("document_version_id").agg(*[F.max(a).alias(b) for a, b in (("document_id", "document_id"), ("title", "document_title"), ("version_label", "version_label"), ("effective_date", "effective_date"), ("status", "status"))])
+    meta = F.create_map(F.lit("note"), F.lit("kept"), F.lit("review_status"), F.lit("stale"))
+    found = c.join(v, "document_version_id").withColumns({"score": F.lit(0.5), "heading": F.lit(None).cast("string"), "meta": meta, "review_status": F.when(F.col("ordinal") % 3 == 0, "confirmed")})
+    item = P.retrieval_item(found)
+    return item.withColumn("meta", F.concat_ws("|", F.col("meta")["note"], F.coalesce(F.col("meta")["review_status"], F.lit("none"))))
 
 
 @query("select field_name, target from eav_field_spec where target in ('sex') or starts_with(target, 'encounter.') or starts_with(target, 'vitals.')")
@@ -283,7 +303,7 @@ from f a join f b on a.id < b.id where len(a.findings) > 0 and len(b.findings) >
 select id, count(*) as n_links, max(similarity) as closest from (select id_a as id, similarity from pairs union all select id_b, similarity from pairs) group by 1""")
 def joi8_similar_records(spark: SparkSession, d: str) -> DataFrame:
     """Records that resemble others, with the number of their links: one row a record, not a row a pair."""
-    return N.link_counts(N.similar_records(_findings(spark, d), 0.8, TOLERANCES))
+    return N.similar_links(_findings(spark, d), 0.8, TOLERANCES)
 
 
 @query("""with c as (select distinct chunk_id, sha256(chunk_id) as h from chunk), s as (select substr(md5(chunk_id), 1, 1) as name, case when ordinal = 1 then 'gone' else sha256(chunk_id) end as h from (select distinct chunk_id, ordinal from chunk))
@@ -300,6 +320,8 @@ def joi11_reference_sets(spark: SparkSession, d: str) -> DataFrame:
 @query("""select 'question_record' as link, count(*) as n from (select distinct source_record_id from eval_question where source_record_id is not null) q where not exists (select 1 from patient_record p where p.record_id = q.source_record_id)
 union all select 'result_question', count(*) from (select distinct question_id from result_rating_summary where question_id is not null) s where not exists (select 1 from eval_question q where q.question_id = s.question_id)
 union all select 'version_supersedes', count(*) from (select distinct supersedes_id from document_version where supersedes_id is not null) s where not exists (select 1 from document_version v where v.document_version_id = s.supersedes_id)
+union all select 'chunk_active_version', count(*) from (select distinct document_version_id from chunk where document_version_id is not null) c where not exists (select 1 from document_version v where v.document_version_id = c.document_version_id and v.status = 'active')
+union all select 'rating_result', count(*) from (select distinct result_id from rubric_rating where result_id is not null) r where not exists (select 1 from result_rating_summary s where s.result_id = r.result_id)
 union all select 'slice_result', count(*) from (select distinct unnest(result_ids) as result_id from irr_domain_score) s where result_id is not null and not exists (select 1 from result_rating_summary r where r.result_id = s.result_id)""")
 def joi12_broken_links(spark: SparkSession, d: str) -> DataFrame:
     t = lambda n: table(spark, d, n)
@@ -307,6 +329,8 @@ def joi12_broken_links(spark: SparkSession, d: str) -> DataFrame:
         ("question_record", t("eval_question").select(F.col("source_record_id").alias("k")), t("patient_record").select(F.col("record_id").alias("k"))),
         ("result_question", t("result_rating_summary").select(F.col("question_id").alias("k")), t("eval_question").select(F.col("question_id").alias("k"))),
         ("version_supersedes", t("document_version").select(F.col("supersedes_id").alias("k")), t("document_version").select(F.col("document_version_id").alias("k"))),
+        ("chunk_active_version", t("chunk").select(F.col("document_version_id").alias("k")), t("document_version").where("status = 'active'").select(F.col("document_version_id").alias("k"))),
+        ("rating_result", t("rubric_rating").select(F.col("result_id").alias("k")), t("result_rating_summary").select(F.col("result_id").alias("k"))),
         ("slice_result", t("irr_domain_score").select(F.explode("result_ids").alias("k")), t("result_rating_summary").select(F.col("result_id").alias("k"))),
     ]
     out = None
@@ -316,6 +340,16 @@ def joi12_broken_links(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+PINNED = {"chunk_active_version": 100_000, "question_record": 1, "rating_result": 0}
+_PINNED = " ".join(f"when '{k}' then {v}" for k, v in PINNED.items())
+
+
+@query(SQL["joi12_broken_links"].join(["select link as name, n as now, pinned, case when n > pinned then 'fail' when n > 0 then 'warn' else 'ok' end as level from (select *, (case link " + _PINNED + " else 0 end)::bigint as pinned from (", "))"]))
+def agg18_known_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of broken links against what is pinned for them."""
+    return W.compared_gaps(PINNED, joi12_broken_links(spark, d).withColumnRenamed("link", "name"))
+
+
 @query("""with s as (select document_version_id, chunk_id, row_number() over (partition by document_version_id order by ordinal, chunk_id) as i from (select distinct document_version_id, chunk_id, ordinal from chunk)),
 q as (select document_version_id, case when i % 2 = 0 then 'c' || i else chunk_id end as label from s union all select document_version_id, 'c999' from s)
 select q.document_version_id, q.label, coalesce(a.chunk_id, b.chunk_id) as chunk_id from (select distinct * from q) q left join s a on a.document_version_id = q.document_version_id and q.label = 'c' || a.i left join s b on b.document_version_id = q.document_version_id and q.label = b.chunk_id""")
@@ -398,11 +432,26 @@ def set6_ordered_distinct(spark: SparkSession, d: str) -> DataFrame:
     return first.groupBy("user_id").agg(F.array_join(F.transform(ordered, lambda x: x["event_type"]), ",").alias("kinds"))
 
 
-@query(_CELLS + " select record_key, count(*) filter (where reading <> chr(0)) as n_known, count(*) as n_cells from cell group by 1")
+_NESTED = _CELLS + """, w as (select record_key, max(case when field_name = 'age_days' and reading <> chr(0) then reading end)::int as dol, max(case when field_name = 'admission_date_time' and reading <> chr(0) then reading end)::timestamp as adm,
+  max(case when field_name = 'sex' and reading <> chr(0) then reading end) as sex, round(max(case when field_name = 'birth_weight' and reading <> chr(0) then reading end)::double * 1000, 1) as bw,
+  max(case when field_name = 'heart_rate' and reading <> chr(0) then reading end)::double as hr, bool_or(field_name in ('weight_now', 'heart_rate', 'respiratory_rate', 'oxygen_saturation', 'temparature', 'capillary_refill') and reading <> chr(0)) as vit,
+  list_aggregate(list_sort(list(field_name || ':' || reading) filter (where field_name in ('antibiotics', 'cpap', 'feeds', 'fluids', 'oxygen') and reading <> chr(0))), 'string_agg', ',') as interventions,
+  list_aggregate(list_sort(list(field_name || ':' || reading) filter (where field_name in ('maternal_infection', 'prom') and reading <> chr(0))), 'string_agg', ',') as risk from cell group by 1)"""
+
+
+@query(_NESTED + """ select k.record_key, 'newborn-' || k.record_key as record_id, 'DEID-' || k.record_key as mrn, '1.4.0' as schema_version, sex, dol as day_of_life, bw as birth_weight_g, coalesce(vit, false)::int as n_vitals, case when vit then hr end as heart_rate_bpm, case when vit then adm end as recorded_at,
+ coalesce(interventions, '') as interventions, coalesce(risk, '') as maternal_risk_factors, (adm::date - dol)::date as date_of_birth
+from (select distinct trim(key) as record_key from newborn_nbu_2021 where trim(key) <> '') k left join w using (record_key)""")
 def rec1_mapped_records(spark: SparkSession, d: str) -> DataFrame:
-    listed = eav.fields(table(spark, d, "eav_field_spec"))
-    cells = eav.compacted_cells(table(spark, d, "newborn_nbu_2021"), listed)
-    return cells.groupBy("record_key").agg(F.count("cell.reading").alias("n_known"), F.count("*").alias("n_cells"))
+    """The nested records, looked into: single values, the entry of vitals, what was assessed, the derived day of birth."""
+    identity = {"record_id": "newborn-{key}", "mrn": "DEID-{key}", "schema_version": "1.4.0", "dataset_provenance": "deidentified-anonymised"}
+    r = eav.nested(_wide(spark, d), table(spark, d, "eav_field_spec"), identity, {"feeding_plan": "none"})
+    told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["name"], x["present"].cast("string"))), ",").alias(c)
+    vital = F.get("vitals", F.lit(0))
+    return r.select(
+        "record_key", "record_id", "mrn", "schema_version", "sex", "encounter.day_of_life", "encounter.birth_weight_g", F.size("vitals").alias("n_vitals"),
+        vital["heart_rate_bpm"].alias("heart_rate_bpm"), vital["recorded_at"].alias("recorded_at"), told("interventions"), told("maternal_risk_factors"), "date_of_birth",
+    )
 
 
 _NUMBERS = ["heart_rate", "temparature", "respiratory_rate", "age_days"]
@@ -484,24 +533,53 @@ def rec8_missing_paths(spark: SparkSession, d: str) -> DataFrame:
     return N.missing_paths(required, known)
 
 
-@query("select md5(mrn) as mrn_hash, count(*) as n_snapshots, max(record_id) as last_record from (select distinct record_id, mrn from patient_record) group by 1")
+KEY = b"an example key"
+_PADS = [p.hex() for p in X.key_pads(KEY)]
+
+
+@query(f"""with r as (select distinct record_id, mrn, ingested_at from patient_record), h as (select *, sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(mrn)))) as mrn_hash from r)
+select mrn_hash, row_number() over (partition by mrn_hash order by ingested_at nulls first, record_id)::int as snapshot_no, record_id from h""")
 def rec9_patient_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "patient_record").select("record_id", "mrn").distinct()
-    return r.groupBy(F.md5("mrn").alias("mrn_hash")).agg(F.count("*").alias("n_snapshots"), F.max("record_id").alias("last_record"))
+    """Patients by a keyed digest of their number, their records as snapshots in order."""
+    return N.snapshots(table(spark, d, "patient_record"), X.keyed_digest(F.col("mrn"), KEY))
 
 
 BANDS = [("newborn", None, 7.0), ("late newborn", 7.0, 28.0), ("infant", 28.0, None)]
 _BANDS = ", ".join("(" + ", ".join("null" if x is None else repr(x) for x in b) + ")" for b in BANDS)
 
 
-@query(_CELLS + f""", a as (select record_key, max(case when field_name = 'age_days' and reading <> chr(0) then reading end)::int as age_days, max(case when field_name = 'sex' and reading <> chr(0) then reading end) as sex from cell group by 1), b(band, low, high) as (values {_BANDS})
-select record_key, concat_ws(', ', 'aged ' || age_days || ' days (' || band || ')', sex) as sentence from a left join b on (low is null or age_days >= low) and (high is null or age_days < high)""")
+OPENINGS = {"feeding": "starting feeds", "antibiotics": "the course of antibiotics"}
+FACTS = {"feeding": ["age_band", "gestation", "weight", "factors", "vitals"], "antibiotics": ["age", "setting", "weight"]}
+_KG = "regexp_replace(printf('%.3f', {0} / 1000), '\\.?0+$', '')"
+
+
+@query(_CELLS + f""", a as (select record_key, max(case when field_name = 'age_days' and reading <> chr(0) then reading end)::int as age, max(case when field_name = 'gestational_age' and reading <> chr(0) then reading end)::double as ga,
+  max(case when field_name = 'care_setting' and reading <> chr(0) then reading end) as setting, round(max(case when field_name = 'weight_now' and reading <> chr(0) then reading end)::double * 1000, 1) as wn,
+  round(max(case when field_name = 'birth_weight' and reading <> chr(0) then reading end)::double * 1000, 1) as wb, max(case when field_name = 'heart_rate' and reading <> chr(0) then reading end)::double as hr,
+  max(case when field_name = 'maternal_infection' and reading <> chr(0) then reading end) as mi, max(case when field_name = 'prom' and reading <> chr(0) then reading end) as pr from cell group by 1),
+b(band, low, high) as (values {_BANDS}), k as (select * from (select distinct trim(key) as record_key from newborn_nbu_2021 where trim(key) <> '') left join a using (record_key)),
+bd as (select k.*, case when age is not null then (select band from b where (low is null or age >= low) and (high is null or age < high)) end as band from k),
+w as (select *, case when coalesce(wn, wb) is not null then 'Weight (kg): ' || {_KG.format('coalesce(wn, wb)')} || ' (' || case when wn is null then 'birth weight' when wb is not null then 'current weight; birth weight ' || {_KG.format('wb')} || ' kg' else 'current weight' end || ')' end as weight,
+  concat_ws('; ', case when mi is not null then 'maternal_infection: ' || case mi when 'true' then 'present' else 'absent' end end, case when pr is not null then 'prom: ' || case pr when 'true' then 'present' else 'absent' end end) as factors from bd),
+q as (select record_key as key, 'feeding' as area, concat_ws(chr(10), 'About starting feeds?' || chr(10), 'About starting feeds?' || chr(10), 'The newborn patient ' || nullif(concat_ws(', ', 'is aged ' || age || ' days' || coalesce(' (' || band || ')', ''), 'born at ' || ga || ' weeks gestation'), '') || '.', weight,
+   'Maternal risk factors: ' || nullif(factors, ''), 'Vitals: heart_rate ' || hr) as text from w
+ union all select record_key, 'antibiotics', concat_ws(chr(10), 'About the course of antibiotics?' || chr(10), 'About the course of antibiotics?' || chr(10), 'The newborn patient ' || nullif(concat_ws(', ', 'is ' || age || ' days old', 'currently in ' || nullif(setting, '')), '') || '.', weight) from w)
+select key, area, sha256(text) as digest from q""")
 def rec10_area_question(spark: SparkSession, d: str) -> DataFrame:
-    banded = N.banded(_wide(spark, d), spark.createDataFrame(BANDS, "band string, low double, high double"), "age_days")
-    aged = F.concat(F.lit("aged "), "age_days", F.lit(" days ("), "band", F.lit(")"))
-    keyed = banded.where("age_days is not null or band = 'newborn' or band is null")
-    none = F.col("age_days").isNull()
-    return keyed.select("record_key", F.concat_ws(", ", F.when(~none, aged), "sex").alias("sentence")).distinct()
+    """Two areas' questions about every record, the opening twice."""
+    return _questions(spark, d, 2).select("key", "area", F.sha2("text", 256).alias("digest"))
+
+
+def _questions(spark: SparkSession, d: str, repeats: int) -> DataFrame:
+    w = _wide(spark, d)
+    vitals = F.map_filter(F.create_map(F.lit("heart_rate"), F.col("heart_rate")), lambda _, v: v.isNotNull())
+    records = w.select(
+        F.col("record_key").alias("key"), "age_days", F.col("gestational_age").alias("gestation"), F.col("care_setting").alias("setting"), F.col("weight_now"), F.col("birth_weight").alias("weight_birth"),
+        F.col("maternal_risk_factors").alias("factors"), vitals.alias("vitals"),
+    )
+    bands = spark.createDataFrame(BANDS, "band string, low double, high double")
+    known = N.area_question(records.where("age_days is not null"), OPENINGS, FACTS, bands, repeats, "About ", "?")
+    return known.unionByName(N.area_question(records.where("age_days is null"), OPENINGS, FACTS, None, repeats, "About ", "?"))
 
 
 @query("select user_id, string_agg(event_type, ' ' order by ts, event_id) as transcript, count(*) as turns from events group by 1")
@@ -511,13 +589,97 @@ def rec13_transcript(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.transform(turns, lambda x: x["event_type"]), " ").alias("transcript"), F.count("*").alias("turns"))
 
 
-@query("""select o_orderkey, case when o_orderstatus = 'F' then 'accepted' when o_orderstatus = 'P' then 'expired' else 'provisional' end as state, case when o_orderstatus = 'P' then timestamp '2000-01-01' end as valid_to from orders""")
+#: An order of events as a log of decisions on provisional rows: what each event asks for, and where it may lead.
+DECISIONS = [("provisional", "view", "provisional"), ("provisional", "purchase", "accepted"), ("provisional", "click", "edited"), ("edited", "purchase", "accepted"), ("provisional", "error", "expired"), ("edited", "error", "expired")]
+_WALK = """e as (select user_id, event_id, ts, event_type, row_number() over (partition by user_id order by ts, event_id) as i from events),
+t(s, a, n) as (values {0}),
+w as (select user_id, event_id, ts, i, event_type, '{1}' as before, coalesce((select n from t where s = '{1}' and a = event_type), '{1}') as after, exists(select 1 from t where s = '{1}' and a = event_type) as accepted from e where i = 1
+ union all select e.user_id, e.event_id, e.ts, e.i, e.event_type, w.after, coalesce(t.n, w.after), t.n is not null from w join e on e.user_id = w.user_id and e.i = w.i + 1 left join t on t.s = w.after and t.a = e.event_type)"""
+
+
+def _walk(transitions: list, start: str) -> str:
+    return "with recursive " + _WALK.format(", ".join(str(t) for t in transitions), start)
+
+
+def _replay(spark: SparkSession, d: str, transitions: list, start: str) -> DataFrame:
+    log = table(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
+    return W.replayed(log, transitions, start, "user_id", ["ts", "event_id"], "event_type")
+
+
+@query(_walk(DECISIONS, "provisional") + """, l as (select user_id, arg_max(after, i) as state, count(*) filter (where accepted) as n_accepted, count(*) filter (where not accepted) as n_refused, max(ts) filter (where accepted and after in ('accepted', 'expired')) as ended from w group by 1)
+select user_id, state, n_accepted, n_refused, case when state in ('accepted', 'expired') then ended end as valid_to from l""")
 def rec14_validity(spark: SparkSession, d: str) -> DataFrame:
-    s = F.col("o_orderstatus")
-    return table(spark, d, "orders").select(
-        "o_orderkey", F.when(s == "F", "accepted").when(s == "P", "expired").otherwise("provisional").alias("state"),
-        F.when(s == "P", F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")).alias("valid_to"),
-    )
+    """Where each user's log of decisions ended, and since when it is closed."""
+    return W.validity(_replay(spark, d, DECISIONS, "provisional"), "user_id", "ts", ["ts", "event_id"], ["accepted", "expired"])
+
+
+REVIEWS = [("pending", "view", "in_review"), ("in_review", "purchase", "confirmed"), ("in_review", "error", "rejected"), ("confirmed", "click", "pending"), ("rejected", "click", "pending")]
+
+
+@query(_walk(REVIEWS, "pending") + " select user_id, event_id, before, after, accepted from w")
+def stf8_transitions(spark: SparkSession, d: str) -> DataFrame:
+    """Review decisions replayed, each with the state it met and whether that allowed it."""
+    return _replay(spark, d, REVIEWS, "pending").select("user_id", "event_id", "before", "after", "accepted")
+
+
+DRAFTS = [("none", "signup", "draft"), ("none", "view", "draft"), ("draft", "click", "draft"), ("draft", "purchase", "submitted"), ("draft", "error", "none"), ("submitted", "signup", "none")]
+
+
+@query(_walk(DRAFTS, "none") + " select user_id, arg_max(after, i) as state, count(*) filter (where before <> 'draft' and after = 'draft') as n_drafts, count(*) filter (where before = 'draft' and after = 'none') as n_dropped from w group by 1")
+def stf5_drafts(spark: SparkSession, d: str) -> DataFrame:
+    """One draft at a time: begun, saved, submitted or dropped."""
+    r = _replay(spark, d, DRAFTS, "none")
+    n = lambda a, b: F.count_if((F.col("before") == a) & (F.col("after") == b))
+    begun = F.count_if((F.col("before") != "draft") & (F.col("after") == "draft"))
+    return r.groupBy("user_id").agg(F.max_by("after", F.struct("ts", "event_id")).alias("state"), begun.alias("n_drafts"), n("draft", "none").alias("n_dropped"))
+
+
+_PICKS = _FLAGS + """,
+cat as (select record_key as id, max(case when field_name = 'triage_category' and reading <> chr(0) then reading end) as category from cell group by 1),
+k as (select distinct trim(key) as id from newborn_nbu_2021 where trim(key) <> ''),
+cd as (select k.id, category, coalesce(findings, []) as findings, heart_rate, temparature, md5('7|' || k.id) as o from k left join f using (id) left join cat using (id) where category is not null),
+loops(loop, pos, target) as (values @LOOPS@),
+steps as (select loop, target, category, id, findings, heart_rate, temparature, row_number() over (order by pos, category, o, id) as i from loops, cd),
+walk as (select 0::bigint as i, ''::varchar as loop, ''::varchar as category, ''::varchar as id, 0 as have, false as take, []::struct(id varchar, f varchar[], h double, t double)[] as acc
+ union all select s.i, s.loop, s.category, s.id, case when s.loop = w.loop and s.category = w.category then w.have else 0 end + ok::int, ok, case when ok then list_append(w.acc, struct_pack(id := s.id, f := s.findings, h := s.heart_rate, t := s.temparature)) else w.acc end
+ from walk w join lateral (select s.*, (case when s.loop = w.loop and s.category = w.category then w.have else 0 end) < s.target and len(list_filter(w.acc, lambda a: a.id = s.id or (len(a.f) > 0 and len(s.findings) > 0 and len(list_intersect(a.f, s.findings)) >= 0.8 * (len(a.f) + len(s.findings) - len(list_intersect(a.f, s.findings)))
+   and coalesce(abs(a.h - s.heart_rate) <= 15, true) and coalesce(abs(a.t - s.temparature) <= 0.5, true)))) = 0 as ok from steps s where s.i = w.i + 1) s on true),
+picks as (select loop, category, have as pick, id from walk where take)"""
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    present = F.array_compact(F.array(*[F.when(F.col(x), F.lit(x)) for x in _FINDINGS]))
+    return _wide(spark, d).select(F.col("record_key").alias("id"), F.col("triage_category").alias("category"), present.alias("findings"), "heart_rate", "temparature")
+
+
+def _plan(spark: SparkSession, d: str, loops: list[tuple[str, int]]) -> tuple[DataFrame, DataFrame]:
+    held = cut(_candidates(spark, d))
+    names = sorted(r.category for r in small_rows(held.where("category is not null").select("category").distinct(), 1000))
+    return Z.picked(held, [Z.Loop(name, dict.fromkeys(names, n)) for name, n in loops], F.md5(F.concat(F.lit("7|"), "id")), 0.8, TOLERANCES)
+
+
+_recursive = lambda sql: "with recursive" + sql.strip().removeprefix("with")
+
+
+@query(_recursive(_PICKS.replace("@LOOPS@", "('triage', 1, 12)")) + """, want as (select distinct category from cd)
+select category, coalesce(max(pick), 0)::int as picked, 12 - coalesce(max(pick), 0)::int as missing, list_aggregate(list_sort(list(pick || ':' || id) filter (where id is not null)), 'string_agg', ' ') as ids from want left join picks using (category) group by 1""")
+def win16_stratified_picks(spark: SparkSession, d: str) -> DataFrame:
+    """Twelve records of each triage category in the order of a hash, none like an earlier pick, with the shortfall."""
+    picks, short = _plan(spark, d, [("triage", 12)])
+    listed = picks.groupBy("category").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "pick", "id"))), " ").alias("ids"))
+    return short.join(listed, "category", "left").select("category", (F.col("target") - F.col("missing")).alias("picked"), "missing", "ids")
+
+
+LOOPS = [("fixed", 2), ("review", 3), ("holdout", 3), ("four_area", 2), ("triage", 2)]
+_LOOPS = ", ".join(f"('{n}', {i}, {k})" for i, (n, k) in enumerate(LOOPS))
+
+
+@query(_recursive(_PICKS.replace("@LOOPS@", _LOOPS)) + " select loop, category, pick::int as pick, id, area from picks, (values ('feeding'), ('antibiotics')) a(area) where loop = 'four_area' or area = 'feeding'")
+def abl7_questions(spark: SparkSession, d: str) -> DataFrame:
+    """The plan of question loops: each takes records that no earlier one has, none like another; one of them asks every area."""
+    picks = _plan(spark, d, LOOPS)[0]
+    asks = _questions(spark, d, 1).select(F.col("key").alias("id"), "area", "text")
+    return picks.join(asks, "id").where("loop = 'four_area' or area = 'feeding'").where("text <> ''").select("loop", "category", "pick", "id", "area")
 
 
 @query("""select event_id, regexp_matches(props, '"k"') as forbidden from events""")

@@ -324,9 +324,12 @@ def txt25_digest(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunk").where("text is not null").select("chunk_id", "text").distinct().select("chunk_id", X.sha256(F.col("text")).alias("digest"))
 
 
-@query()
+_PADS = [p.hex() for p in X.key_pads(b"example")]
+
+
+@query(f"select distinct record_id, sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(mrn)))) as mrn_hash from patient_record")
 def txt26_keyed_digest(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "patient_record").select("record_id", X.keyed_digest(b"example")(F.col("mrn")).alias("mrn_hash")).distinct()
+    return table(spark, d, "patient_record").select("record_id", X.keyed_digest(F.col("mrn"), b"example").alias("mrn_hash")).distinct()
 
 
 @query()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import GROUNDING_STOPWORDS
 from marlstone.operators import agreement as A
+from marlstone.operators import filters as P
 from marlstone.operators import grounding as G
 from marlstone.operators import records as N
 from marlstone.operators import statistics as S
@@ -160,11 +161,6 @@ def stf4_rating_replay(spark: SparkSession, d: str) -> DataFrame:
     return W.archived(_rounds(spark, d))
 
 
-@query("select domain_code, score, count(*) as n from rubric_rating where rating_round_id is not null and score between 1 and 5 group by all")
-def stf5_round_drafts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "rubric_rating").where("rating_round_id is not null and score between 1 and 5").groupBy("domain_code", "score").agg(F.count("*").alias("n"))
-
-
 EFFECTS = [("O", "pending", "none"), ("F", "accepted", "commit"), ("P", "edited", "replace")]
 _EFFECTS = ", ".join(str(e) for e in EFFECTS)
 
@@ -183,32 +179,10 @@ def stf7_status_sync(spark: SparkSession, d: str) -> DataFrame:
     return c.join(v, "document_version_id", "left").select("chunk_id", F.coalesce("status", F.lit("unknown")).alias("status"))
 
 
-@query("""with s as (select event_id, user_id, event_type, lag(event_type) over (partition by user_id order by event_id) as before from events)
-select event_id, coalesce(before, 'start') || '>' || event_type as step, coalesce((before, event_type) in (('view', 'click'), ('click', 'purchase'), ('signup', 'view')), false) as allowed from s""")
-def stf8_transitions(spark: SparkSession, d: str) -> DataFrame:
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
-    allowed = [("view", "click"), ("click", "purchase"), ("signup", "view")]
-    ok = F.lit(False)
-    for a, b in allowed:
-        ok = ok | ((F.col("before") == a) & (F.col("event_type") == b))
-    e = table(spark, d, "events").withColumn("before", before)
-    return e.select("event_id", F.concat_ws(">", F.coalesce("before", F.lit("start")), "event_type").alias("step"), F.coalesce(ok, F.lit(False)).alias("allowed"))
-
-
 @query("select o_orderkey, case when o_orderstatus = 'F' then 'finalise' when o_totalprice > 300000 then 'escalate' when o_orderpriority like '1-%' then 'lookup' else 'synthesize' end as route from orders")
 def stf9_routing(spark: SparkSession, d: str) -> DataFrame:
     s, p, q = F.col("o_orderstatus"), F.col("o_totalprice"), F.col("o_orderpriority")
-    return table(spark, d, "orders").select("o_orderkey", F.when(s == "F", "finalise").when(p > 300000, "escalate").when(q.startswith("1-"), "lookup").otherwise("synthesize").alias("route"))
-
-
-@query("""select coalesce(expected_outcome, 'none') as outcome, provenance, count(*) as n, count(*) filter (where archived) as passed, round(count(*) filter (where archived) / count(*), 6) as rate
-from (select distinct * from result_rating_summary) group by grouping sets ((1), (2)) having true""".replace("group by grouping sets ((1), (2)) having true", "group by grouping sets ((coalesce(expected_outcome, 'none')), (provenance))"))
-def agg5_harness_report(spark: SparkSession, d: str) -> DataFrame:
-    """Pass rates by outcome and, apart from them, by provenance."""
-    s = table(spark, d, "result_rating_summary").distinct().withColumn("outcome", F.coalesce("expected_outcome", F.lit("none")))
-    passed = F.count_if("archived")
-    grouped = s.groupingSets([["outcome"], ["provenance"]], "outcome", "provenance")
-    return grouped.agg(F.count("*").alias("n"), passed.alias("passed"), F.round(passed / F.count("*"), 6).alias("rate"))
+    return table(spark, d, "orders").select("o_orderkey", P.first_rule([(s == "F", "finalise"), (p > 300000, "escalate"), (q.startswith("1-"), "lookup")], "synthesize").alias("route"))
 
 
 @query("""with ref as (select p_brand as area, p_partkey as item from part where p_size < 10), n as (select area, count(distinct item) as k from ref group by 1),
@@ -223,15 +197,6 @@ def agg12_reference_rescoring(spark: SparkSession, d: str) -> DataFrame:
     return hits.join(k, "area").groupBy("area").agg(F.count("*").alias("n"), F.round(F.avg(F.col("hits") / F.col("k")), 6).alias("recall"))
 
 
-@query("""with t as (select p_brand as area, l_suppkey as item, count(*) as n from lineitem join part on p_partkey = l_partkey group by all), s as (select *, n / sum(n) over (partition by area) as share from t)
-select area, item, n, round(share, 6) as share from s where share >= 0.012""")
-def agg13_reference_drafts(spark: SparkSession, d: str) -> DataFrame:
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("area"))
-    t = table(spark, d, "lineitem").join(part, "l_partkey").groupBy("area", F.col("l_suppkey").alias("item")).agg(F.count("*").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("area"))
-    return t.withColumn("share", share).where("share >= 0.012").withColumn("share", F.round("share", 6))
-
-
 @query("select rater_id, count(distinct result_id) as n, count(distinct result_id) >= 5 as reached from rubric_rating where rater_id is not null group by 1")
 def agg14_progress(spark: SparkSession, d: str) -> DataFrame:
     n = F.count_distinct("result_id")
@@ -255,15 +220,6 @@ def agg17_table_digest(spark: SparkSession, d: str) -> DataFrame:
     return W.table_digest(table(spark, d, "events"), ["event_id", "user_id", "event_type"])
 
 
-@query("""with pin as (select event_type, count(*) + (event_type = 'click')::int as pinned from events group by 1), cur as (select event_type, count(*) as now from events where event_type <> 'signup' group by 1)
-select coalesce(pin.event_type, cur.event_type) as name, pinned, now, pinned is not distinct from now as same from pin full join cur using (event_type)""")
-def agg18_pin_comparison(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    pin = e.groupBy("event_type").agg((F.count("*") + F.max((F.col("event_type") == "click").cast("int"))).alias("pinned"))
-    now = e.where("event_type <> 'signup'").groupBy("event_type").agg(F.count("*").alias("now"))
-    return pin.join(now, "event_type", "full").select(F.col("event_type").alias("name"), "pinned", "now", F.col("pinned").eqNullSafe(F.col("now")).alias("same"))
-
-
 @query("select o_orderkey, cast(round_even(o_orderkey * 0.6, 0) as bigint) as easy, cast(round_even(o_orderkey * 0.2, 0) as bigint) as medium, cast(round_even(o_orderkey * 0.2, 0) as bigint) as hard from orders")
 def agg20_allocation(spark: SparkSession, d: str) -> DataFrame:
     """Totals split 60 / 20 / 20 with halves to even."""
@@ -333,13 +289,6 @@ def win15_neediest_area(spark: SparkSession, d: str) -> DataFrame:
     return n.where("n < 1000000").agg(F.min(F.struct("n", "area")).alias("b")).select("b.area", "b.n")
 
 
-@query("""with p as (select source, doc_id, md5('7|' || doc_id) as h from documents where source is not null) select source, doc_id, row_number() over (partition by source order by h, doc_id) as pick from p qualify pick <= 3""")
-def win16_stratified_picks(spark: SparkSession, d: str) -> DataFrame:
-    """Three of each source in the order of a hash: the same picks on any number of executors."""
-    order = Window.partitionBy("source").orderBy(F.md5(F.concat(F.lit("7|"), "doc_id")), "doc_id")
-    return table(spark, d, "documents").where("source is not null").withColumn("pick", F.row_number().over(order)).where("pick <= 3").select("source", "doc_id", "pick")
-
-
 @query("select distinct question_id, case when cast('0x' || right(sha256(question_id), 1) as int) % 2 = 0 then 'tune' else 'heldout' end as split from eval_question where question_id is not null")
 def win19_hash_split(spark: SparkSession, d: str) -> DataFrame:
     digit = F.conv(F.right(F.sha2("question_id", 256), F.lit(1)), 16, 10).cast("int")
