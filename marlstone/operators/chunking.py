@@ -401,6 +401,24 @@ def merged_cells(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select("table_id", "row", "col", kept.alias("text"), state.alias("state"), (digits("a") != digits("b")).alias("numeric"))
 
 
+def without(a: Column, b: Column) -> Column:
+    """The entries of array a beyond those of b, counted, sorted."""
+    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
+    more = F.transform(F.array_distinct(a), lambda x: F.array_repeat(x, F.greatest(count(a, x) - count(b, x), F.lit(0))))
+    return F.array_sort(F.flatten(more))
+
+
+def compared_prose(first: Column, second: Column) -> Column:
+    """struct<numeric_disagreements, first_only, second_only>: the numbers of two readings of one text that the other lacks; a
+    bullet at the start of the second doesn't count."""
+    from marlstone.functions.text import numbers_of
+    from marlstone.operators.layout import BULLET
+
+    a, b = numbers_of(first), numbers_of(F.regexp_replace(F.trim(F.regexp_replace(second, r"\s+", " ")), BULLET, ""))
+    left, right = without(a, b), without(b, a)
+    return F.struct((F.size(left) + F.size(right)).alias("numeric_disagreements"), left.alias("first_only"), right.alias("second_only"))
+
+
 def expanded_cells(cells: DataFrame, also: Sequence[str | Column] = ()) -> DataFrame:
     """Cells (table_id, row, col, row_span, col_span, text, is_header) spread over the grid squares that they span."""
     rows = F.sequence(F.col("row"), F.col("row") + F.col("row_span") - 1)

@@ -193,6 +193,21 @@ def txt13_contradicts(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("chunk_id", "chunk_id_b", X.contradicts(F.col("text"), F.col("text_b")).alias("contradicts"))
 
 
+_NUMS = "regexp_extract_all({0}, '\\d+(?:[.,]\\d+)*')"
+_MORE = "list_sort(flatten(list_transform(list_distinct({0}), lambda x: list_transform(range(greatest(len(list_filter({0}, lambda y: y = x)) - len(list_filter({1}, lambda y: y = x)), 0)), lambda i: x))))"
+
+
+@query(_PAIRS_SQL + f""", n as (select chunk_id, chunk_id_b, {_NUMS.format('text')} as a, {_NUMS.format('text_b')} as b from pairs), m as (select *, {_MORE.format('a', 'b')} as l, {_MORE.format('b', 'a')} as r from n)
+select chunk_id, chunk_id_b, (len(l) + len(r))::int as numeric_disagreements, array_to_string(l, ' ') as first_only, array_to_string(r, ' ') as second_only from m""")
+def chk23_compared_prose(spark: SparkSession, d: str) -> DataFrame:
+    """The numbers that one version of a text has and another lacks."""
+    from marlstone.operators.chunking import compared_prose
+
+    both = _version_pairs(spark, d).withColumn("c", compared_prose(F.col("text"), F.col("text_b")))
+    joined = [F.array_join(f"c.{name}", " ").alias(name) for name in ("first_only", "second_only")]
+    return both.select("chunk_id", "chunk_id_b", "c.numeric_disagreements", *joined)
+
+
 @query("select line_id, trim(regexp_replace(regexp_replace(lower(text), '\\d', '#', 'g'), '\\s+', ' ', 'g')) as masked from (select distinct line_id, text from text_line)")
 def txt14_mask_digits(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "text_line").select("line_id", X.mask_digits(F.col("text")).alias("masked")).distinct()
