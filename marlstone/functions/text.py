@@ -173,7 +173,13 @@ def sequence_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
 
 
 def materially_different(a: Column, b: Column) -> Column:
-    return sequence_ratio(a, b) < MATERIAL_RATIO
+    """Whether the similarity lies below MATERIAL_RATIO; texts that are equal, or too unlike in length to reach it, are told
+    without matching blocks. Null for null."""
+    x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
+    reach = 2 * F.least(F.length(x), F.length(y)) / F.greatest(F.length(x) + F.length(y), F.lit(1))
+    open_ = (x != y) & (reach >= MATERIAL_RATIO)
+    ratio = sequence_ratio(F.when(open_, a), F.when(open_, b))
+    return F.when(x == y, False).when(reach < MATERIAL_RATIO, True).otherwise(ratio < MATERIAL_RATIO)
 
 
 def mask_digits(text: Column) -> Column:

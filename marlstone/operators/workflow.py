@@ -50,6 +50,50 @@ def queue(results: DataFrame, rounds: DataFrame, raters: DataFrame, started: tup
     return left.select("rater_id", "result_id", "n_raters", "created_at")
 
 
+def batch_plan(results: DataFrame, rounds: DataFrame, batches: DataFrame, raters: DataFrame, size: int = 12, needed: int = 3) -> DataFrame:
+    """rater_id, mode, place, result_id: what each rater is offered next.
+
+    Results begun by others come first (in_progress, oldest first). Else the rater's current batch: its unrated open items,
+    and for every item that others archived a fresh one behind them (batch). Else a new batch of fresh ones (new), picked by
+    how few batches hold them, then age, and shown oldest first. Fresh are open results that nobody rated and that never
+    were in the rater's batches. results: result_id, created_at; rounds: result_id, rater_id; batches: rater_id, batch_no,
+    position, result_id. Only the head of the fresh ones meets the raters: as long as a batch and the longest list of items
+    ever assigned to one rater.
+    """
+    rated = cut(rounds.select("rater_id", "result_id").distinct())
+    counts = rated.groupBy("result_id").agg(F.count("*").alias("n_raters"))
+    assigned = batches.groupBy("result_id").agg(F.count_distinct("rater_id").alias("n_batches"))
+    every = results.join(counts, "result_id", "left").join(assigned, "result_id", "left").fillna(0, ["n_raters", "n_batches"])
+    open_ = cut(every.where(F.col("n_raters") < needed))
+    people = cut(raters.select("rater_id").distinct())
+
+    def numbered(rows: DataFrame, mode: str, *order: Column | str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("rater_id").orderBy(*order))
+        return rows.select("rater_id", F.lit(mode).alias("mode"), place.alias("place"), "result_id")
+
+    begun = against_all(people, open_.where("n_raters > 0").select("result_id", "created_at")).join(rated, ["rater_id", "result_id"], "left_anti")
+    first = cut(numbered(begun, "in_progress", F.col("created_at").asc_nulls_last(), "result_id"))
+    people = cut(people.join(first.select("rater_id").distinct(), "rater_id", "left_anti"))
+
+    ever = batches.select("rater_id", "result_id").distinct()
+    longest = ever.groupBy("rater_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0  # one number
+    order = [F.col("n_batches"), F.col("created_at").asc_nulls_last(), F.col("result_id")]
+    head = open_.where("n_raters = 0").orderBy(*order).limit(size + longest)
+    offered = against_all(people, head.select("result_id", "created_at", "n_batches")).join(ever, ["rater_id", "result_id"], "left_anti")
+    fresh = cut(offered.withColumn("nth", F.row_number().over(Window.partitionBy("rater_id").orderBy(*order))))
+
+    latest = batches.groupBy("rater_id").agg(F.max("batch_no").alias("batch_no"))
+    items = people.join(batches, "rater_id").join(latest, ["rater_id", "batch_no"])
+    items = items.join(rated.withColumn("_mine", F.lit(True)), ["rater_id", "result_id"], "left").join(open_.select("result_id", F.lit(True).alias("_open")), "result_id", "left")
+    left = cut(items.where("_mine is null"))
+    drops = left.where("_open is null").groupBy("rater_id").agg(F.count("*").alias("n_drop"))
+    remaining = left.where("_open").select("rater_id", "result_id", F.lit(0).alias("part"), F.col("position").cast("bigint").alias("at"))
+    added = fresh.join(drops, "rater_id").where("nth <= n_drop").select("rater_id", "result_id", F.lit(1).alias("part"), F.col("nth").cast("bigint").alias("at"))
+    batch = cut(numbered(remaining.unionByName(added), "batch", "part", "at", "result_id"))
+    picks = fresh.where(F.col("nth") <= size).join(batch.select("rater_id").distinct(), "rater_id", "left_anti")
+    return first.unionByName(batch).unionByName(numbered(picks, "new", F.col("created_at").asc_nulls_last(), "result_id"))
+
+
 def anchored_windows(events: DataFrame, key: str, at: str, failed: str, limit: int, seconds: float) -> DataFrame:
     """key, at, count, blocked of each failure: a window opens at a key's first failure and lasts so many seconds; a success
     closes it. Rows of a key are folded in order over sorted partitions, with three numbers of state."""

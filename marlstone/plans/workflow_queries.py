@@ -12,6 +12,7 @@ from marlstone.operators import grounding as G
 from marlstone.operators import records as N
 from marlstone.operators import statistics as S
 from marlstone.operators import workflow as W
+from marlstone.operators.joins import against_all
 from marlstone.plans.text_queries import sql_words
 from marlstone.session import cut
 from marlstone.tables import table
@@ -276,11 +277,31 @@ def win13_queue(spark: SparkSession, d: str) -> DataFrame:
     return _queue(spark, d).select("rater_id", "result_id", "n_raters")
 
 
-@query(f"with {_QUEUE} select rater_id, result_id, row_number() over (partition by rater_id order by n, upd nulls last, result_id) as place from queue qualify place <= 12")
+#: Results rated by more raters than this are archived; the test table has up to nine raters a result.
+OPEN_BELOW = 6
+_PLAN = f"""{_ROUNDS}, n as (select result_id, count(*) as n from rounds group by 1),
+res as (select result_id, min(last_updated) as c from result_rating_summary where result_id is not null group by 1), rt as (select distinct rater_id from rounds),
+b as (select rater_id, result_id, row_number() over (partition by rater_id order by md5(rater_id || result_id)) as position from rt, res qualify position <= 8), bb as (select *, case when position <= 3 then 1 else 2 end as batch_no from b),
+asg as (select result_id, count(distinct rater_id) as k from bb group by 1), op as (select res.*, coalesce(n, 0) as n, coalesce(k, 0) as k from res left join n using (result_id) left join asg using (result_id) where coalesce(n, 0) < {OPEN_BELOW}),
+beg as (select rt.rater_id, op.result_id, c from rt, op where op.n > 0 and not exists (select 1 from rounds x where x.rater_id = rt.rater_id and x.result_id = op.result_id)),
+fr as (select rt.rater_id, op.result_id, c, row_number() over (partition by rt.rater_id order by k, c nulls last, op.result_id) as nth from rt, op where op.n = 0 and rt.rater_id not in (select rater_id from beg) and not exists (select 1 from bb where bb.rater_id = rt.rater_id and bb.result_id = op.result_id)),
+it as (select bb.rater_id, bb.result_id, position, op.result_id is not null as open from bb left join op using (result_id) where batch_no = 2 and rater_id not in (select rater_id from beg) and not exists (select 1 from rounds x where x.rater_id = bb.rater_id and x.result_id = bb.result_id)),
+dr as (select rater_id, count(*) as d from it where not open group by 1),
+off as (select rater_id, result_id, 0 as part, position::bigint as pos from it where open union all select fr.rater_id, result_id, 1, nth from fr join dr using (rater_id) where nth <= d)"""
+
+
+@query(f"""with {_PLAN} select rater_id, 'in_progress' as mode, row_number() over (partition by rater_id order by c nulls last, result_id)::int as place, result_id from beg
+union all select rater_id, 'batch', row_number() over (partition by rater_id order by part, pos, result_id), result_id from off
+union all select rater_id, 'new', row_number() over (partition by rater_id order by c nulls last, result_id), result_id from fr where nth <= 12 and rater_id not in (select rater_id from off)""")
 def win14_batches(spark: SparkSession, d: str) -> DataFrame:
-    """The next twelve of each rater's queue: fewest raters first, then the oldest."""
-    order = Window.partitionBy("rater_id").orderBy("n_raters", F.col("created_at").asc_nulls_last(), "result_id")
-    return _queue(spark, d).withColumn("place", F.row_number().over(order)).where("place <= 12").select("rater_id", "result_id", "place")
+    """What each rater is offered next; earlier batches are dealt by a hash."""
+    r = _rounds(spark, d)
+    results = table(spark, d, "result_rating_summary").where("result_id is not null").groupBy("result_id").agg(F.min("last_updated").alias("created_at"))
+    raters = cut(r.select("rater_id").distinct())
+    dealt = against_all(raters, results.select("result_id"))
+    position = F.row_number().over(Window.partitionBy("rater_id").orderBy(F.md5(F.concat("rater_id", "result_id"))))
+    batches = cut(dealt.withColumn("position", position).where("position <= 8").withColumn("batch_no", F.when(F.col("position") <= 3, 1).otherwise(2)))
+    return W.batch_plan(results, r, batches, raters, needed=OPEN_BELOW)
 
 
 @query("select area, n from (select area, count(distinct question_id) as n from eval_question where area is not null group by 1) where n < 1000000 qualify row_number() over (order by n, area) = 1")
@@ -350,6 +371,22 @@ def sco7_citation_spans(spark: SparkSession, d: str) -> DataFrame:
     return c.select("chunk_id", span["start"].cast("bigint").alias("span_start"), span["end"].cast("bigint").alias("span_end"))
 
 
+@query(f"""with c as (select chunk_id, any_value(text) as text, any_value(char_start) as cs, any_value(ordinal) as o from chunk where text is not null group by 1), q as (select *, coalesce({_SENT}[2], '') as quote from c),
+p as (select *, cs + strpos(text, quote) - 1 + case when o % 3 = 0 then 1 when o % 3 = 1 then 0 else -1000000 end as a from q where quote <> ''), e as (select *, a + len(quote) as b, substr(quote, 5, 10) as fixed from p),
+t as (select *, trim(regexp_replace(substr(text, (a - cs + 1)::bigint, (b - a)::bigint), '\\s+', ' ', 'g')) = trim(regexp_replace(quote, '\\s+', ' ', 'g')) as same, strpos(text, fixed) as f, strpos(text, quote) as qa from e)
+select chunk_id, coalesce(a >= 0 and a - cs >= 0 and b - cs <= len(text) and same, false) as holds, (fixed <> '' and f > 0 and f < qa + len(quote) and qa < f + len(fixed))::int as n_corrections from t""")
+def sco7_reverified(spark: SparkSession, d: str) -> DataFrame:
+    """Stored spans of quotes, some moved by one and some out of the chunk, looked up again; and corrections that lie on the quote."""
+    c = table(spark, d, "chunk").where("text is not null").dropDuplicates(["chunk_id"])
+    q = c.withColumn("quote", F.coalesce(F.get(F.split("text", r"(?<=[.!?])\s+"), F.lit(1)), F.lit(""))).where("quote <> ''")
+    o = F.col("ordinal") % 3
+    start = F.col("char_start") + F.instr("text", F.col("quote")) - 1 + F.when(o == 0, 1).when(o == 1, 0).otherwise(-1_000_000)
+    q = q.withColumn("a", start).withColumn("b", start + F.length("quote"))
+    fixes = F.array(F.struct(F.lit("f").alias("correction_id"), F.substr("quote", F.lit(5), F.lit(10)).alias("corrected")))
+    holds = G.verified_span(F.col("a"), F.col("b"), F.col("char_start"), F.col("text"), F.col("quote"))
+    return q.select("chunk_id", holds.alias("holds"), F.size(G.corrections_on(fixes, F.col("text"), F.col("quote"))).alias("n_corrections"))
+
+
 @query("select o_orderkey, o_orderstatus = 'F' and o_orderkey % 10 <> 0 as passes from orders")
 def sco8_outcome_rule(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", G.passes(F.lit("F"), F.col("o_orderstatus"), F.col("o_orderkey") % 10 == 0).alias("passes"))

@@ -23,20 +23,38 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parsed_files(spark: SparkSession, path: str, pages_of: Callable[[bytes], Sequence[str]], glob: str = "*") -> DataFrame:
-    """path, page_no, text of binary files through a parser; a file it can't read gives one row with page 0 and no text."""
+    """path, page_no, text, error of binary files through a parser; a file it can't read gives one row with page 0, no text and
+    what the parser said."""
 
     def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for name, content in zip(frame.path, frame.content, strict=True):
                 try:
-                    rows += [(name, n, text) for n, text in enumerate(pages_of(bytes(content)), 1)]
-                except Exception:  # noqa: BLE001
-                    rows.append((name, 0, None))
-            yield pd.DataFrame(rows, columns=["path", "page_no", "text"])
+                    rows += [(name, n, text, None) for n, text in enumerate(pages_of(bytes(content)), 1)]
+                except Exception as error:  # noqa: BLE001 - a parser's failure is that file's result
+                    rows.append((name, 0, None, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=["path", "page_no", "text", "error"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
-    return files.mapInPandas(go, "path string, page_no int, text string")
+    return files.mapInPandas(go, "path string, page_no int, text string, error string")
+
+
+def laid_out_files(spark: SparkSession, path: str, lines_of: Callable[[bytes], Iterator[tuple]], glob: str = "*") -> DataFrame:
+    """The lines (LAYOUT_LINES) that a layout parser finds in binary files; a file it can't read gives none."""
+    names = [c.split()[0] for c in LAYOUT_LINES.split(", ")]
+
+    def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for content in frame.content:
+                try:
+                    rows = list(lines_of(bytes(content)))
+                except Exception:  # noqa: BLE001
+                    rows = []
+                yield pd.DataFrame(rows, columns=names)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("content")
+    return files.mapInPandas(go, LAYOUT_LINES)
 
 
 def encoder(load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> Callable[[Column], Column]:
@@ -51,6 +69,18 @@ def encoder(load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> Cal
     return encode
 
 
+def reranker(load: Callable[[], Callable[[list[tuple[str, str]]], list[float]]]) -> Callable[[Column, Column], Column]:
+    """A column function (query, passage) -> score; the model loads once per worker and sees a batch of pairs at a time."""
+
+    @F.pandas_udf(T.DoubleType())
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = load()
+        for queries, passages in batches:
+            yield pd.Series(model([(q or "", p or "") for q, p in zip(queries, passages, strict=True)]), dtype="float64")
+
+    return score
+
+
 class Incomplete(ValueError):
     """A setting is missing, blank or a placeholder."""
 
