@@ -12,8 +12,8 @@ from marlstone.functions.text import query_terms
 from marlstone.operators import metrics as M
 from marlstone.operators import retrieval as R
 from marlstone.plans.text_queries import sql_tokens
-from marlstone.session import cut
-from marlstone.tables import table
+from marlstone.session import cut, on_release
+from marlstone.tables import state, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -301,16 +301,17 @@ def asked_enriched(spark: SparkSession, d: str, held: DataFrame) -> DataFrame:
     return asked(held).select("query_id", "term").unionByName(kind).distinct().withColumn("weight", F.lit(1.0))
 
 
-_stored: dict[tuple[str, str], DataFrame] = {}
+_stored: dict[tuple, DataFrame] = {}
+on_release.append(_stored.clear)
 
 
 def sweep(spark: SparkSession, d: str) -> DataFrame:
     """fusion, words, scorer, weight, query_id, k and the metrics: every cell of the grid for every query.
 
-    The rows are written once per directory and session and read by every summary; each text and scorer is scored once,
-    a ranking serves all ks.
+    The rows are written once per session and state of the tables and read by every summary; each text and scorer is scored
+    once, a ranking serves all ks.
     """
-    key = (spark.sparkContext.applicationId, d)
+    key = (spark.sparkContext.applicationId, d, state(spark, d, "documents", "embeddings"))
     if key in _stored:
         return _stored[key]
     held = postings(spark, d)

@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +67,8 @@ def cut(df: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 _open: list[list] = []
+#: Called when released() drops tables: what remembers a cut table must forget it.
+on_release: list[Callable[[], None]] = []
 
 
 @contextmanager
@@ -79,6 +81,8 @@ def released(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _open[:] = [h for h in _open if h is not held]
+        for forget in on_release:
+            forget()
         for path in held:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
