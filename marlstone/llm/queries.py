@@ -178,6 +178,10 @@ QUERIES = {
 
 _BLANK = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
+# The key of a line (@) and whether it counts, in SQL.
+_KEY = f"regexp_replace(trim(regexp_replace(lower(@), '{_BLANK}', ' ', 'g')), '[0-9]+', '0', 'g')"
+_COUNTS = "len(string_split(k, ' ')) >= 4 and regexp_matches(k, '\\pL')"
+
 _LIVE = """
 live as (
   select result_id, domain_code, rater_id, score from (
@@ -202,6 +206,18 @@ with q as (
 select distinct a.id as question_id_a, b.id as question_id_b from q a join q b on a.id < b.id
 where len(a.w) > 0 and len(b.w) > 0
   and len(list_intersect(a.w, b.w)) >= 0.75 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))
+""",
+    "p3_groups": """
+with recursive q as (
+  select distinct question_id as id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as w
+  from eval_question where question_id is not null and text is not null),
+m as (select distinct id, md5(array_to_string(w, ' ')) as s, w from q where len(w) > 0), sets as (select distinct s, w from m),
+l as (select a.s as a, b.s as b from sets a join sets b on a.s <> b.s
+  where len(list_intersect(a.w, b.w)) >= 0.75 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))),
+reach as (select s, s as t from sets union select reach.s, l.b from reach join l on l.a = reach.t),
+g as (select s, min(t) as group_id from reach group by 1), k as (select a as s, count(*) as n_links from l group by 1), c as (select s, count(*) as n_copies from m group by 1)
+select m.id as question_id, group_id, coalesce(n_links, 0) as n_links, n_copies from m join g using (s) join c using (s) left join k using (s)
+union all select id, null, 0, 1 from (select distinct question_id as id from eval_question where question_id is not null) x where id not in (select id from m)
 """,
     "p4_agreement": f"""
 with {_LIVE},
@@ -246,5 +262,25 @@ lines as (select source, n_docs, day, unnest(list_distinct(list_filter(keys, lam
 counted as (select source, key, sum(n_docs)::bigint as n_documents, count(distinct coalesce(day, date '0001-01-01')) as n_days from lines group by all)
 select source, count(*) as n_lines, sum(n_documents)::bigint as n_documents, sum(n_days)::bigint as n_days, round(min(n_documents / total), 6) as least_share
 from counted join totals using (source) where n_documents >= 3 and n_documents / total >= 0.25 group by source
+""",
+    "p5_found": f"""
+with docs as (select doc_id, source, string_split(text, chr(10)) as ls from documents where source is not null and text is not null and trim(regexp_replace(text, '{_BLANK}', ' ', 'g')) <> ''),
+dl as (select doc_id, source, unnest(ls) as line, unnest(range(len(ls))) as line_no from docs),
+dk as (select *, {_KEY.replace('@', 'line')} as k from dl), dn as (select source, count(distinct doc_id) as total from docs group by 1),
+dh as (select source, k from dk join dn using (source) where {_COUNTS} group by source, k, total having count(distinct doc_id) >= 3 and count(distinct doc_id) >= 0.25 * total),
+tk as (select line_id, source, document_version_id as v, text, {_KEY.replace('@', 'text')} as k, bbox_bottom - bbox_top > 8.5 as body from (select distinct * from text_line) where source is not null),
+tn as (select source, count(distinct v) as total from tk group by 1),
+th as (select source, k from tk join tn using (source) where {_COUNTS} and body group by source, k, total having count(distinct v) >= 3 and count(distinct v) >= 0.25 * total)
+select distinct 'documents' as place, doc_id as record_id, line_no::int as line_no from dk join dh using (source, k)
+union all select distinct 'text_line', line_id, 0 from tk join th using (source, k) where body
+""",
+    "p4_found": f"""
+with {_LIVE},
+n as (select result_id, domain_code, score, count(*) as n from live group by all), i as (select result_id, domain_code, sum(n) as m, sum(n * score) / sum(n) as mean from n group by all),
+best as (select result_id, domain_code, score from n join i using (result_id, domain_code) where m >= 3 qualify row_number() over (partition by result_id, domain_code order by n desc, round(abs(score - mean), 6), score) = 1),
+r as (select rater_id, count(*) filter (where live.score = best.score) / count(*) as share from live join best using (result_id, domain_code) group by 1),
+c as (select result_id, count(distinct rater_id) as k from live group by 1)
+select 'rater' as kind, rater_id as case_id from r where share < 0.6
+union select 'summary', s.result_id from result_rating_summary s left join c using (result_id) where s.result_id is not null and (distinct_rater_count is null or distinct_rater_count <> coalesce(k, 0))
 """,
 }
