@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.filters import retrievable
 from marlstone.operators.joins import against_all
 from marlstone.session import cut
 
@@ -159,6 +160,16 @@ def validity(replay: DataFrame, entity: str, at: str, order: Sequence[str], clos
     return out.withColumn("valid_to", F.when(F.col("state").isin(list(closed)), F.col("_ended"))).drop("_ended")
 
 
+def synced(chunks: DataFrame, versions: DataFrame, withdrawn: DataFrame) -> DataFrame:
+    """chunks (document_version_id, review_status, ...) with status, that of their version after withdrawals (unknown without
+    one), and whether they may be retrieved."""
+    gone = withdrawn.select("document_version_id", F.lit(True).alias("_gone")).distinct()
+    now = versions.join(gone, "document_version_id", "left")
+    now = now.select("document_version_id", F.when(F.col("_gone"), "withdrawn").otherwise(F.col("status")).alias("status"))
+    out = chunks.join(now, "document_version_id", "left").withColumn("status", F.coalesce("status", F.lit("unknown")))
+    return out.withColumn("retrievable", F.coalesce(retrievable(), F.lit(False)))
+
+
 def compared_gaps(pinned: Mapping[str, int], current: DataFrame) -> DataFrame:
     """name, now, pinned, level of current (name, n): a count above its pin fails, another that isn't 0 warns, 0 is fine; what
     isn't pinned is pinned at 0."""
@@ -212,7 +223,8 @@ def preceded(rows: DataFrame, order: str, value: str, name: str, block: int = 10
     if lasts.count() <= block:
         before = lasts.select("_b", F.lag("_last").over(Window.orderBy("_b")).alias("_carried"))
     else:
-        before = preceded(lasts, "_b", "_last", "_carried", block).select("_b", "_carried")
+        above = lasts.select(F.col("_b").alias("_at"), "_last")
+        before = preceded(above, "_at", "_last", "_outer", block).select(F.col("_at").alias("_b"), F.col("_outer").alias("_carried"))
     within = F.lag(value).over(Window.partitionBy("_b").orderBy(order))
     return blocked.withColumn("_within", within).join(before, "_b").withColumn(name, F.coalesce("_within", "_carried")).drop("_b", "_within", "_carried")
 

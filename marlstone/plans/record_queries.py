@@ -634,6 +634,20 @@ def stf5_drafts(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("user_id").agg(F.max_by("after", F.struct("ts", "event_id")).alias("state"), begun.alias("n_drafts"), n("draft", "none").alias("n_dropped"))
 
 
+HELD = [("pending", "view", "pending"), ("pending", "purchase", "accepted"), ("pending", "click", "edited"), ("pending", "error", "rejected"), ("pending", "signup", "regenerated")]
+_EFFECT = {"accepted": "commit", "edited": "replace", "rejected": "drop", "regenerated": "drop"}
+
+
+@query(_walk(HELD, "pending") + f" select user_id, event_id, after as resolution, case after {' '.join(f'when {a!r} then {b!r}' for a, b in _EFFECT.items())} end as effect from w where accepted and before <> after")
+def stf6_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """The first decision on each held answer, and what it does to the answer's context; later ones are refused."""
+    r = _replay(spark, d, HELD, "pending").where("accepted and before <> after")
+    effect = F.lit(None).cast("string")
+    for state, name in _EFFECT.items():
+        effect = F.when(F.col("after") == state, name).otherwise(effect)
+    return r.select("user_id", "event_id", F.col("after").alias("resolution"), effect.alias("effect"))
+
+
 _PICKS = _FLAGS + """,
 cat as (select record_key as id, max(case when field_name = 'triage_category' and reading <> chr(0) then reading end) as category from cell group by 1),
 k as (select distinct trim(key) as id from newborn_nbu_2021 where trim(key) <> ''),

@@ -174,8 +174,7 @@ def _version_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def txt12_materially_different(spark: SparkSession, d: str) -> DataFrame:
     pairs = _version_pairs(spark, d)
-    ratio = X.sequence_ratio("text", "text_b")
-    return pairs.select("chunk_id", "chunk_id_b", ratio.alias("ratio")).withColumn("different", F.col("ratio") < X.MATERIAL_RATIO)
+    return pairs.select("chunk_id", "chunk_id_b", X.materially_different(F.col("text"), F.col("text_b")).alias("different"))
 
 
 _PAIRS_SQL = """with v as (select distinct document_version_id, document_id from document_version),

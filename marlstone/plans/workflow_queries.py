@@ -162,22 +162,16 @@ def stf4_rating_replay(spark: SparkSession, d: str) -> DataFrame:
     return W.archived(_rounds(spark, d))
 
 
-EFFECTS = [("O", "pending", "none"), ("F", "accepted", "commit"), ("P", "edited", "replace")]
-_EFFECTS = ", ".join(str(e) for e in EFFECTS)
-
-
-@query(f"with e(action, resolution, effect) as (values {_EFFECTS}) select o_orderkey, resolution, effect from orders left join e on action = o_orderstatus")
-def stf6_decisions(spark: SparkSession, d: str) -> DataFrame:
-    lookup = spark.createDataFrame(EFFECTS, "o_orderstatus string, resolution string, effect string")
-    return table(spark, d, "orders").join(lookup, "o_orderstatus", "left").select("o_orderkey", "resolution", "effect")
-
-
-@query("""select c.chunk_id, case when v.status = 'withdrawn' then 'withdrawn' else coalesce(v.status, 'unknown') end as status from (select chunk_id, max(document_version_id) as document_version_id from chunk group by 1) c
-left join (select document_version_id, max(status) as status from document_version group by 1) v using (document_version_id)""")
+@query("""with v as (select document_version_id, max(status) as status, max(case when ascii(right(document_version_id, 1)) % 5 = 0 then 1 else 0 end) as gone from document_version group by 1), c as (select chunk_id, max(document_version_id) as document_version_id, max(ordinal) as o from chunk group by 1),
+s as (select chunk_id, case when gone = 1 then 'withdrawn' else coalesce(status, 'unknown') end as status, case when o % 4 = 0 then 'rejected' when o % 4 = 1 then 'confirmed' end as review from c left join v using (document_version_id))
+select chunk_id, status, status = 'active' and coalesce(review not in ('pending', 'rejected', 'excluded'), true) as retrievable from s""")
 def stf7_status_sync(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks after their versions, a fifth of which is withdrawn."""
     v = table(spark, d, "document_version").groupBy("document_version_id").agg(F.max("status").alias("status"))
-    c = table(spark, d, "chunk").groupBy("chunk_id").agg(F.max("document_version_id").alias("document_version_id"))
-    return c.join(v, "document_version_id", "left").select("chunk_id", F.coalesce("status", F.lit("unknown")).alias("status"))
+    c = table(spark, d, "chunk").groupBy("chunk_id").agg(F.max("document_version_id").alias("document_version_id"), F.max("ordinal").alias("o"))
+    c = c.select("chunk_id", "document_version_id", F.when(F.col("o") % 4 == 0, "rejected").when(F.col("o") % 4 == 1, "confirmed").alias("review_status"))
+    gone = v.where(F.ascii(F.right("document_version_id", F.lit(1))) % 5 == 0).select("document_version_id")
+    return W.synced(c, v, gone).select("chunk_id", "status", "retrievable")
 
 
 @query("select o_orderkey, case when o_orderstatus = 'F' then 'finalise' when o_totalprice > 300000 then 'escalate' when o_orderpriority like '1-%' then 'lookup' else 'synthesize' end as route from orders")

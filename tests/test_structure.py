@@ -75,5 +75,5 @@ def test_every_block_must_be_in_one_chunk_of_the_superseded_version(spark, tmp_p
     spark.createDataFrame(chunks, "chunk_id string, document_version_id string, text string").write.parquet(str(tmp_path / "chunk.parquet"))
     versions = [("v1", None), ("v2", "v1")]
     spark.createDataFrame(versions, "document_version_id string, supersedes_id string").write.parquet(str(tmp_path / "document_version.parquet"))
-    rows = registry.queries()["chk14_whole_texts"](spark, str(tmp_path)).collect()
+    rows = registry.queries()["chk14_carried_over"](spark, str(tmp_path)).collect()
     assert {r.chunk_id: r.confirmed_id for r in rows} == {"n1": "o1", "n2": None}

@@ -79,9 +79,9 @@ def test_accented_lines_and_chunks_are_judged(spark, tmp_path):
 
     lines = [("a", "Temp below 36 \u2265 x"), ("b", "plain infant"), ("c", "M\u00e4rz I"), ("d", None)]
     spark.createDataFrame(lines, "line_id string, text string").write.parquet(str(tmp_path / "text_line.parquet"))
-    texts = [("a", "Ein gro\u00dfes Beispiel"), ("b", "one line\nand another one"), ("c", None)]
+    texts = [("a", "Ein gro\u00dfes Beispiel"), ("b", "y" * 30 + " gro\u00dfe Nacht\nund Tag"), ("c", None)]
     spark.createDataFrame(texts, "chunk_id string, text string").write.parquet(str(tmp_path / "chunk.parquet"))
-    got = {r.line_id: (r.broad, r.narrow, r.alike) for r in registry.queries()["txt17_all_lines"](spark, str(tmp_path)).collect()}
+    got = {r.line_id: (r.broad, r.narrow, r.alike) for r in registry.queries()["txt17_correction_scope"](spark, str(tmp_path)).collect()}
     assert set(got) == {"a", "b", "c"} and got["c"] == (True, True, True)
-    words = {r.chunk_id: r.text for r in registry.queries()["chk24_all_chunks"](spark, str(tmp_path)).collect()}
-    assert words == {"a": "Ein gro\u00dfes Beispiel", "b": "one line\nand"}
+    words = {(r.chunk_id, r.box_no): r.text for r in registry.queries()["chk24_completed_words"](spark, str(tmp_path)).collect()}
+    assert words == {("a", 0): "Ein gro\u00dfes Beispiel", ("b", 0): "y" * 30 + " gro\u00dfe Nacht", ("b", 1): "Nacht\nund Tag"}
