@@ -308,34 +308,40 @@ def size_tiers(sizes: Column) -> Column:
     return F.reverse(F.array_sort(F.transform(F.filter(tiers, lambda t: t["n"] >= TIER_HEADINGS), lambda t: t["size"])))
 
 
-def _under_parts(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """Levels of one document's headings after letter parts and table titles took theirs under them."""
-    import re
+def nested_levels(levels: list[int], parts: list[bool], titles: list[bool]) -> list[int]:
+    """Levels of headings after letter parts and table titles took theirs under them.
+
+    A part reaches to the next part, heading of a higher rank, or title at its own rank or above. What it reaches goes one
+    level down if any of it has the part's level. A title holds the parts behind it up to the next plain heading outside
+    of parts at its rank or above; a part that doesn't stand below its title is moved there, with what it reaches.
+    """
+    n = len(levels)
+
+    def ends(p: int, j: int) -> bool:
+        return parts[j] or levels[j] < levels[p] or (titles[j] and levels[j] <= levels[p])
+
+    reach = {p: range(p + 1, next((j for j in range(p + 1, n) if ends(p, j)), n)) for p in range(n) if parts[p]}
+    within = {j for span in reach.values() for j in span} | set(reach)
+    holder: int | None = None
+    out = list(levels)
+    for j in range(n):
+        if j in reach:
+            down = max(0, levels[holder] + 1 - levels[j]) if holder is not None else 0
+            out[j] += down
+            deeper = int(any(levels[m] == levels[j] for m in reach[j]))
+            for m in reach[j]:
+                out[m] += down + deeper
+        elif j not in within and (titles[j] or (holder is not None and levels[j] <= levels[holder])):
+            holder = j if titles[j] else None
+    return out
 
+
+def _under_parts(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     rows = frame.sort_values("element_no")
-    given, out = rows.level.tolist(), rows.level.tolist()
-    title: int | None = None  # level of the open table title
-    spans: list[tuple[int, int, list[int]]] = []  # heading of a part, levels it goes down, headings below it
-    open_part: int | None = None
-    for i, text in enumerate(rows.text.fillna("").str.strip()):
-        part_level = given[spans[open_part][0]] if open_part is not None else None
-        if re.match(TABLE_TITLE, text) and (part_level is None or given[i] <= part_level):
-            title, open_part = given[i], None
-        elif re.match(LETTER_PART, text):
-            spans.append((i, title + 1 - given[i] if title is not None and given[i] <= title else 0, []))
-            open_part = len(spans) - 1
-        elif part_level is not None and given[i] >= part_level:
-            spans[open_part][2].append(i)
-        else:
-            open_part = None
-            if title is not None and given[i] <= title:
-                title = None
-    for part, down, below in spans:
-        deeper = down + any(given[m] == given[part] for m in below)
-        out[part] = given[part] + down
-        for m in below:
-            out[m] = given[m] + deeper
-    return pd.DataFrame({"document": key[0], "element_no": rows.element_no.to_numpy(), "level": out})
+    text = rows.text.fillna("").str.strip()
+    is_title = text.str.match(TABLE_TITLE)
+    level = nested_levels(rows.level.tolist(), (text.str.match(LETTER_PART) & ~is_title).tolist(), is_title.tolist())
+    return pd.DataFrame({"document": key[0], "element_no": rows.element_no.to_numpy(), "level": level})
 
 
 def heading_levels(elements: DataFrame) -> DataFrame:

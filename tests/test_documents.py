@@ -151,3 +151,15 @@ def test_tables_without_header_or_rows(spark):
     got = {(r.table_id, r.part_no): r.text for r in C.rendered_tables(cells, 100).collect()}
     assert got == {(1, 0): "Column 1: a/b\n\nColumn 1: both\n  Column 2: both"}
     assert len([k for k in ((r.table_id, r.part_no) for r in C.rendered_tables(cells, 3).collect())]) == 2
+
+
+def test_parts_and_titles_take_headings_under_them():
+    nest = lambda *rows: C.nested_levels([r[0] for r in rows], [r[1:] == ("part",) for r in rows], [r[1:] == ("title",) for r in rows])
+    assert nest((1, "part"), (1,), (2,), (1, "part"), (1,)) == [1, 2, 3, 1, 2]
+    # Members set smaller than the part stay; a heading of a higher rank ends the part.
+    assert nest((2, "part"), (3,), (3,), (1,), (2,)) == [2, 3, 3, 1, 2]
+    # A title holds the parts behind it until a plain heading of its rank.
+    assert nest((2, "title"), (2, "part"), (3,), (2, "part"), (1,), (2, "part")) == [2, 3, 4, 3, 1, 2]
+    # A title below an open part belongs to it, one at its rank ends it.
+    assert nest((1, "part"), (2, "title"), (2, "part")) == [1, 2, 2] and nest((2, "part"), (2, "title"), (2, "part")) == [2, 2, 3]
+    assert nest() == []
