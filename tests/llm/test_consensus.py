@@ -85,3 +85,28 @@ def test_slices_compare_with_given_values(spark):
                                    "slice_id string, result_ids array<string>, domain_code string, value double, computed_at timestamp_ntz")
     got = {r.slice_id: r.n_items for r in C.slice_agreement(live, slices).collect()}
     assert got == {"s": 2, "t": None, "e": None}
+
+
+def test_labels_that_change_each_other_for_ever_end_at_the_mean_of_their_cycle(spark, monkeypatch):
+    # 6 raters of 20 items, whose counts of agreement recur every 6 rounds: no weights are those that follow from them.
+    monkeypatch.setattr(C, "MOST_ROUNDS", 40)
+    rng = random.Random(28)
+    rows = []
+    for i in range(20):
+        t = rng.randrange(1, 6)
+        for u in range(6):
+            if rng.random() < 0.6:
+                rows.append((f"r{i}", f"u{u}", "d", t if rng.random() < 0.6 else rng.randrange(1, 6), u))
+    items, raters, live = C.consensus(ratings(spark, rows))
+    got = {r.rater_id: r for r in raters.collect()}
+    assert items.count() == len({r[0] for r in rows}) and live.count() == len(rows) and len(got) == 6
+    # The mean of what the rounds of the cycle give differs from what follows from any single one.
+    assert max(abs(r.weight - max(0.05, math.log(r.loo_accuracy * 4 / (1 - r.loo_accuracy)))) for r in got.values()) < 0.1
+    again = {r.rater_id: r.weight for r in C.consensus(ratings(spark, rows).repartition(7))[1].collect()}
+    assert again == {k: r.weight for k, r in got.items()}
+
+
+def test_panels_give_the_reliability_that_the_labels_give(spark):
+    c = C.Consensus(ratings(spark, panel()[0]))
+    joined = {tuple(r) for r in C.reliability(c.items(), c.live()).select("rater_id", "n_items", "n_equal").collect()}
+    assert {tuple(r) for r in c.reliability().select("rater_id", "n_items", "n_equal").collect()} == joined
