@@ -1,9 +1,11 @@
 import random
 from itertools import combinations
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from marlstone.llm import near_duplicates as N
+from marlstone.session import shared_folder
 
 
 def records(seed=4, n=250):
@@ -88,3 +90,13 @@ def test_very_long_texts(spark):
     rows = [("a", long), ("b", long + " more"), ("c", "short text"), ("d", "short text here and more")]
     members, sets = N.token_sets(frame(spark, rows), "question_id", N.word_set(F.col("text")))
     assert [(r.id_a, r.id_b) for r in N.record_pairs(members, N.similar_sets(sets)).collect()] == [("a", "b")]
+
+
+def test_runs_in_passes_find_the_same_and_leave_no_tables(spark, monkeypatch):
+    members, sets = N.token_sets(frame(spark, records(n=60)), "question_id", N.word_set(F.col("text")))
+    tables = lambda: set(Path(shared_folder(spark).removeprefix("file://")).glob("cut-*"))
+    before = tables()
+    want = {(r.a, r.b) for r in N.similar_sets(sets).collect()}
+    assert want and len(tables() - before) == 1
+    monkeypatch.setattr(N, "PASS", 8 * sets.count())
+    assert {(r.a, r.b) for r in N.similar_sets(sets).collect()} == want and len(tables() - before) == 2
