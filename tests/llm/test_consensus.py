@@ -110,3 +110,44 @@ def test_panels_give_the_reliability_that_the_labels_give(spark):
     c = C.Consensus(ratings(spark, panel()[0]))
     joined = {tuple(r) for r in C.reliability(c.items(), c.live()).select("rater_id", "n_items", "n_equal").collect()}
     assert {tuple(r) for r in c.reliability().select("rater_id", "n_items", "n_equal").collect()} == joined
+
+
+def unsettled(groups):
+    """Groups of 6 raters and 20 items each that have nothing in common; some settle, others cycle, with unlike periods."""
+    rows = []
+    for g in range(groups):
+        rng = random.Random(g)
+        for i in range(20):
+            t = rng.randrange(1, 6)
+            for u in range(6):
+                if rng.random() < 0.6:
+                    rows.append((f"g{g}r{i}", f"g{g}u{u}", "d", t if rng.random() < 0.6 else rng.randrange(1, 6), u))
+    return rows
+
+
+def test_many_cycles_of_unlike_periods_end_too(spark):
+    # Together they recur only after the least common multiple of their periods.
+    rows = unsettled(120)
+    items, raters, _ = C.consensus(ratings(spark, rows))
+    got = {r.rater_id: r for r in raters.collect()}
+    assert items.count() == len({r[0] for r in rows}) and len(got) == len({r[1] for r in rows})
+    # What settles by itself ends where it ends alone.
+    alone = {r.rater_id: r.weight for r in C.consensus(ratings(spark, [r for r in rows if r[1].startswith("g0u")]))[1].collect()}
+    assert all(abs(got[k].weight - w) < 1e-3 for k, w in alone.items())
+
+
+def test_steps_end_before_the_last_round_however_far_odds_swing():
+    farthest = math.log(4 / 1e-3)
+    assert C._step(C.MOST_ROUNDS - 1, None) * farthest < C.STABLE
+
+
+def test_items_near_a_change_give_the_counts_of_all(spark, monkeypatch):
+    rows = unsettled(30)
+    want = [(r.rater_id, r.weight, r.loo_accuracy) for r in C.Consensus(ratings(spark, rows)).raters().orderBy("rater_id").collect()]
+    monkeypatch.setattr(C, "FEW", 0)
+    monkeypatch.setattr(C, "FIRST_ROUNDS", 3)
+    calls = []
+    near = C._near
+    monkeypatch.setattr(C, "_near", lambda *a: calls.append(near(*a)) or calls[-1])
+    c = C.Consensus(ratings(spark, rows))
+    assert want == [(r.rater_id, r.weight, r.loo_accuracy) for r in c.raters().orderBy("rater_id").collect()] and calls
