@@ -40,18 +40,20 @@ def place_hits(citations: DataFrame, gold_citations: DataFrame) -> DataFrame:
 
 def report(
     questions: DataFrame, runs: DataFrame, gold: DataFrame, citations: DataFrame, gold_citations: DataFrame, ks: Sequence[int] = KS,
-    least: Mapping[tuple[str, int], float] = GATES,
+    least: Mapping[tuple[str, int], float] = GATES, sizes: DataFrame | None = None,
 ) -> DataFrame:
     """part, name, n, value, passed: the rows of the report; passed is null where a row is no gate.
 
     questions: query_id, provenance, expected, observed, had_recommendation, disclaimer. runs: query_id, item_id, rank.
     gold: query_id, item_id. citations: query_id, position, chunk_id, page, section; gold_citations likewise without a
-    position. Every measure is one aggregation; nothing is collected.
+    position. Every measure is one aggregation; nothing is collected. sizes (query_id, n_gold): with them, gold and
+    gold_citations hold what runs and citations hold of it, and the rest is only counted.
     """
     ids = questions.select("query_id").distinct()
     own = gold.join(ids, "query_id", "left_semi").distinct()
-    measured = at_k(runs.join(ids, "query_id", "left_semi"), own, ks).select("query_id", "k", "precision", "recall")
-    grid = own.select("query_id").distinct().withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
+    sizes = sizes if sizes is None else sizes.join(ids, "query_id", "left_semi")
+    measured = at_k(runs.join(ids, "query_id", "left_semi"), own, ks, sizes=sizes).select("query_id", "k", "precision", "recall")
+    grid = (own if sizes is None else sizes).select("query_id").distinct().withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
     filled = grid.join(measured, ["query_id", "k"], "left").fillna(0.0, ["precision", "recall"])
     means = filled.groupBy("k").agg(F.count("*").alias("n"), mean("precision").alias("precision"), mean("recall").alias("recall"))
     both = F.inline(F.array(*[F.struct(F.concat(F.lit(f"{m}_at_"), "k").alias("name"), F.col(m).alias("value")) for m in ("precision", "recall")]))
@@ -62,6 +64,8 @@ def report(
 
     none = F.lit(None).cast("boolean")
     places = place_hits(citations, gold_citations.join(ids, "query_id", "left_semi")).agg(F.coalesce(F.sum("n_gold"), F.lit(0)).alias("n"), F.sum("hits").alias("h"))
+    if sizes is not None:
+        places = places.select(F.coalesce("h", F.lit(0)).alias("h")).crossJoin(sizes.agg(F.coalesce(F.sum("n_gold"), F.lit(0)).alias("n")))
     citation = places.select(F.lit("citation").alias("part"), F.lit("locus_accuracy").alias("name"), "n", F.round(F.try_divide("h", "n"), 6).alias("value"), none.alias("passed"))
 
     judged = questions.withColumn("_pass", F.when(F.col("expected").isNotNull(), passes(F.col("expected"), F.col("observed"), F.col("had_recommendation"))))

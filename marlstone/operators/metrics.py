@@ -16,10 +16,11 @@ from marlstone.operators.statistics import interval, paired_test
 DIGITS = 6
 
 
-def at_k(runs: DataFrame, gold: DataFrame, ks: Sequence[int], arm: Sequence[str] = ()) -> DataFrame:
+def at_k(runs: DataFrame, gold: DataFrame, ks: Sequence[int], arm: Sequence[str] = (), sizes: DataFrame | None = None) -> DataFrame:
     """arm, query_id, k, hits, n_returned, n_gold, precision, recall, hit, first_rank, reciprocal_rank for every k.
 
     Precision divides by what was returned up to k. One pass over the runs: hits and sizes at every k are conditional sums.
+    sizes (query_id, n_gold): with them, gold need hold no more than what the runs hold of it.
     """
     marked = runs.join(gold.select("query_id", "item_id", F.lit(1).alias("is_gold")).distinct(), ["query_id", "item_id"], "left")
     sums: list[Column] = []
@@ -31,7 +32,7 @@ def at_k(runs: DataFrame, gold: DataFrame, ks: Sequence[int], arm: Sequence[str]
             F.min(F.when(inside & F.col("is_gold").isNotNull(), F.col("rank"))).alias(f"f{k}"),
         ]
     per = marked.groupBy(*arm, "query_id").agg(*sums)
-    sizes = gold.distinct().groupBy("query_id").agg(F.count("*").alias("n_gold"))
+    sizes = gold.distinct().groupBy("query_id").agg(F.count("*").alias("n_gold")) if sizes is None else sizes
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"h{k}").alias("hits"), F.col(f"n{k}").alias("n_returned"), F.col(f"f{k}").alias("first_rank")) for k in ks]))
     flat = per.join(sizes, "query_id").select(*arm, "query_id", "n_gold", rows.alias("r")).select(*arm, "query_id", "n_gold", "r.*")
     return flat.select(

@@ -137,3 +137,24 @@ def test_parser_failures_are_told(spark, tmp_path):
     assert documents.laid_out_files(spark, str(tmp_path), lambda b: iter([b.decode()]), "*.bin").count() == 0
     with pytest.raises(documents.Incomplete):
         documents.attested([{"concept": "a", "field": "TODO"}], ["concept", "field"], "concept")
+
+
+def test_the_harness_report_counts_gold_and_builds_none_but_of_the_runs(spark, tmp_path):
+    from marlstone.plans import evaluation_queries as Q
+
+    section = lambda i: "Neonatal / Fever" if i % 2 else "Neonatal / Feeding"
+    chunks = [(f"c{i:03}", section(i), str(i % 5), i, f"fever cough w{i % 7} " * 2) for i in range(120)]
+    chunks += [chunks[0], ("bare", None, None, None, "fever")]
+    spark.createDataFrame(chunks, "chunk_id string, section_path string, section_number string, page_start int, text string").write.parquet(f"{tmp_path}/chunk.parquet")
+    asked = [(f"q{i:02}", "p", "well_supported_expected", True, f"fever w{i % 7}", a) for i, a in enumerate(["fever", "Feeding", None, "neonatal", "none such"] * 4)]
+    # One question of two areas, whose chunks count once.
+    asked += [("q00", "p", "well_supported_expected", True, "fever w0", "NEONATAL")]
+    spark.createDataFrame(asked, "question_id string, provenance string, expected_outcome string, in_fixed_testset boolean, text string, area string").write.parquet(f"{tmp_path}/eval_question.parquet")
+    c, runs = Q._answers(spark, str(tmp_path))
+    gold, sizes = Q._gold(spark, str(tmp_path), c, runs)
+    want = {(q[0], k[0]) for q in asked for k in chunks if q[5] and k[1] and q[5].lower() in k[1].lower()}
+    got = {(r.query_id, r.item_id) for r in gold.collect()}
+    assert got == want & {(r.query_id, r.item_id) for r in runs.collect()} and 0 < len(got) < len(want)
+    assert {r.query_id: r.n_gold for r in sizes.collect()} == {q: sum(1 for w in want if w[0] == q) for q in {w[0] for w in want}}
+    report = {r.name: r for r in Q.agg5_harness_report(spark, str(tmp_path)).collect()}
+    assert report["locus_accuracy"].n == len(want) and report["recall_at_24"].n == len({w[0] for w in want})
